@@ -77,11 +77,15 @@ def join_bools(col) -> Column:
 
 
 def logsumexp(col) -> Column:
-    """Stable log-sum-exp of a numeric array."""
-    a = F.transform(_c(col), lambda x: x.cast("double"))
-    m = F.array_max(a)
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return m + F.log(s)
+    """Stable log-sum-exp of a numeric array in one pass (running max rescaling)."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        x = x.cast("double")
+        m2 = F.greatest(acc["m"], x)
+        return F.struct(m2.alias("m"), (acc["s"] * F.exp(acc["m"] - m2) + F.exp(x - m2)).alias("s"))
+
+    return F.aggregate(_c(col), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
 
 
 def softplus(x: Column) -> Column:

@@ -99,7 +99,11 @@ def regroup(long_df: DataFrame, keys: list[str], pos: str, value_cols: list[str]
     """Long form back to parallel arrays ordered by ``pos``."""
     s = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_p"), *[F.col(c) for c in value_cols])))
     g = long_df.groupBy(*keys).agg(s.alias("_a"))
-    return g.select(*keys, *[F.transform("_a", lambda x, c=c: x[c]).alias(c) for c in value_cols])
+    return g.select(*keys, *[F.transform("_a", _field(c)).alias(c) for c in value_cols])
+
+
+def _field(name: str):
+    return lambda x: x[name]
 
 
 # ---------------------------------------------------------------- masks
@@ -111,17 +115,20 @@ def message_index_long(long_df: DataFrame, keys: list[str], pos: str, is_marker:
     return running_sum(d, keys, pos, {"_m": "_cnt"}).withColumn(out, F.col("_cnt") - 1).drop("_m", "_cnt")
 
 
-def message_index_array(ids: Column, marker_ids: list[int]) -> Column:
+def message_index_array(ids: Column, markers: list) -> Column:
     """Array form for bounded sequences: index = markers seen so far - 1.
 
-    Cost is O(len x markers) per row via marker positions (no quadratic copy).
+    Marker positions are found in one pass; each segment between markers is
+    filled with its index, so the cost is O(len + markers) array work.
     """
-    is_m = F.transform(ids, lambda x: x.isin(*marker_ids))
     n = F.size(ids)
-    mpos = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.get(is_m, i), F.lit(False)))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1),
-                    lambda i: (F.size(F.filter(mpos, lambda p: p <= i)) - 1).cast("int")))
+    mpos = F.filter(F.transform(ids, lambda x, i: F.when(x.isin(*markers), i).otherwise(F.lit(-1))),
+                    lambda p: p >= 0)
+    m = F.size(mpos)
+    head = F.array_repeat(F.lit(-1), F.when(m > 0, F.get(mpos, 0)).otherwise(n))
+    segs = F.transform(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))),
+                       lambda k: F.array_repeat(k, F.coalesce(F.get(mpos, k + 1), n) - F.get(mpos, k)))
+    return F.when(m == 0, head).otherwise(F.flatten(F.concat(F.array(head), segs)))
 
 
 def label_mask(msg_index: Column, masking: bool = True, compat_prefix: bool = False) -> Column:
@@ -130,14 +137,14 @@ def label_mask(msg_index: Column, masking: bool = True, compat_prefix: bool = Fa
     Default: positions before the first marker are not trained on.
     ``compat_prefix`` keeps the original's ``-1 % 2 == 1`` behaviour.
     """
-    n = F.size(msg_index)
     if not masking:
         base = F.transform(msg_index, lambda x: F.lit(True))
     elif compat_prefix:
         base = F.transform(msg_index, lambda x: F.pmod(x, F.lit(2)) == 1)
     else:
         base = F.transform(msg_index, lambda x: (x >= 0) & (F.pmod(x, F.lit(2)) == 1))
-    return F.transform(base, lambda b, i: F.when(i == n - 1, F.lit(False)).otherwise(b))
+    return F.when(F.size(base) == 0, base).otherwise(
+        F.concat(F.slice(base, F.lit(1), F.size(base) - 1), F.array(F.lit(False))))
 
 
 def lm_mask(ids: Column) -> Column:

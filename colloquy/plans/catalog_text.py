@@ -99,8 +99,7 @@ def q_write_scored_csv(spark, sf):
     path = scratch_path(spark, "scored-csv")
     io.write_scored_csv(scored.select("question", "A", "B", "C", "D", "answer", "model_output", "correctness"), path)
     schema = "question string, A string, B string, C string, D string, answer string, model_output string, correctness int"
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-            .csv(path))
+    return io.csv_reader(spark).schema(schema).csv(path)
 
 
 @register("resume_predictions", "WITH " + DP_SQL + " SELECT conv_id, prompt FROM dp "
@@ -196,13 +195,13 @@ def q_pair_predictions(spark, sf):
 ZIP_SQL = (
     "q AS (SELECT conv_id, CAST(floor(turn / 2) AS BIGINT) AS idx, text FROM conversations WHERE role = 'user'), "
     "a AS (SELECT conv_id, CAST(floor(turn / 2) AS BIGINT) AS idx, text FROM conversations WHERE role = 'assistant'), "
-    "j AS (SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.idx, a.idx) AS idx, q.text AS qt, a.text AS at "
+    "j AS (SELECT coalesce(q.conv_id, a.conv_id) AS conv_id, coalesce(q.idx, a.idx) AS idx, q.text AS qt, a.text AS atx "
     "FROM q FULL OUTER JOIN a ON q.conv_id = a.conv_id AND q.idx = a.idx)")
 
 
 @register("zip_qa", "WITH " + ZIP_SQL + " SELECT conv_id, idx * 2 AS turn, 'prompter' AS role, qt AS text, "
           "CAST(NULL AS VARCHAR) AS context FROM j WHERE qt IS NOT NULL UNION ALL "
-          "SELECT conv_id, idx * 2 + 1, 'assistant', at, 'psychology' FROM j WHERE at IS NOT NULL")
+          "SELECT conv_id, idx * 2 + 1, 'assistant', atx, 'psychology' FROM j WHERE atx IS NOT NULL")
 def q_zip_qa(spark, sf):
     c = FX.conversations(spark, sf)
     q = c.filter(F.col("role") == "user").select("conv_id", F.floor(F.col("turn") / 2).cast("bigint").alias("idx"), "text")

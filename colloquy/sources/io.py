@@ -12,6 +12,7 @@ DIALOGUE_LINE = T.StructType([T.StructField("conv_id", T.LongType()),
                               T.StructField("dialogue", T.ArrayType(TURN))])
 CHOICE_EXAM = T.StructType([T.StructField(c, T.StringType()) for c in ("question", "A", "B", "C", "D", "answer")])
 CASE_QA = T.StructType([T.StructField(c, T.StringType()) for c in ("background", "question", "answer")])
+NULL_TEXT = "\\N"  # how a missing value is spelled in CSV (an empty cell is an empty string)
 PREDICTION = T.StructType([T.StructField("id", T.LongType()), T.StructField("response", T.StringType()),
                            T.StructField("target", T.StringType())])
 
@@ -61,8 +62,13 @@ def read_split(spark: SparkSession, root: str, split: str = "train", prefix: str
 def read_exam_csv(spark: SparkSession, path: str, kind: str = "choice") -> DataFrame:
     """Exam CSV with header and quoted newlines, declared all-string schema."""
     schema = CHOICE_EXAM if kind == "choice" else CASE_QA
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    return csv_reader(spark).schema(schema).csv(path)
+
+
+def csv_reader(spark: SparkSession):
+    """CSV reader matching ``write_scored_csv``: quoted newlines, '' stays ''."""
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("nullValue", NULL_TEXT))
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +87,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def write_scored_csv(df: DataFrame, path: str) -> None:
     """Exam columns + ``model_output`` + ``correctness`` as CSV with header."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("nullValue", NULL_TEXT).csv(path))
 
 
 def resume_predictions(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
