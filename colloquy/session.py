@@ -31,6 +31,7 @@ def get_session(master: str | None = None, app: str = "colloquy",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     }
     if shuffle_partitions:
