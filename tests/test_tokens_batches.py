@@ -29,7 +29,6 @@ def test_message_index_long_matches_array(spark):
     df = spark.createDataFrame(rows, "seq long, ids array<int>")
     arr = {r.seq: r.m for r in df.select("seq", TK.message_index_array(F.col("ids"), [3, 7]).alias("m")).collect()}
     long = df.select("seq", F.posexplode("ids").alias("pos", "id"))
-    # a small block size forces the two-level prefix sum
     m = TK.message_index_long(long, ["seq"], "pos", F.col("id").isin(3, 7))
     got = {}
     for r in m.collect():
@@ -112,7 +111,7 @@ def test_assign_batches_independent_of_partitioning(spark):
     sizes = {}
     for bid, _ in a.values():
         sizes[bid] = sizes.get(bid, 0) + 1
-    assert sorted(sizes.values())[:-1] == [8] * (len(sizes) - 1)
+    assert sizes[max(sizes)] == 300 % 8 and all(v == 8 for k, v in sizes.items() if k != max(sizes))
 
 
 def test_vocab_roundtrip(spark):
