@@ -100,9 +100,11 @@ def ngram_counts(df: DataFrame, tokens: str = "tokens", ns=(1, 2, 3, 4), by: lis
     """``(by.., n, ngram, count)`` over the whole corpus (map-side combined)."""
     by = by or []
     t = F.col(tokens)
-    exploded = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(t, n).alias("g"))
-                                                  for n in ns])).alias("_x")) \
-                 .select(*by, F.col("_x.n").alias("n"), F.explode("_x.g").alias("ngram"))
+    per_n = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(t, n).alias("g"))
+                                               for n in ns])).alias("_x"))
+    # outer explode + null filter: no inferred filter re-evaluating the n-gram expression
+    exploded = per_n.select(*by, F.col("_x.n").alias("n"), F.explode_outer("_x.g").alias("ngram")) \
+                    .filter(F.col("ngram").isNotNull())
     return exploded.groupBy(*by, "n", "ngram").agg(F.count(F.lit(1)).alias("count"))
 
 

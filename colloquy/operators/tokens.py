@@ -38,7 +38,7 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
     """
     spark = tokens.sparkSession
     col = F.col(token_col)
-    exploded = tokens.select(F.explode(col).alias("token")) if dict(tokens.dtypes)[token_col].startswith("array") \
+    exploded = explode_values(tokens, col, [], "token") if dict(tokens.dtypes)[token_col].startswith("array") \
         else tokens.select(col.alias("token"))
     counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     sp = F.broadcast(_specials_df(spark, specials))  # k rows, fixed
@@ -70,18 +70,15 @@ def add_special_tokens(vocab: DataFrame, tokens) -> DataFrame:
 
 
 def encode_long(long_tokens: DataFrame, vocab: DataFrame, token_col: str = "token",
-                unk: str = C.UNK) -> DataFrame:
-    """Add ``token_id`` to a long token table; unknown tokens get the unk id.
+                unk_id: int = C.SPECIAL_TOKENS.index(C.UNK)) -> DataFrame:
+    """Add ``token_id`` to a long token table; unknown tokens get ``unk_id``.
 
     The vocabulary is broadcast only after its row count is checked; a larger
     one is shuffle-joined (AQE splits hot tokens).
     """
     v = broadcast_if_small(vocab.select(F.col("token").alias(token_col), "token_id"))
-    unk_id = vocab.filter(F.col("token") == unk).select("token_id")
-    unk_val = unk_id.first()
-    unk_val = unk_val[0] if unk_val else None
     return long_tokens.join(v, token_col, "left") \
-        .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk_val).cast("bigint")))
+        .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk_id).cast("bigint")))
 
 
 def decode_long(long_ids: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -90,9 +87,21 @@ def decode_long(long_ids: DataFrame, vocab: DataFrame) -> DataFrame:
     return long_ids.join(v, "token_id", "left")
 
 
-def explode_positions(df: DataFrame, array_col: str, keys: list[str], pos: str = "pos",
+def explode_positions(df: DataFrame, array_col, keys: list[str], pos: str = "pos",
                       value: str = "token") -> DataFrame:
-    return df.select(*keys, F.posexplode(array_col).alias(pos, value))
+    """Long form ``(keys, pos, value)`` of an array column or expression.
+
+    The outer variant plus a null filter keeps Catalyst from inferring a
+    ``size(expr) > 0`` filter that would evaluate the (regex) expression again.
+    """
+    col = F.col(array_col) if isinstance(array_col, str) else array_col
+    return df.select(*keys, F.posexplode_outer(col).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
+def explode_values(df: DataFrame, array_col, keys: list[str], value: str) -> DataFrame:
+    """Long form ``(keys, value)``; elements must be non-null (see ``explode_positions``)."""
+    col = F.col(array_col) if isinstance(array_col, str) else array_col
+    return df.select(*keys, F.explode_outer(col).alias(value)).filter(F.col(value).isNotNull())
 
 
 def regroup(long_df: DataFrame, keys: list[str], pos: str, value_cols: list[str]) -> DataFrame:

@@ -82,7 +82,7 @@ ENC_SQL = (VOCAB_SQL + f", pt AS (SELECT conv_id, turn, {TOK_PIECE} AS toks FROM
 def _encoded_pieces(spark, sf, vocab=None):
     vocab = vocab if vocab is not None else _vocab(spark, sf)
     pieces = R.render_turns(FX.conversations(spark, sf)).select("conv_id", "turn", tokenize(F.col("piece")).alias("toks"))
-    long = pieces.select("conv_id", "turn", F.posexplode("toks").alias("pos", "token"))
+    long = TK.explode_positions(pieces, "toks", ["conv_id", "turn"])
     return TK.encode_long(long, vocab), vocab
 
 
@@ -126,7 +126,7 @@ def q_shift_targets(spark, sf):
           "FROM dtm")
 def q_message_index(spark, sf):
     d = _dialogue_tokens(spark, sf)
-    long = d.select("conv_id", F.posexplode("tokens").alias("pos", "token"))
+    long = TK.explode_positions(d, "tokens", ["conv_id"])
     m = TK.message_index_long(long, ["conv_id"], "pos", F.col("token").isin(*MARKERS))
     return m.select("conv_id", F.col("pos").cast("bigint").alias("pos"), "token",
                     F.col("msg_index").cast("int").alias("msg_index"))
@@ -203,7 +203,7 @@ def _glm_sources(spark, sf):
 
 
 def _encode_array(df, col, vocab, keys):
-    long = df.select(*keys, F.posexplode(col).alias("pos", "token"))
+    long = TK.explode_positions(df, col, keys)
     enc = TK.encode_long(long, vocab).withColumn("token_id", F.col("token_id").cast("int"))
     g = TK.regroup(enc, keys, "pos", ["token_id"]).withColumnRenamed("token_id", col)
     return df.drop(col).join(g, keys, "left").withColumn(col, F.coalesce(F.col(col), F.array().cast("array<int>")))
@@ -320,7 +320,7 @@ def q_apply_ignore_index(spark, sf):
           "AND e.pos = d.pos")
 def q_encoding_report(spark, sf):
     vocab = _vocab(spark, sf)
-    long = _dialogue_tokens(spark, sf).select("conv_id", F.posexplode("tokens").alias("pos", "token"))
+    long = TK.explode_positions(_dialogue_tokens(spark, sf), "tokens", ["conv_id"])
     ids = TK.encode_long(long, vocab).select("conv_id", "pos", "token_id")
     rep = TK.encoding_report(ids, vocab, ["conv_id"], "pos", [IDS[m] for m in MARKERS])
     return rep.select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("token_id").cast("bigint"),

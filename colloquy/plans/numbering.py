@@ -24,8 +24,11 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn") -> DataF
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           - (F.spark_partition_id().cast("bigint") * F.lit(8589934592))))
-    # Both branches read one range-partitioned sort (the exchange is reused),
-    # and the order is total, so a recomputed partition gets the same numbers.
+    # The counts and the rows must see the same partitioning of the sort;
+    # range bounds come from sampling, so the sorted, tagged rows are written
+    # once to the shared checkpoint folder and both branches read that copy
+    # (it also survives lost executors).
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
