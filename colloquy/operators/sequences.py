@@ -37,15 +37,18 @@ def piece_tokens(turns: DataFrame, eos: str = C.EOS) -> DataFrame:
             .withColumn("n_mark", F.size(F.filter("toks", lambda x: x.isin(*MARKERS))).cast("bigint"))
 
 
-def encode_dialogues(turns: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
+def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
                      p: float = C.RANDOM_OFFSET_PROBABILITY, seed: int = C.SEED,
                      compat_prefix: bool = False) -> DataFrame:
-    """``(conv_id, input_ids, attention_mask, label_mask, length, crop_offset)``."""
-    pt = piece_tokens(turns)
-    pt = running_sum(pt, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False)
-    tot = pt.groupBy("conv_id").agg(F.sum("n_tok").alias("total"))
-    off = tot.select("conv_id", crop_offset(F.col("total"), max_length, p, seed, ["conv_id"]).alias("crop_offset"))
-    pt = pt.join(off, "conv_id")
+    """``(conv_id, input_ids, attention_mask, label_mask, length, crop_offset)``.
+
+    ``pieces`` is the ``piece_tokens`` table.  Tokenizing is the costly step
+    and its output feeds the vocabulary, the offsets and the cut, so callers
+    write it once (``session.materialize``) and pass the written copy.
+    """
+    pt = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
+                     totals_out="total")
+    pt = pt.withColumn("crop_offset", crop_offset(F.col("total"), max_length, p, seed, ["conv_id"]))
     hi = F.col("crop_offset") + max_length
     pt = pt.filter((F.col("start") + F.col("n_tok") > F.col("crop_offset")) & (F.col("start") < hi))
     # marker positions inside a piece (usually just position 0)
@@ -58,9 +61,9 @@ def encode_dialogues(turns: DataFrame, vocab: DataFrame, max_length: int = C.MAX
     long = long.withColumn("msg_index", (F.col("mark_before") + F.size(F.filter("mpos", lambda q: q <= F.col("pos"))) - 1)
                            .cast("int"))
     enc = encode_long(long.select("conv_id", "gpos", "token", "msg_index", "crop_offset"), vocab)
-    seq = regroup(enc.withColumn("token_id", F.col("token_id").cast("int")), ["conv_id"], "gpos",
+    # crop_offset is fixed per conversation, so it rides along as a group key
+    seq = regroup(enc.withColumn("token_id", F.col("token_id").cast("int")), ["conv_id", "crop_offset"], "gpos",
                   ["token_id", "msg_index"])
-    seq = seq.join(off, "conv_id")
     return seq.select(
         "conv_id", F.col("token_id").alias("input_ids"),
         F.array_repeat(F.lit(1), F.size("token_id")).alias("attention_mask"),
@@ -68,11 +71,11 @@ def encode_dialogues(turns: DataFrame, vocab: DataFrame, max_length: int = C.MAX
         F.size("token_id").alias("length"), "crop_offset")
 
 
-def dialogue_batches(turns: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
+def dialogue_batches(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
                      batch_size: int = 8, pad_multiple: int = C.PAD_MULTIPLE, pad_id: int = 0,
                      seed: int = C.SEED, p: float = C.RANDOM_OFFSET_PROBABILITY) -> DataFrame:
     """Padded, shuffled batches with next-token targets (wrap-around roll)."""
-    enc = encode_dialogues(turns, vocab, max_length, p, seed)
+    enc = encode_dialogues(pieces, vocab, max_length, p, seed)
     b = assign_batches(enc, ["conv_id"], batch_size, seed)
     b = pad_batch(b, "batch_id", {"input_ids": pad_id, "attention_mask": 0, "label_mask": False}, pad_multiple)
     return b.withColumn("targets", shift_targets(F.col("input_ids")))

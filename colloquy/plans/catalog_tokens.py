@@ -13,6 +13,7 @@ from ..operators import sequences as S
 from ..operators import tokens as TK
 from . import fixtures as FX
 from . import sqlx
+from ..session import materialize
 from .registry import register, table
 
 MARKERS = (C.PATIENT, C.DOCTOR)
@@ -79,9 +80,10 @@ ENC_SQL = (VOCAB_SQL + f", pt AS (SELECT conv_id, turn, {TOK_PIECE} AS toks FROM
            "LEFT JOIN vocab v USING (token))")
 
 
-def _encoded_pieces(spark, sf, vocab=None):
-    vocab = vocab if vocab is not None else _vocab(spark, sf)
-    pieces = R.render_turns(FX.conversations(spark, sf)).select("conv_id", "turn", tokenize(F.col("piece")).alias("toks"))
+def _encoded_pieces(spark, sf):
+    # tokenized once, written once: the vocabulary and the encoding both read it
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
+    vocab = TK.build_vocab(pieces, "toks")
     long = TK.explode_positions(pieces, "toks", ["conv_id", "turn"])
     return TK.encode_long(long, vocab), vocab
 
@@ -395,9 +397,9 @@ DB_SQL = (VOCAB_SQL + ", pieces AS (SELECT conv_id, turn, " + TOK_PIECE + " AS t
           f"{sqlx.join_list('list_concat(ids[2:], ids[1:1])')} AS targets FROM pd")
 def q_dialogue_batches(spark, sf):
     """Whole fine-tuning data path: render, tokenize, crop, encode, mask, batch, pad, shift."""
-    conv = FX.conversations(spark, sf)
-    vocab = _vocab(spark, sf)
-    b = S.dialogue_batches(conv, vocab, max_length=256, batch_size=8)
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
+    vocab = TK.build_vocab(pieces, "toks")
+    b = S.dialogue_batches(pieces, vocab, max_length=256, batch_size=8)
     return b.select("conv_id", "batch_id", "row_in_batch", AR.join_ints("input_ids").alias("input_ids"),
                     AR.join_ints("attention_mask", "").alias("attention_mask"),
                     AR.join_bools("label_mask").alias("label_mask"), AR.join_ints("targets").alias("targets"))

@@ -40,23 +40,33 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn") -> DataF
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_col: str, values: dict[str, str],
-                inclusive: bool = True, block: int = 4096) -> DataFrame:
+                inclusive: bool = True, block: int = 4096, totals_out: str | None = None) -> DataFrame:
     """Prefix sums per group ordered by integer ``order_col``.
 
     ``values`` maps input column -> output column.  ``order_col`` must be unique
     inside a group.  Exclusive sums (``inclusive=False``) leave out the row.
+    ``totals_out`` (optional) adds the group total of the first value column.
+
+    Block totals are taken from the windowed rows, so both branches share the
+    one shuffle under the window and the input is computed once.
     """
     blk = F.floor(F.col(order_col) / block).cast("bigint")
     d = df.withColumn("_blk", blk)
     w_local = (Window.partitionBy(*group_cols, "_blk").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    for i, v in enumerate(values):
+        d = d.withColumn(f"_loc_{i}", F.sum(v).over(w_local))
+    # the local sum at the block's last row is the block total; reading it from
+    # the windowed rows keeps Catalyst from pruning the window off this branch
+    totals = d.groupBy(*group_cols, "_blk").agg(*[F.max_by(f"_loc_{i}", order_col).alias(f"_bt_{i}")
+                                                  for i in range(len(values))])
     w_blk = (Window.partitionBy(*group_cols).orderBy("_blk")
              .rowsBetween(Window.unboundedPreceding, -1))
-    totals = d.groupBy(*group_cols, "_blk").agg(*[F.sum(v).alias(f"_bt_{i}") for i, v in enumerate(values)])
+    extra = []
+    if totals_out:
+        extra = [F.sum("_bt_0").over(Window.partitionBy(*group_cols)).alias(totals_out)]
     offs = totals.select(*group_cols, "_blk", *[F.coalesce(F.sum(f"_bt_{i}").over(w_blk), F.lit(0)).alias(f"_bo_{i}")
-                                                for i in range(len(values))])
-    for i, v in enumerate(values):
-        d = d.withColumn(f"_loc_{i}", F.sum(v).over(w_local))
+                                                for i in range(len(values))], *extra)
     d = d.join(offs, [*group_cols, "_blk"])
     for i, (v, out) in enumerate(values.items()):
         val = F.col(f"_bo_{i}") + F.col(f"_loc_{i}")

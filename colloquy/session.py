@@ -79,3 +79,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     """
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used for intermediates read by several branches (tokenized corpora) so
+    costly expressions run once; it also cuts lineage for retries.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
