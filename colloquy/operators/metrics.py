@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
+from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
 
 
@@ -133,36 +134,68 @@ def distinct_n(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- BLEU
 
-def clipped_ngram_matches(pairs: DataFrame, keys: list[str], hyp: str, ref: str, max_n: int) -> DataFrame:
-    """Per pair and order: clipped matches and hypothesis n-gram count.
+def ngram_match_counts(pairs: DataFrame, keys: list[str], hyp: str, ref: str, max_n: int) -> DataFrame:
+    """Per pair and order present in the hypothesis: clipped matches and n-gram count.
 
-    Candidate and reference n-gram counts are aggregated per pair, joined on
-    ``(pair, n, ngram)`` and clipped with ``least``.
+    Hypothesis and reference n-grams are exploded together with a side flag
+    and counted in one aggregation keyed by ``(pair, n, ngram)``; clipping is
+    ``least(hyp count, ref count)``; a second aggregation sums per order.
     """
     ns = list(range(1, max_n + 1))
-    h = ngram_counts(pairs.select(*keys, F.col(hyp).alias("_t")), "_t", ns, keys)
-    r = ngram_counts(pairs.select(*keys, F.col(ref).alias("_t")), "_t", ns, keys).withColumnRenamed("count", "_rc")
-    m = h.join(r, [*keys, "n", "ngram"], "left") \
-         .groupBy(*keys, "n").agg(F.sum(F.least(F.col("count"), F.coalesce("_rc", F.lit(0)))).alias("matches"),
-                                  F.sum("count").alias("total"))
-    # orders with no hypothesis n-gram at all still need a row
-    grid = pairs.select(*keys, F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
+    sides = F.array(F.struct(F.lit(True).alias("h"), F.col(hyp).alias("t")),
+                    F.struct(F.lit(False).alias("h"), F.col(ref).alias("t")))
+    per_side = pairs.select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.h").alias("_h"),
+                                                                         F.col("_s.t").alias("_t"))
+    per_n = per_side.select(*keys, "_h", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_t"), n)
+                                                                      .alias("g")) for n in ns])).alias("_x"))
+    grams = per_n.select(*keys, "_h", F.col("_x.n").alias("n"), F.explode_outer("_x.g").alias("ngram")) \
+                 .filter(F.col("ngram").isNotNull())
+    c = grams.groupBy(*keys, "n", "ngram").agg(F.count_if(F.col("_h")).alias("_ch"),
+                                               F.count_if(~F.col("_h")).alias("_cr"))
+    return c.groupBy(*keys, "n").agg(F.sum(F.least("_ch", "_cr")).cast("bigint").alias("matches"),
+                                     F.sum("_ch").cast("bigint").alias("total")) \
+            .filter(F.col("total") > 0)
+
+
+def clipped_ngram_matches(pairs: DataFrame, keys: list[str], hyp: str, ref: str, max_n: int) -> DataFrame:
+    """``ngram_match_counts`` with a row (zeros) for every pair and order."""
+    m = ngram_match_counts(pairs, keys, hyp, ref, max_n)
+    grid = pairs.select(*keys, F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"))
     return grid.join(m, [*keys, "n"], "left").select(
         *keys, "n", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),
         F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
 
 
-def bleu_n(pairs: DataFrame, keys: list[str], n: int, hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
-    """Unsmoothed sentence BLEU with uniform weights per pair (0 if any order has no match)."""
-    m = clipped_ngram_matches(pairs, keys, hyp, ref, n)
-    lp = m.groupBy(*keys).agg(
-        F.sum(F.when(F.col("matches") > 0, F.log(F.col("matches") / F.col("total")))).alias("_slp"),
-        F.min("matches").alias("_minm"))
+def bleu_scores(pairs: DataFrame, keys: list[str], orders=(2, 4), hyp: str = "hyp_tokens",
+                ref: str = "ref_tokens") -> DataFrame:
+    """Unsmoothed sentence BLEU with uniform weights, one column ``bleu_N`` per order.
+
+    A score is 0 when any order up to N has no clipped match (or the
+    hypothesis is shorter than N); the brevity penalty is ``exp(1 - r/c)``.
+    All orders share one n-gram count table.
+    """
+    m = ngram_match_counts(pairs, keys, hyp, ref, max(orders))
+    aggs = []
+    for n in orders:
+        inside = F.col("n") <= n
+        aggs.append(F.count_if(inside & (F.col("matches") > 0)).alias(f"_ok{n}"))
+        aggs.append(F.sum(F.when(inside & (F.col("matches") > 0),
+                                 F.log(F.col("matches") / F.col("total")))).alias(f"_slp{n}"))
+    per = m.groupBy(*keys).agg(*aggs)
     lens = pairs.select(*keys, F.size(hyp).alias("_c"), F.size(ref).alias("_r"))
-    j = lens.join(lp, keys)
+    j = lens.join(per, keys, "left")
     bp = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
-    score = F.when((F.col("_c") == 0) | (F.col("_minm") == 0), F.lit(0.0)).otherwise(bp * F.exp(F.col("_slp") / n))
-    return j.select(*keys, score.alias(f"bleu_{n}"))
+    cols = []
+    for n in orders:
+        ok = F.coalesce(F.col(f"_ok{n}"), F.lit(0)) == n
+        cols.append(F.when((F.col("_c") > 0) & ok, bp * F.exp(F.col(f"_slp{n}") / n)).otherwise(F.lit(0.0))
+                    .alias(f"bleu_{n}"))
+    return j.select(*keys, *cols)
+
+
+def bleu_n(pairs: DataFrame, keys: list[str], n: int, hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
+    """Per-pair BLEU-n (see ``bleu_scores``)."""
+    return bleu_scores(pairs, keys, (n,), hyp, ref)
 
 
 # ---------------------------------------------------------------- LCS / ROUGE-L
@@ -254,11 +287,11 @@ def metric_tokens(pairs: DataFrame, keys: list[str], response: str = "response",
 def generation_report(pairs: DataFrame, keys: list[str], response: str = "response",
                       target: str = "target") -> DataFrame:
     """One row: rouge_l (non-empty pairs), bleu_2, bleu_4, meteor, dist_2 (3-gram compat), rounded to 4."""
-    toks = metric_tokens(pairs, keys, response, target).cache()
+    toks = materialize(metric_tokens(pairs, keys, response, target))
     nonempty = toks.filter((F.size("hyp_tokens") > 0) & (F.size("ref_tokens") > 0))
     rl = rouge_l(nonempty, keys).agg(F.avg("rouge_l").alias("rouge_l"))
-    b2 = bleu_n(toks, keys, 2).agg(F.avg("bleu_2").alias("bleu_2"))
-    b4 = bleu_n(toks, keys, 4).agg(F.avg("bleu_4").alias("bleu_4"))
+    bl = bleu_scores(toks, keys, (2, 4)).agg(F.avg("bleu_2").alias("bleu_2"), F.avg("bleu_4").alias("bleu_4"))
+    b2, b4 = bl.select("bleu_2"), bl.select("bleu_4")
     mt = meteor(toks, keys).agg(F.avg("meteor").alias("meteor"))
     d2 = ngram_stats(ngram_counts(toks, "hyp_tokens", (3,))).select(F.col("distinct_ratio").alias("dist_2"))
     parts = [("rouge_l", rl), ("bleu_2", b2), ("bleu_4", b4), ("meteor", mt), ("dist_2", d2)]

@@ -8,7 +8,7 @@ from .. import constants as C
 from ..functions.arrays import argmax_index
 from ..operators import losses as L
 from ..operators import metrics as M
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy
 from . import fixtures as FX
 from . import sqlx
@@ -78,11 +78,9 @@ def q_clipped_ngram_join(spark, sf):
 @register("bleu_n", "WITH " + BLEU_SQL + f" SELECT mt.conv_id, mt.turn, round({_bleu_sql(2)}, 6) AS bleu_2, "
           f"round({_bleu_sql(4)}, 6) AS bleu_4 FROM mt JOIN b USING (conv_id, turn)")
 def q_bleu_n(spark, sf):
-    t = _tokens(spark, sf)
     keys = ["conv_id", "turn"]
-    b2 = M.bleu_n(t, keys, 2)
-    b4 = M.bleu_n(t, keys, 4)
-    return b2.join(b4, keys).select(*keys, F.round("bleu_2", 6).alias("bleu_2"), F.round("bleu_4", 6).alias("bleu_4"))
+    b = M.bleu_scores(materialize(_tokens(spark, sf)), keys, (2, 4))
+    return b.select(*keys, F.round("bleu_2", 6).alias("bleu_2"), F.round("bleu_4", 6).alias("bleu_4"))
 
 
 @register("rouge_l")
