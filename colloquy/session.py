@@ -89,3 +89,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than cores.
+
+    Row-local work here (regex tokenizing, rendering) is CPU-bound; a small
+    table stored as one file would otherwise run in one task.  A large input
+    already has enough splits and is left alone (no extra shuffle).  No key is
+    used, so a hot conversation is not pinned to one task.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
