@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
+from ..plans.numbering import global_row_number
 from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
 
@@ -193,11 +194,50 @@ def bleu_scores(pairs: DataFrame, keys: list[str], orders=(2, 4), hyp: str = "hy
     return j.select(*keys, *cols)
 
 
-def bleu_n(pairs: DataFrame, keys: list[str], n: int, hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
-    """Per-pair BLEU-n (see ``bleu_scores``)."""
+def bleu_n(pairs: DataFrame, keys: list[str], n: int, hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+           mode: str = "pair") -> DataFrame:
+    """BLEU-n.  ``pair``: per-pair token BLEU (see ``bleu_scores``).  ``sequence``:
+    the original's call, where whole answers (ordered by ``keys``) are the tokens
+    of one corpus-level hypothesis and reference (``bleu_sequence``)."""
+    if mode == "sequence":
+        return bleu_sequence(pairs, keys, hyp, ref, n).filter(F.col("n") == n).select(F.col("bleu").alias(f"bleu_{n}"))
     return bleu_scores(pairs, keys, (n,), hyp, ref)
 
 
+def bleu_sequence(pairs: DataFrame, keys: list[str], response: str = "response", target: str = "target",
+                  max_n: int = 4) -> DataFrame:
+    """Corpus BLEU where each whole answer is one token, answers ordered by ``keys``.
+
+    Rows are numbered by the distributed numbering; the k-th following answer
+    is attached by an equi-join on ``index + k`` (no global window).  Returns
+    per order ``n``: clipped matches, n-gram count and the cumulative BLEU-n.
+    """
+    numbered = global_row_number(pairs.select(*keys, response, target), [F.col(k) for k in keys], "_i")
+    base = numbered.select("_i", F.col(response).alias("_h0"), F.col(target).alias("_r0"))
+    grams = base
+    for j in range(1, max_n):
+        shifted = base.select((F.col("_i") - j).alias("_i"), F.col("_h0").alias(f"_h{j}"), F.col("_r0").alias(f"_r{j}"))
+        grams = grams.join(shifted, "_i", "left")
+    items = []
+    for k in range(1, max_n + 1):
+        present = F.col(f"_h{k - 1}").isNotNull() if k > 1 else F.lit(True)
+        for is_h, side in ((True, "_h"), (False, "_r")):
+            g = F.array(*[F.col(f"{side}{j}") for j in range(k)])
+            items.append(F.struct(F.lit(k).alias("n"), F.lit(is_h).alias("h"), F.when(present, g).alias("g")))
+    ex = grams.select(F.explode(F.array(*items)).alias("_x")).select("_x.*").filter(F.col("g").isNotNull())
+    c = ex.groupBy("n", "g").agg(F.count_if(F.col("h")).alias("_ch"), F.count_if(~F.col("h")).alias("_cr"))
+    per = c.groupBy("n").agg(F.sum(F.least("_ch", "_cr")).cast("bigint").alias("matches"),
+                             F.sum("_ch").cast("bigint").alias("total"))
+    # at most max_n rows: a window without partitioning is bounded here
+    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lp = F.when(F.col("matches") > 0, F.log(F.col("matches") / F.col("total")))
+    per = per.withColumn("_zero", F.max((F.col("matches") == 0).cast("int")).over(w)) \
+             .withColumn("_slp", F.sum(lp).over(w))
+    # hypothesis and reference have the same number of answers, so the brevity penalty is 1
+    bleu = F.when(F.col("_zero") == 1, F.lit(0.0)).otherwise(F.exp(F.col("_slp") / F.col("n")))
+    return per.select("n", "matches", "total", bleu.alias("bleu"))
+
+
 # ---------------------------------------------------------------- LCS / ROUGE-L
 
 def _lcs(a, b) -> int:

@@ -222,3 +222,32 @@ def q_running_accuracy(spark, sf):
     p.select(F.col("batch").cast("bigint").alias("batch"), F.col("pred").cast("int").alias("pred"),
              F.col("label").cast("int").alias("label")).repartition(5, "batch").write.parquet(src)
     return run_running_accuracy(spark, src)
+
+
+SEQ_SQL = (f"sp AS (SELECT conv_id, turn, array_to_string({sqlx.tok(sqlx.strip_markers('text'))}, ' ') AS h, "
+           f"array_to_string({sqlx.tok(sqlx.strip_markers("CASE WHEN (conv_id + turn) % 3 = 0 THEN text ELSE text || '!' END"))}, ' ') AS r "
+           "FROM conversations WHERE role = 'assistant'), sq AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, "
+           "h, r FROM sp), nn AS (SELECT count(*) AS cnt FROM sq), " + NS_SQL + ", "
+           "g AS (SELECT ns.n, sq.i, list(q2.h ORDER BY q2.i) AS hg, list(q2.r ORDER BY q2.i) AS rg FROM ns, sq, sq q2, nn "
+           "WHERE q2.i >= sq.i AND q2.i < sq.i + ns.n AND sq.i <= nn.cnt - ns.n + 1 GROUP BY ns.n, sq.i), "
+           "gx AS (SELECT n, hg AS gram, true AS h FROM g UNION ALL SELECT n, rg, false FROM g), "
+           "gc AS (SELECT n, gram, count(*) FILTER (WHERE h) AS ch, count(*) FILTER (WHERE NOT h) AS cr FROM gx "
+           "GROUP BY n, gram), per AS (SELECT n, CAST(sum(least(ch, cr)) AS BIGINT) AS matches, "
+           "CAST(sum(ch) AS BIGINT) AS total FROM gc GROUP BY n), cum AS (SELECT n, matches, total, "
+           "max(CASE WHEN matches = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS z, "
+           "sum(CASE WHEN matches > 0 THEN ln(matches / total) END) OVER (ORDER BY n) AS slp FROM per)")
+
+
+@register("bleu_sequence", "WITH " + SEQ_SQL + " SELECT n, matches, total, round(CASE WHEN z = 1 THEN 0.0 ELSE "
+          "exp(slp / n) END, 6) AS bleu FROM cum")
+def q_bleu_sequence(spark, sf):
+    """BLEU as the original calls it: whole processed answers are the tokens (one corpus score per order)."""
+    c = FX.conversations(spark, sf).filter(F.col("role") == "assistant")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("response"),
+                     F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0, F.col("text"))
+                     .otherwise(F.concat("text", F.lit("!"))).alias("target"))
+    t = M.metric_tokens(pairs, ["conv_id", "turn"])
+    joined = t.select("conv_id", "turn", F.array_join("hyp_tokens", " ").alias("response"),
+                      F.array_join("ref_tokens", " ").alias("target"))
+    s = M.bleu_sequence(joined, ["conv_id", "turn"], "response", "target", 4)
+    return s.select("n", "matches", "total", F.round("bleu", 6).alias("bleu"))
