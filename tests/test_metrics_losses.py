@@ -138,3 +138,14 @@ def test_merge_metrics_rejects_duplicates(spark):
         M.merge_metrics([("a", one), ("a", one)])
     with pytest.raises(ValueError):
         L.loss_report("Nope", one, one)
+
+
+def test_lcs_kernel_random_against_brute_force():
+    import random
+    from colloquy.operators.metrics import _lcs
+
+    rnd = random.Random(7)
+    for _ in range(500):
+        a = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 70))]
+        b = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 70))]
+        assert _lcs(a, b) == _lcs_brute(a, b)
