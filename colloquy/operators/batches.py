@@ -23,10 +23,13 @@ def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: in
     """Seeded shuffle into fixed-size batches: ``batch_id``, ``row_in_batch``.
 
     The shuffle order is a keyed hash; global positions come from the
-    distributed numbering, so no single task sees all rows.
+    distributed numbering over the (narrow) keys, so no single task sees all
+    rows and wide rows are shuffled once, by the join on the unique key.
     """
-    d = df.withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
-    d = global_row_number(d, [F.col("_u"), *[F.col(k) for k in key_cols]], "_rn")
+    # number only the keys (narrow rows), then join the numbers back on the unique key
+    narrow = df.select(*key_cols).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
+    numbered = global_row_number(narrow, [F.col("_u"), *[F.col(k) for k in key_cols]], "_rn")
+    d = df.join(numbered, key_cols)
     d = d.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
          .withColumn("row_in_batch", F.pmod(F.col("_rn") - 1, F.lit(batch_size)).cast("int"))
     if drop_last:
@@ -38,7 +41,9 @@ def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: in
 
 def shard_rows(df: DataFrame, order_cols: list[str], n_shards: int, batch_size: int) -> DataFrame:
     """Worker ``i`` takes batches ``i, i+n, i+2n, ...`` of the ordered rows."""
-    d = global_row_number(df, [F.col(c) for c in order_cols], "_rn")
+    # order_cols are unique: number them alone, then join back
+    numbered = global_row_number(df.select(*order_cols), [F.col(c) for c in order_cols], "_rn")
+    d = df.join(numbered, order_cols)
     b = F.floor((F.col("_rn") - 1) / batch_size)
     return d.withColumn("batch_index", b.cast("bigint")) \
             .withColumn("shard", F.pmod(b, F.lit(n_shards)).cast("int")).drop("_rn")

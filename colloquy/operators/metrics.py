@@ -281,17 +281,16 @@ def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str
 def _meteor_exact(hyp, ref, alpha=C.METEOR_ALPHA, beta=C.METEOR_BETA, gamma=C.METEOR_GAMMA) -> float:
     h = [w.lower() for w in (hyp if hyp is not None else [])]
     r = [w.lower() for w in (ref if ref is not None else [])]
-    hl = list(enumerate(h))
-    rl = list(enumerate(r))
+    # greedy exact alignment scanning both sides from the end: each hypothesis
+    # word (last first) takes the last still-unused equal reference word
+    free: dict = {}
+    for j, w in enumerate(r):
+        free.setdefault(w, []).append(j)
     matches = []
-    # greedy exact alignment, scanning both sides from the end
-    for i in range(len(hl) - 1, -1, -1):
-        for j in range(len(rl) - 1, -1, -1):
-            if hl[i][1] == rl[j][1]:
-                matches.append((hl[i][0], rl[j][0]))
-                hl.pop(i)
-                rl.pop(j)
-                break
+    for i in range(len(h) - 1, -1, -1):
+        stack = free.get(h[i])
+        if stack:
+            matches.append((i, stack.pop()))
     m = len(matches)
     if m == 0:
         return 0.0

@@ -149,3 +149,33 @@ def test_lcs_kernel_random_against_brute_force():
         a = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 70))]
         b = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 70))]
         assert _lcs(a, b) == _lcs_brute(a, b)
+
+
+def _meteor_loop(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5):
+    """Plain statement of the exact stage: scan both sides from the end, pop matches."""
+    hl, rl = list(enumerate(w.lower() for w in hyp)), list(enumerate(w.lower() for w in ref))
+    matches = []
+    for i in range(len(hl) - 1, -1, -1):
+        for j in range(len(rl) - 1, -1, -1):
+            if hl[i][1] == rl[j][1]:
+                matches.append((hl[i][0], rl[j][0]))
+                hl.pop(i)
+                rl.pop(j)
+                break
+    if not matches:
+        return 0.0
+    matches.sort()
+    chunks = 1 + sum(1 for a, b in zip(matches, matches[1:]) if not (b[0] == a[0] + 1 and b[1] == a[1] + 1))
+    p, r = len(matches) / len(hyp), len(matches) / len(ref)
+    return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / len(matches)) ** beta)
+
+
+def test_meteor_kernel_random_against_loop():
+    import random
+    from colloquy.operators.metrics import _meteor_exact
+
+    rnd = random.Random(11)
+    for _ in range(500):
+        a = [rnd.choice("abcdeA") for _ in range(rnd.randint(0, 25))]
+        b = [rnd.choice("abcdea") for _ in range(rnd.randint(1, 25))]
+        assert _meteor_exact(a, b) == pytest.approx(_meteor_loop(a, b), abs=1e-12)
