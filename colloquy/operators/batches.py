@@ -19,16 +19,21 @@ def assign_split(df: DataFrame, key_cols: list[str], eval_fraction: float = 0.1,
 
 
 def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: int = C.SEED,
-                   drop_last: bool = False) -> DataFrame:
+                   drop_last: bool = False, bucket_by: str | None = None) -> DataFrame:
     """Seeded shuffle into fixed-size batches: ``batch_id``, ``row_in_batch``.
 
     The shuffle order is a keyed hash; global positions come from the
     distributed numbering over the (narrow) keys, so no single task sees all
     rows and wide rows are shuffled once, by the join on the unique key.
+    ``bucket_by`` (e.g. a length bucket) orders rows by bucket first, so a batch
+    holds rows of similar length and padding shrinks; rows are still shuffled
+    inside a bucket.
     """
     # number only the keys (narrow rows), then join the numbers back on the unique key
-    narrow = df.select(*key_cols).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
-    numbered = global_row_number(narrow, [F.col("_u"), *[F.col(k) for k in key_cols]], "_rn")
+    extra = [bucket_by] if bucket_by else []
+    narrow = df.select(*key_cols, *extra).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
+    order = [F.col(c) for c in extra] + [F.col("_u"), *[F.col(k) for k in key_cols]]
+    numbered = global_row_number(narrow, order, "_rn").drop(*extra)
     d = df.join(numbered, key_cols)
     d = d.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
          .withColumn("row_in_batch", F.pmod(F.col("_rn") - 1, F.lit(batch_size)).cast("int"))

@@ -136,3 +136,16 @@ def test_build_vocab_max_size(spark, limit):
     v = TK.build_vocab(toks, "tokens", max_size=limit)
     corpus = [r.token for r in v.orderBy("token_id").collect() if r.token_id >= len(C.SPECIAL_TOKENS)]
     assert corpus == (["z", "y"] if limit == 2 else ["z", "y", "x"])
+
+
+def test_assign_batches_bucketed_cuts_padding(spark):
+    rows = [(k, [1] * ((k * 37) % 97 + 1)) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").withColumn("lb", F.floor(F.size("ids") / 10))
+
+    def padding(b):
+        p = B.pad_batch(b, "batch_id", {"ids": 0}, 1)
+        return p.select(F.sum(F.col("padded_length") - F.size(F.filter("ids", lambda x: x == 1)))).first()[0]
+
+    plain = B.assign_batches(df, ["k"], 8)
+    bucketed = B.assign_batches(df, ["k"], 8, bucket_by="lb")
+    assert bucketed.count() == 400 and padding(bucketed) < padding(plain)
