@@ -90,18 +90,32 @@ def holdout_last_turn(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dialogue_prompt(turns: DataFrame, instruction: str = C.DIALOGUE_INSTRUCTION, eos: str = C.EOS,
-                    role_map: dict | None = None, compat: bool = False) -> DataFrame:
+                    role_map: dict | None = None, compat: bool = False, block: int = 1024) -> DataFrame:
     """``(conv_id, prompt, prompt_length, target, target_role)``.
 
     prompt = instruction + rendered context + trailing doctor marker; the last
     turn (whatever its role) is the target; length counts code points.
+
+    Two aggregations and no join: every turn is rendered and concatenated in
+    two levels (turn blocks, then blocks); each level also keeps its last turn
+    (``max_by``), and the last piece is cut off the end of the full string.
     """
-    context, target = holdout_last_turn(turns)
-    rendered = concat_pieces(render_turns(context, eos, role_map, False, compat),
-                             ["conv_id"], "turn", "piece", "ctx")
-    out = (target.select("conv_id", F.col("text").alias("target"), F.col("role").alias("target_role"))
-           .join(rendered, "conv_id", "left")
-           .withColumn("prompt", F.concat(F.lit(instruction), F.coalesce("ctx", F.lit("")), F.lit(C.DOCTOR))))
+    pieces = turns.select(
+        "conv_id", "turn", F.floor(F.col("turn") / block).cast("bigint").alias("_blk"),
+        F.concat(role_marker(F.col("role"), role_map, compat), F.col("text"), F.lit(eos)).alias("piece"),
+        "text", "role")
+    last = F.struct(F.length("piece").alias("plen"), F.col("text").alias("text"), F.col("role").alias("role"))
+    lvl1 = pieces.groupBy("conv_id", "_blk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "piece"))), lambda x: x["piece"]), "")
+        .alias("_bs"),
+        F.max_by(last, F.col("turn")).alias("_last"))
+    lvl2 = lvl1.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_bs"))), lambda x: x["_bs"]), "")
+        .alias("_all"),
+        F.max_by("_last", F.col("_blk")).alias("_last"))
+    ctx = F.substring(F.col("_all"), F.lit(1), F.length("_all") - F.col("_last.plen"))
+    out = lvl2.select("conv_id", F.concat(F.lit(instruction), ctx, F.lit(C.DOCTOR)).alias("prompt"),
+                      F.col("_last.text").alias("target"), F.col("_last.role").alias("target_role"))
     return out.select("conv_id", "prompt", F.length("prompt").cast("bigint").alias("prompt_length"),
                       "target", "target_role")
 
