@@ -53,10 +53,16 @@ def tag_correctness(df: DataFrame, reply: str = "model_output", answer: str = "a
     return df.withColumn("choices", ch).withColumn("correctness", F.coalesce(ok, F.lit(False)).cast("int"))
 
 
-def choice_accuracy(df: DataFrame, by: list[str] | None = None, correct: str = "correctness") -> DataFrame:
-    """``100 * correct / rows``; an empty input gives null instead of failing."""
+def choice_accuracy(df: DataFrame, by: list[str] | None = None, correct: str = "correctness",
+                    rollup: bool = False) -> DataFrame:
+    """``100 * correct / rows``; an empty input gives null instead of failing.
+
+    ``by`` groups; ``rollup=True`` adds subtotals and the grand total.
+    """
     acc = (F.lit(100.0) * F.try_divide(F.sum(correct).cast("double"), F.count(F.lit(1)).cast("double")))
     aggs = [F.count(F.lit(1)).alias("n"), F.round(acc, 6).alias("accuracy")]
+    if by and rollup:
+        return df.rollup(*by).agg(*aggs)
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
@@ -326,18 +332,34 @@ def metric_tokens(pairs: DataFrame, keys: list[str], response: str = "response",
 
 
 def generation_report(pairs: DataFrame, keys: list[str], response: str = "response",
-                      target: str = "target") -> DataFrame:
-    """One row: rouge_l (non-empty pairs), bleu_2, bleu_4, meteor, dist_2 (3-gram compat), rounded to 4."""
-    toks = materialize(metric_tokens(pairs, keys, response, target))
+                      target: str = "target", by: list[str] | None = None) -> DataFrame:
+    """rouge_l (non-empty pairs), bleu_2, bleu_4, meteor, dist_2 (3-gram compat), rounded to 4.
+
+    One row, or one row per ``by`` group (``by`` columns come from ``pairs``).
+    The processed token table is written once and read by every metric.
+    """
+    by = by or []
+    toks = metric_tokens(pairs.select(*keys, *[c for c in by if c not in keys], response, target),
+                         keys + [c for c in by if c not in keys], response, target)
+    toks = materialize(toks)
+    ids = keys + [c for c in by if c not in keys]
     nonempty = toks.filter((F.size("hyp_tokens") > 0) & (F.size("ref_tokens") > 0))
-    rl = rouge_l(nonempty, keys).agg(F.avg("rouge_l").alias("rouge_l"))
-    bl = bleu_scores(toks, keys, (2, 4)).agg(F.avg("bleu_2").alias("bleu_2"), F.avg("bleu_4").alias("bleu_4"))
-    b2, b4 = bl.select("bleu_2"), bl.select("bleu_4")
-    mt = meteor(toks, keys).agg(F.avg("meteor").alias("meteor"))
-    d2 = ngram_stats(ngram_counts(toks, "hyp_tokens", (3,))).select(F.col("distinct_ratio").alias("dist_2"))
-    parts = [("rouge_l", rl), ("bleu_2", b2), ("bleu_4", b4), ("meteor", mt), ("dist_2", d2)]
-    long = merge_metrics(parts)
-    return long.groupBy().pivot("metric", [p[0] for p in parts]).agg(F.round(F.first("value"), 4))
+    b = bleu_scores(toks, ids, (2, 4))
+    parts = [
+        ("rouge_l", rouge_l(nonempty, ids).groupBy(*by).agg(F.avg("rouge_l").alias("v"))),
+        ("bleu_2", b.groupBy(*by).agg(F.avg("bleu_2").alias("v"))),
+        ("bleu_4", b.groupBy(*by).agg(F.avg("bleu_4").alias("v"))),
+        ("meteor", meteor(toks, ids).groupBy(*by).agg(F.avg("meteor").alias("v"))),
+        ("dist_2", ngram_stats(ngram_counts(toks, "hyp_tokens", (3,), by), by).select(
+            *by, F.col("distinct_ratio").alias("v"))),
+    ]
+    # long form (group, metric, value) then one pivot: no joins between the parts
+    long = None
+    for name, df in parts:
+        t = df.select(*by, F.lit(name).alias("metric"), F.col("v").cast("double").alias("value"))
+        long = t if long is None else long.unionByName(t)
+    names = [n for n, _ in parts]
+    return long.groupBy(*by).pivot("metric", names).agg(F.round(F.first("value"), 4))
 
 
 # ---------------------------------------------------------------- judge scores

@@ -76,14 +76,18 @@ def render_dialogue(turns: DataFrame, eos: str = C.EOS, add_reply: bool = False,
     return out
 
 
-def holdout_last_turn(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def holdout_last_turn(turns: DataFrame, require_target_role: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split each conversation into context (all but the last turn) and target.
 
     The last-turn table is a partial aggregate (one row per conversation), so a
     conversation with very many turns does not pile up before the shuffle.
+    ``require_target_role`` keeps only conversations whose last turn has that
+    role (the original does not check).
     """
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    marked = turns.join(last, "conv_id")
+    last = turns.groupBy("conv_id").agg(F.max_by("role", "turn").alias("_lrole"), F.max("turn").alias("_last"))
+    if require_target_role is not None:
+        last = last.filter(F.col("_lrole") == require_target_role)
+    marked = turns.join(last.drop("_lrole"), "conv_id")
     context = marked.filter(F.col("turn") < F.col("_last")).drop("_last")
     target = marked.filter(F.col("turn") == F.col("_last")).drop("_last")
     return context, target

@@ -9,7 +9,7 @@ from ..functions.arrays import argmax_index
 from ..operators import losses as L
 from ..operators import metrics as M
 from ..session import materialize, scratch_path
-from ..streaming.accuracy import run_running_accuracy
+from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
 from . import fixtures as FX
 from . import sqlx
 from .registry import register
@@ -251,3 +251,14 @@ def q_bleu_sequence(spark, sf):
                       F.array_join("ref_tokens", " ").alias("target"))
     s = M.bleu_sequence(joined, ["conv_id", "turn"], "response", "target", 4)
     return s.select("n", "matches", "total", F.round("bleu", 6).alias("bleu"))
+
+
+@register("running_accuracy_batches", "WITH " + TA_SQL + ", pb AS (SELECT CAST(vec_id % 5 AS BIGINT) AS batch, "
+          "sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS r, count(*) AS t FROM ta WHERE label <> -100 GROUP BY 1) "
+          "SELECT batch, CAST(sum(r) OVER (ORDER BY batch) AS BIGINT) AS \"right\", CAST(sum(t) OVER (ORDER BY batch) "
+          "AS BIGINT) AS total, round(CAST(sum(r) OVER (ORDER BY batch) AS DOUBLE) / sum(t) OVER (ORDER BY batch), 6) "
+          "AS accuracy FROM pb")
+def q_running_accuracy_batches(spark, sf):
+    """Batch twin of the running-accuracy stream: cumulative accuracy after each arrival batch."""
+    p = _preds(spark, sf).withColumn("batch", F.pmod(F.col("vec_id"), F.lit(5)).cast("bigint"))
+    return running_accuracy_by_batch(p)

@@ -1,5 +1,5 @@
 """Structured Streaming operators."""
 
-from .accuracy import running_accuracy, run_running_accuracy
+from .accuracy import run_running_accuracy, running_accuracy, running_accuracy_by_batch
 
-__all__ = ["running_accuracy", "run_running_accuracy"]
+__all__ = ["running_accuracy", "run_running_accuracy", "running_accuracy_by_batch"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..plans.numbering import running_sum
 from ..session import scratch_path
 
 PRED_SCHEMA = T.StructType([T.StructField("batch", T.LongType()), T.StructField("pred", T.IntegerType()),
@@ -25,6 +26,21 @@ def running_accuracy(stream: DataFrame, pred: str = "pred", label: str = "label"
                                                          F.col("total").cast("double")), 6))
 
 
+def running_accuracy_by_batch(df: DataFrame, batch: str = "batch", pred: str = "pred",
+                              label: str = "label") -> DataFrame:
+    """Batch twin of the stream: accuracy accumulated after each batch, in batch order.
+
+    Per-batch sums are a partial aggregate; the cumulative sums over batches use
+    the blocked prefix sum, so no window sees all batches in one task.
+    """
+    per = df.filter(F.col(label) != C.IGNORE_INDEX).groupBy(batch).agg(
+        F.sum((F.col(pred) == F.col(label)).cast("bigint")).alias("_r"), F.count(F.lit(1)).alias("_t"))
+    cum = running_sum(per, [], batch, {"_r": "right", "_t": "total"})
+    return cum.select(batch, "right", "total",
+                      F.round(F.try_divide(F.col("right").cast("double"), F.col("total").cast("double")), 6)
+                      .alias("accuracy"))
+
+
 def run_running_accuracy(spark: SparkSession, source_dir: str, schema: T.StructType = PRED_SCHEMA,
                          files_per_trigger: int = 1) -> DataFrame:
     """Drive the stream over all files present now and return the final state.

@@ -70,3 +70,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["conv_id", "prompt", "prompt_length", "target", "target_role"]
     assert df.count() > 0
+
+
+def test_running_accuracy_by_batch_is_cumulative(spark):
+    from colloquy.streaming import running_accuracy_by_batch
+
+    rows = [(b, p, l) for b in range(3) for p, l in [(1, 1), (0, 1), (2, -100)]]
+    df = spark.createDataFrame(rows, "batch long, pred int, label int")
+    got = [(r.batch, r.right, r.total) for r in running_accuracy_by_batch(df).orderBy("batch").collect()]
+    assert got == [(0, 1, 2), (1, 2, 4), (2, 3, 6)]

@@ -179,3 +179,13 @@ def test_meteor_kernel_random_against_loop():
         a = [rnd.choice("abcdeA") for _ in range(rnd.randint(0, 25))]
         b = [rnd.choice("abcdea") for _ in range(rnd.randint(1, 25))]
         assert _meteor_exact(a, b) == pytest.approx(_meteor_loop(a, b), abs=1e-12)
+
+
+def test_choice_accuracy_rollup_and_grouped_report(spark):
+    df = spark.createDataFrame([("A", 1), ("A", 0), ("B", 1)], "answer string, correctness int")
+    r = {row.answer: row.accuracy for row in M.choice_accuracy(df, ["answer"], rollup=True).collect()}
+    assert r["A"] == 50.0 and r["B"] == 100.0 and r[None] == pytest.approx(66.666667)
+    pairs = spark.createDataFrame([(1, "g1", "a b c", "a b c"), (2, "g1", "a b", "x y"), (3, "g2", "p q r s", "p q r s")],
+                                  "id long, grp string, response string, target string")
+    rep = {x.grp: x for x in M.generation_report(pairs, ["id"], by=["grp"]).collect()}
+    assert rep["g2"].rouge_l == 1.0 and rep["g2"].bleu_2 == 1.0 and rep["g1"].bleu_2 == 0.5

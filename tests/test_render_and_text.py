@@ -98,3 +98,9 @@ def test_trim_all_matches_python_strip(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r[0] for r in df.select(TX.trim_all(F.col("s"))).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_holdout_requires_target_role(spark):
+    t = turns_df(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q2")])
+    ctx, tgt = R.holdout_last_turn(t, require_target_role="assistant")
+    assert [r.conv_id for r in tgt.collect()] == [1] and [r.turn for r in ctx.collect()] == [0]
