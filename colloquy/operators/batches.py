@@ -18,30 +18,40 @@ def assign_split(df: DataFrame, key_cols: list[str], eval_fraction: float = 0.1,
     return df.withColumn("split", F.when(u < eval_fraction, F.lit("eval")).otherwise(F.lit("train")))
 
 
-def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: int = C.SEED,
-                   drop_last: bool = False, bucket_by: str | None = None) -> DataFrame:
-    """Seeded shuffle into fixed-size batches: ``batch_id``, ``row_in_batch``.
+def batch_numbers(keys: DataFrame, key_cols: list[str], batch_size: int, seed: int = C.SEED,
+                  bucket_by: str | None = None) -> DataFrame:
+    """``(key_cols, batch_id, row_in_batch, _rn)`` for a narrow table of unique keys.
 
-    The shuffle order is a keyed hash; global positions come from the
-    distributed numbering over the (narrow) keys, so no single task sees all
-    rows and wide rows are shuffled once, by the join on the unique key.
-    ``bucket_by`` (e.g. a length bucket) orders rows by bucket first, so a batch
-    holds rows of similar length and padding shrinks; rows are still shuffled
-    inside a bucket.
+    The shuffle order is a keyed hash (after ``bucket_by`` when given); global
+    positions come from the distributed numbering, so no task sees all keys.
     """
-    # number only the keys (narrow rows), then join the numbers back on the unique key
     extra = [bucket_by] if bucket_by else []
-    narrow = df.select(*key_cols, *extra).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
+    narrow = keys.select(*key_cols, *extra).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
     order = [F.col(c) for c in extra] + [F.col("_u"), *[F.col(k) for k in key_cols]]
-    numbered = global_row_number(narrow, order, "_rn").drop(*extra)
+    numbered = global_row_number(narrow, order, "_rn").drop(*extra, "_u")
+    return numbered.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
+                   .withColumn("row_in_batch", F.pmod(F.col("_rn") - 1, F.lit(batch_size)).cast("int"))
+
+
+def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: int = C.SEED,
+                   drop_last: bool = False, bucket_by: str | None = None,
+                   keys: DataFrame | None = None) -> DataFrame:
+    """Seeded shuffle into fixed-size batches: ``batch_id``, ``row_in_batch``.
+
+    Only the (narrow, unique) keys are numbered; the numbers are joined back
+    on the key, so wide rows are shuffled once.  ``keys`` may supply the key
+    table from an earlier, cheaper stage (otherwise it is taken from ``df``,
+    which is then read twice).  ``bucket_by`` (e.g. a length bucket) orders
+    rows by bucket first, so a batch holds rows of similar length and padding
+    shrinks; rows are still shuffled inside a bucket.
+    """
+    src = keys if keys is not None else df
+    numbered = batch_numbers(src, key_cols, batch_size, seed, bucket_by)
     d = df.join(numbered, key_cols)
-    d = d.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
-         .withColumn("row_in_batch", F.pmod(F.col("_rn") - 1, F.lit(batch_size)).cast("int"))
     if drop_last:
-        total = d.agg(F.max("_rn")).first()[0] or 0
-        full = total // batch_size
-        d = d.filter(F.col("batch_id") < full)
-    return d.drop("_u", "_rn")
+        total = numbered.agg(F.max("_rn")).first()[0] or 0
+        d = d.filter(F.col("batch_id") < total // batch_size)
+    return d.drop("_rn")
 
 
 def shard_rows(df: DataFrame, order_cols: list[str], n_shards: int, batch_size: int) -> DataFrame:

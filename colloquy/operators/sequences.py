@@ -76,6 +76,9 @@ def dialogue_batches(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
                      seed: int = C.SEED, p: float = C.RANDOM_OFFSET_PROBABILITY) -> DataFrame:
     """Padded, shuffled batches with next-token targets (wrap-around roll)."""
     enc = encode_dialogues(pieces, vocab, max_length, p, seed)
-    b = assign_batches(enc, ["conv_id"], batch_size, seed)
+    # every conversation yields one sequence, so batches are numbered from the
+    # (already written) piece table's keys instead of re-running the chain
+    keys = pieces.select("conv_id").distinct()
+    b = assign_batches(enc, ["conv_id"], batch_size, seed, keys=keys)
     b = pad_batch(b, "batch_id", {"input_ids": pad_id, "attention_mask": 0, "label_mask": False}, pad_multiple)
     return b.withColumn("targets", shift_targets(F.col("input_ids")))

@@ -44,6 +44,11 @@ def _vocab(spark, sf):
     return TK.build_vocab(pieces.select(tokenize(F.col("piece")).alias("tokens")), "tokens")
 
 
+def _conv_keys(spark, sf):
+    """Conversation ids (one sequence each): a cheap key table for batch numbering."""
+    return FX.conversations(spark, sf).select("conv_id").distinct()
+
+
 def _dialogue_tokens(spark, sf):
     d = R.render_dialogue(FX.conversations(spark, sf))
     return d.select("conv_id", tokenize(F.col("text")).alias("tokens"))
@@ -292,7 +297,7 @@ BATCH_SQL = (f"SELECT conv_id, CAST(floor((rn - 1) / {{bs}}) AS BIGINT) AS batch
           "'1' ELSE '0' END), '') AS label_mask FROM pp")
 def q_pad_prompt_target(spark, sf):
     a = _assembled(spark, sf).select("conv_id", "input_ids", "labels")
-    b = B.assign_batches(a, ["conv_id"], 4)
+    b = B.assign_batches(a, ["conv_id"], 4, keys=_conv_keys(spark, sf))
     p = B.pad_batch(b, "batch_id", {"input_ids": 0, "labels": C.IGNORE_INDEX}, 1)
     p = p.withColumn("label_mask", F.transform("labels", lambda x: x != C.IGNORE_INDEX))
     return p.select("conv_id", "batch_id", AR.join_ints("input_ids").alias("input_ids"),
@@ -340,7 +345,7 @@ def q_assign_batches(spark, sf):
           "/ 16) * 16 AS INTEGER) AS L FROM dt0 d JOIN bt b USING (conv_id)) SELECT conv_id, batch_id, L AS "
           f"padded_length, md5(array_to_string(list_resize(tokens, L, '{C.PAD}'), ' ')) AS tokens_md5 FROM pp")
 def q_pad_to_multiple(spark, sf):
-    d = B.assign_batches(_dialogue_tokens(spark, sf), ["conv_id"], 8)
+    d = B.assign_batches(_dialogue_tokens(spark, sf), ["conv_id"], 8, keys=_conv_keys(spark, sf))
     p = B.pad_batch(d, "batch_id", {"tokens": C.PAD}, C.PAD_MULTIPLE)
     return p.select("conv_id", "batch_id", "padded_length", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
@@ -357,7 +362,7 @@ def q_pad_to_multiple(spark, sf):
           "SELECT batch_id, row_in_batch, packed, CAST(len(tokens) AS INTEGER) AS n_tokens, "
           "md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM o")
 def q_pack_short(spark, sf):
-    d = B.assign_batches(_dialogue_tokens(spark, sf), ["conv_id"], 8)
+    d = B.assign_batches(_dialogue_tokens(spark, sf), ["conv_id"], 8, keys=_conv_keys(spark, sf))
     p = B.pack_short(d, "batch_id", "row_in_batch", ["tokens"], ["conv_id"], 512)
     return p.select("batch_id", "row_in_batch", "packed", F.size("tokens").alias("n_tokens"),
                     F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
