@@ -9,12 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.arrays import window_slice
 from ..functions.keyed import keyed_uniform
-from ..functions.text import tokenize
 from ..plans.numbering import global_row_number, running_sum
 from ..session import broadcast_if_small
 
