@@ -25,9 +25,10 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn") -> DataF
               .withColumn("_local", F.monotonically_increasing_id()
                           - (F.spark_partition_id().cast("bigint") * F.lit(8589934592))))
     # The counts and the rows must see the same partitioning of the sort;
-    # range bounds come from sampling, so the sorted, tagged rows are written
-    # once to the shared checkpoint folder and both branches read that copy
-    # (it also survives lost executors).
+    # range bounds come from sampling, so the sorted, tagged rows are
+    # checkpointed once to the shared checkpoint folder (spark.checkpoint.dir)
+    # and both branches read that copy (it also survives lost executors).
+    # Callers number narrow key tables, so this copy is small.
     tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(

@@ -112,14 +112,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     return F.broadcast(df) if n <= limit else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 
-    Used for intermediates read by several branches (tokenized corpora) so
-    costly expressions run once; it also cuts lineage for retries.
+    Used for intermediates read by several branches (tokenized corpora, sorted
+    rows) so costly or nondeterministic expressions run exactly once; it also
+    cuts lineage, so a lost executor re-reads files instead of recomputing.
+    One job (the write); the read-back gets column pruning like any table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
