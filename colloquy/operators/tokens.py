@@ -7,14 +7,18 @@ to ``max_length``.  Row-local array operators are plain Column expressions.
 
 from __future__ import annotations
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
 from ..functions.arrays import window_slice
 from ..functions.keyed import keyed_uniform
 from ..plans.numbering import global_row_number, running_sum
-from ..session import broadcast_if_small
+from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -79,6 +83,35 @@ def encode_long(long_tokens: DataFrame, vocab: DataFrame, token_col: str = "toke
         .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk_id).cast("bigint")))
 
 
+def encode_array(df: DataFrame, array_col: str, vocab: DataFrame, keys: list[str], out: str | None = None,
+                 unk_id: int = C.SPECIAL_TOKENS.index(C.UNK), limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Token arrays → id arrays (``out``, default: replace ``array_col``).
+
+    A vocabulary of at most ``limit`` rows (counted first) is shipped once to
+    the executors as a broadcast dict and looked up in Arrow batches: a
+    map-only stage, no shuffle of the token stream.  A larger vocabulary takes
+    the long-form path: explode, shuffle join, regroup by ``keys``.
+    """
+    out = out or array_col
+    n = vocab.limit(limit + 1).count()
+    if n <= limit:
+        spark = df.sparkSession
+        mapping = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
+        bc = spark.sparkContext.broadcast(mapping)
+
+        @pandas_udf(T.ArrayType(T.LongType()))
+        def lookup(s: pd.Series) -> pd.Series:
+            d = bc.value
+            return pd.Series([[d.get(t, unk_id) for t in toks] if toks is not None else None for toks in s])
+
+        return df.withColumn(out, lookup(F.col(array_col)))
+    long = explode_positions(df.select(*keys, array_col), array_col, keys, "_pos", "_tok")
+    enc = encode_long(long, vocab, "_tok", unk_id)
+    g = regroup(enc, keys, "_pos", ["token_id"]).withColumnRenamed("token_id", out)
+    base = df if out != array_col else df.drop(array_col)
+    return base.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
+
+
 def decode_long(long_ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``token`` to a long id table."""
     v = broadcast_if_small(vocab.select("token_id", "token"))

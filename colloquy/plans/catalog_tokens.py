@@ -96,9 +96,11 @@ def _encoded_pieces(spark, sf):
 @register("encode_tokens", "WITH " + ENC_SQL + " SELECT conv_id, turn, string_agg(CAST(token_id AS VARCHAR), ' ' "
           "ORDER BY pos) AS ids FROM pte GROUP BY conv_id, turn")
 def q_encode_tokens(spark, sf):
-    enc, _ = _encoded_pieces(spark, sf)
-    g = TK.regroup(enc, ["conv_id", "turn"], "pos", ["token_id"])
-    return g.select("conv_id", "turn", AR.join_ints("token_id").alias("ids"))
+    """Per-turn token arrays encoded with the corpus vocabulary (broadcast lookup when it is small)."""
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
+    vocab = TK.build_vocab(pieces, "toks")
+    enc = TK.encode_array(pieces.select("conv_id", "turn", "toks"), "toks", vocab, ["conv_id", "turn"], "ids")
+    return enc.select("conv_id", "turn", AR.join_ints("ids").alias("ids"))
 
 
 @register("decode_tokens", "SELECT conv_id, turn, array_to_string(" + TOK_PIECE + ", ' ') AS text FROM conversations")
@@ -210,10 +212,8 @@ def _glm_sources(spark, sf):
 
 
 def _encode_array(df, col, vocab, keys):
-    long = TK.explode_positions(df, col, keys)
-    enc = TK.encode_long(long, vocab).withColumn("token_id", F.col("token_id").cast("int"))
-    g = TK.regroup(enc, keys, "pos", ["token_id"]).withColumnRenamed("token_id", col)
-    return df.drop(col).join(g, keys, "left").withColumn(col, F.coalesce(F.col(col), F.array().cast("array<int>")))
+    enc = TK.encode_array(df, col, vocab, keys)
+    return enc.withColumn(col, F.transform(col, lambda x: x.cast("int")))
 
 
 def _glm_ids(spark, sf):

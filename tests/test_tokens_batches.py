@@ -149,3 +149,13 @@ def test_assign_batches_bucketed_cuts_padding(spark):
     plain = B.assign_batches(df, ["k"], 8)
     bucketed = B.assign_batches(df, ["k"], 8, bucket_by="lb")
     assert bucketed.count() == 400 and padding(bucketed) < padding(plain)
+
+
+def test_encode_array_broadcast_and_join_paths_agree(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, []), (3, ["b", "a", "a"])], "k long, toks array<string>")
+    vocab = TK.build_vocab(df, "toks")
+    small = {r.k: r.ids for r in TK.encode_array(df, "toks", vocab, ["k"], "ids").collect()}
+    big = {r.k: r.ids for r in TK.encode_array(df, "toks", vocab, ["k"], "ids", limit=1).collect()}
+    assert small == big and small[2] == []
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    assert small[3] == [ids["b"], ids["a"], ids["a"]]
