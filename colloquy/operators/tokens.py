@@ -112,6 +112,28 @@ def encode_array(df: DataFrame, array_col: str, vocab: DataFrame, keys: list[str
     return base.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
 
 
+def decode_array(df: DataFrame, array_col: str, vocab: DataFrame, keys: list[str], out: str | None = None,
+                 limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Id arrays → token arrays; same two paths as ``encode_array``."""
+    out = out or array_col
+    n = vocab.limit(limit + 1).count()
+    if n <= limit:
+        mapping = {int(r["token_id"]): r["token"] for r in vocab.select("token", "token_id").collect()}
+        bc = df.sparkSession.sparkContext.broadcast(mapping)
+
+        @pandas_udf(T.ArrayType(T.StringType()))
+        def lookup(s: pd.Series) -> pd.Series:
+            d = bc.value
+            return pd.Series([[d.get(int(i)) for i in ids] if ids is not None else None for ids in s])
+
+        return df.withColumn(out, lookup(F.col(array_col)))
+    long = explode_positions(df.select(*keys, array_col), array_col, keys, "_pos", "token_id")
+    dec = decode_long(long, vocab)
+    g = regroup(dec, keys, "_pos", ["token"]).withColumnRenamed("token", out)
+    base = df if out != array_col else df.drop(array_col)
+    return base.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
 def decode_long(long_ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``token`` to a long id table."""
     v = broadcast_if_small(vocab.select("token_id", "token"))

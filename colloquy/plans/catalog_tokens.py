@@ -105,10 +105,13 @@ def q_encode_tokens(spark, sf):
 
 @register("decode_tokens", "SELECT conv_id, turn, array_to_string(" + TOK_PIECE + ", ' ') AS text FROM conversations")
 def q_decode_tokens(spark, sf):
-    enc, vocab = _encoded_pieces(spark, sf)
-    dec = TK.decode_long(enc.select("conv_id", "turn", "pos", "token_id"), vocab)
-    g = TK.regroup(dec, ["conv_id", "turn"], "pos", ["token"])
-    return g.select("conv_id", "turn", F.array_join("token", " ").alias("text"))
+    """Encode every turn's tokens, then decode the ids back (round trip through the vocabulary)."""
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
+    vocab = TK.build_vocab(pieces, "toks")
+    keys = ["conv_id", "turn"]
+    enc = TK.encode_array(pieces.select(*keys, "toks"), "toks", vocab, keys, "ids")
+    dec = TK.decode_array(enc.select(*keys, "ids"), "ids", vocab, keys, "tokens")
+    return dec.select(*keys, F.array_join("tokens", " ").alias("text"))
 
 
 @register("truncate_head", "WITH " + DT_SQL + " SELECT conv_id, array_to_string(tokens[1:64], ' ') AS tokens FROM dt0")

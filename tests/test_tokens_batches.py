@@ -159,3 +159,8 @@ def test_encode_array_broadcast_and_join_paths_agree(spark):
     assert small == big and small[2] == []
     ids = {r.token: r.token_id for r in vocab.collect()}
     assert small[3] == [ids["b"], ids["a"], ids["a"]]
+    enc = TK.encode_array(df, "toks", vocab, ["k"], "ids")
+    for lim in (None, 1):
+        kw = {} if lim is None else {"limit": lim}
+        dec = {r.k: r.back for r in TK.decode_array(enc, "ids", vocab, ["k"], "back", **kw).collect()}
+        assert dec == {1: ["a", "b", "zz"], 2: [], 3: ["b", "a", "a"]}
