@@ -146,11 +146,16 @@ def ngram_match_counts(pairs: DataFrame, keys: list[str], hyp: str, ref: str, ma
     Hypothesis and reference n-grams are exploded together with a side flag
     and counted in one aggregation keyed by ``(pair, n, ngram)``; clipping is
     ``least(hyp count, ref count)``; a second aggregation sums per order.
+    Only the pair rows are shuffled (by pair key); the n-gram aggregations run
+    inside those partitions.
     """
     ns = list(range(1, max_n + 1))
     sides = F.array(F.struct(F.lit(True).alias("h"), F.col(hyp).alias("t")),
                     F.struct(F.lit(False).alias("h"), F.col(ref).alias("t")))
-    per_side = pairs.select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.h").alias("_h"),
+    # Pairs are hash-partitioned by key once (one row per pair); every later
+    # aggregation is keyed by the pair first, so the n-grams are counted
+    # inside their partition and never shuffled.
+    per_side = pairs.repartition(*keys).select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.h").alias("_h"),
                                                                          F.col("_s.t").alias("_t"))
     per_n = per_side.select(*keys, "_h", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_t"), n)
                                                                       .alias("g")) for n in ns])).alias("_x"))

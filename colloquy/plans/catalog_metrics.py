@@ -262,3 +262,10 @@ def q_running_accuracy_batches(spark, sf):
     """Batch twin of the running-accuracy stream: cumulative accuracy after each arrival batch."""
     p = _preds(spark, sf).withColumn("batch", F.pmod(F.col("vec_id"), F.lit(5)).cast("bigint"))
     return running_accuracy_by_batch(p)
+
+
+@register("choice_accuracy_rollup", "WITH " + SC_SQL + " SELECT answer, count(*) AS n, "
+          "round(100.0 * sum(correctness) / count(*), 6) AS accuracy FROM tc GROUP BY ROLLUP (answer)")
+def q_choice_accuracy_rollup(spark, sf):
+    """Choice accuracy per answer letter plus the overall row (rollup)."""
+    return M.choice_accuracy(M.tag_correctness(FX.exam_replies(spark, sf)), ["answer"], rollup=True)
