@@ -336,11 +336,13 @@ def metric_tokens(pairs: DataFrame, keys: list[str], response: str = "response",
 
 
 def generation_report(pairs: DataFrame, keys: list[str], response: str = "response",
-                      target: str = "target", by: list[str] | None = None) -> DataFrame:
+                      target: str = "target", by: list[str] | None = None, bleu_mode: str = "pair") -> DataFrame:
     """rouge_l (non-empty pairs), bleu_2, bleu_4, meteor, dist_2 (3-gram compat), rounded to 4.
 
     One row, or one row per ``by`` group (``by`` columns come from ``pairs``).
     The processed token table is written once and read by every metric.
+    ``bleu_mode='sequence'`` scores BLEU as the original calls it (whole
+    processed answers as tokens, ungrouped).
     """
     by = by or []
     toks = metric_tokens(pairs.select(*keys, *[c for c in by if c not in keys], response, target),
@@ -348,11 +350,21 @@ def generation_report(pairs: DataFrame, keys: list[str], response: str = "respon
     toks = materialize(toks)
     ids = keys + [c for c in by if c not in keys]
     nonempty = toks.filter((F.size("hyp_tokens") > 0) & (F.size("ref_tokens") > 0))
-    b = bleu_scores(toks, ids, (2, 4))
+    if bleu_mode == "sequence":
+        if by:
+            raise ValueError("sequence-mode BLEU is one corpus score; it has no groups")
+        joined = toks.select(*ids, F.array_join("hyp_tokens", " ").alias("_h"), F.array_join("ref_tokens", " ").alias("_r"))
+        seq = bleu_sequence(joined, ids, "_h", "_r", 4)
+        b2 = seq.filter(F.col("n") == 2).select(F.col("bleu").alias("v"))
+        b4 = seq.filter(F.col("n") == 4).select(F.col("bleu").alias("v"))
+    else:
+        b = bleu_scores(toks, ids, (2, 4))
+        b2 = b.groupBy(*by).agg(F.avg("bleu_2").alias("v"))
+        b4 = b.groupBy(*by).agg(F.avg("bleu_4").alias("v"))
     parts = [
         ("rouge_l", rouge_l(nonempty, ids).groupBy(*by).agg(F.avg("rouge_l").alias("v"))),
-        ("bleu_2", b.groupBy(*by).agg(F.avg("bleu_2").alias("v"))),
-        ("bleu_4", b.groupBy(*by).agg(F.avg("bleu_4").alias("v"))),
+        ("bleu_2", b2),
+        ("bleu_4", b4),
         ("meteor", meteor(toks, ids).groupBy(*by).agg(F.avg("meteor").alias("v"))),
         ("dist_2", ngram_stats(ngram_counts(toks, "hyp_tokens", (3,), by), by).select(
             *by, F.col("distinct_ratio").alias("v"))),

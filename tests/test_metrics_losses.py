@@ -189,3 +189,11 @@ def test_choice_accuracy_rollup_and_grouped_report(spark):
                                   "id long, grp string, response string, target string")
     rep = {x.grp: x for x in M.generation_report(pairs, ["id"], by=["grp"]).collect()}
     assert rep["g2"].rouge_l == 1.0 and rep["g2"].bleu_2 == 1.0 and rep["g1"].bleu_2 == 0.5
+
+
+def test_generation_report_sequence_bleu(spark):
+    pairs = spark.createDataFrame([(1, "a b", "a b"), (2, "c d", "c d"), (3, "e", "x")],
+                                  "id long, response string, target string")
+    r = M.generation_report(pairs, ["id"], bleu_mode="sequence").collect()[0]
+    # answers as tokens: [ab, cd, e] vs [ab, cd, x] -> p1 = 2/3, p2 = 1/2, brevity 1
+    assert r.bleu_2 == pytest.approx(round(math.sqrt(2 / 3 * 1 / 2), 4))
