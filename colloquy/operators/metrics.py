@@ -177,15 +177,58 @@ def clipped_ngram_matches(pairs: DataFrame, keys: list[str], hyp: str, ref: str,
         F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
 
 
+def _clipped(h, r, max_n: int):
+    """Per order 1..max_n: (clipped matches, hypothesis n-gram count) for one pair."""
+    from collections import Counter
+    h = list(h) if h is not None else []
+    r = list(r) if r is not None else []
+    out_m, out_t = [], []
+    for n in range(1, max_n + 1):
+        ch = Counter(zip(*[h[i:] for i in range(n)]))
+        cr = Counter(zip(*[r[i:] for i in range(n)]))
+        out_m.append(sum((ch & cr).values()))
+        out_t.append(max(len(h) - n + 1, 0))
+    return out_m, out_t
+
+
+def _clipped_udf(max_n: int):
+    @pandas_udf(T.StructType([T.StructField("m", T.ArrayType(T.LongType())),
+                              T.StructField("t", T.ArrayType(T.LongType()))]))
+    def clipped(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        ms, ts = [], []
+        for x, y in zip(h, r):
+            m, t = _clipped(x, y, max_n)
+            ms.append(m)
+            ts.append(t)
+        return pd.DataFrame({"m": ms, "t": ts})
+    return clipped
+
+
 def bleu_scores(pairs: DataFrame, keys: list[str], orders=(2, 4), hyp: str = "hyp_tokens",
-                ref: str = "ref_tokens") -> DataFrame:
+                ref: str = "ref_tokens", kernel: str = "pair") -> DataFrame:
     """Unsmoothed sentence BLEU with uniform weights, one column ``bleu_N`` per order.
 
     A score is 0 when any order up to N has no clipped match (or the
     hypothesis is shorter than N); the brevity penalty is ``exp(1 - r/c)``.
-    All orders share one n-gram count table.
+    ``kernel='pair'`` (default) clips n-gram counts per pair in an Arrow-batched
+    kernel: a map-only stage, nothing is shuffled.  ``kernel='join'`` uses the
+    relational form (``ngram_match_counts``: explode, aggregate per pair
+    partition); both give the same numbers.
     """
-    m = ngram_match_counts(pairs, keys, hyp, ref, max(orders))
+    max_n = max(orders)
+    if kernel == "pair":
+        k = pairs.select(*keys, F.size(hyp).alias("_c"), F.size(ref).alias("_r"),
+                         _clipped_udf(max_n)(F.col(hyp), F.col(ref)).alias("_k"))
+        cols = []
+        for n in orders:
+            m = F.slice(F.col("_k.m"), 1, n)
+            t = F.slice(F.col("_k.t"), 1, n)
+            ok = F.size(F.filter(m, lambda x: x > 0)) == n
+            slp = F.aggregate(F.zip_with(m, t, lambda a, b: F.log(a / b)), F.lit(0.0), lambda acc, x: acc + x)
+            bp = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
+            cols.append(F.when((F.col("_c") > 0) & ok, bp * F.exp(slp / n)).otherwise(F.lit(0.0)).alias(f"bleu_{n}"))
+        return k.select(*keys, *cols)
+    m = ngram_match_counts(pairs, keys, hyp, ref, max_n)
     aggs = []
     for n in orders:
         inside = F.col("n") <= n

@@ -197,3 +197,16 @@ def test_generation_report_sequence_bleu(spark):
     r = M.generation_report(pairs, ["id"], bleu_mode="sequence").collect()[0]
     # answers as tokens: [ab, cd, e] vs [ab, cd, x] -> p1 = 2/3, p2 = 1/2, brevity 1
     assert r.bleu_2 == pytest.approx(round(math.sqrt(2 / 3 * 1 / 2), 4))
+
+
+def test_bleu_kernels_agree(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    toks = M.metric_tokens(E.catalog.catalog_metrics.FX.metric_pairs(spark, SF_SMALL), ["conv_id", "turn"])
+    a = {(r.conv_id, r.turn): (r.bleu_2, r.bleu_4) for r in M.bleu_scores(toks, ["conv_id", "turn"]).collect()}
+    b = {(r.conv_id, r.turn): (r.bleu_2, r.bleu_4)
+         for r in M.bleu_scores(toks, ["conv_id", "turn"], kernel="join").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-12)
