@@ -201,10 +201,10 @@ def q_prepend_prefix(spark, sf):
 
 # -------- prompt / target assembly (ids) -------------------------------------
 
-GLM_MAX, GLM_SRC = 128, 96
+PT_MAX, PT_SRC = 128, 96
 IDS = {t: i for i, t in enumerate(C.SPECIAL_TOKENS)}
 
-def _glm_sources(spark, sf):
+def _prompt_target_sources(spark, sf):
     """Context rendered with the reply marker and system prefix; target turn text."""
     conv = FX.conversations(spark, sf)
     ctx, tgt = R.holdout_last_turn(conv)
@@ -219,23 +219,23 @@ def _encode_array(df, col, vocab, keys):
     return enc.withColumn(col, F.transform(col, lambda x: x.cast("int")))
 
 
-def _glm_ids(spark, sf):
+def _prompt_target_ids(spark, sf):
     vocab = _vocab(spark, sf)
-    s = _glm_sources(spark, sf)
+    s = _prompt_target_sources(spark, sf)
     s = _encode_array(s, "src", vocab, ["conv_id"])
     s = _encode_array(s, "tgt", vocab, ["conv_id"])
     return s
 
 
-_GLM_SRC_TEXT = (f"'{C.SYSTEM}' || {sqlx.lit(C.SYSTEM_PREFIX_TEXT)} || '{C.EOS}' || coalesce(ctx.ctx, '') "
+_PT_SRC_TEXT = (f"'{C.SYSTEM}' || {sqlx.lit(C.SYSTEM_PREFIX_TEXT)} || '{C.EOS}' || coalesce(ctx.ctx, '') "
                  f"|| '{C.DOCTOR}'")
-GLM_SRC_SQL = (
+PT_SRC_SQL = (
     VOCAB_SQL + ", lastt AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), "
     f"ctx AS (SELECT c.conv_id, string_agg({sqlx.marker('c.role')} || c.text || '{C.EOS}', '' ORDER BY c.turn) AS ctx "
     "FROM conversations c JOIN lastt l USING (conv_id) WHERE c.turn < l.last GROUP BY c.conv_id), "
     "tgt AS (SELECT c.conv_id, c.text AS target FROM conversations c JOIN lastt l USING (conv_id) "
     "WHERE c.turn = l.last), "
-    f"gs AS (SELECT t.conv_id, {sqlx.tok(_GLM_SRC_TEXT)} AS src, "
+    f"gs AS (SELECT t.conv_id, {sqlx.tok(_PT_SRC_TEXT)} AS src, "
     f"{sqlx.tok('t.target')} AS tgt FROM tgt t LEFT JOIN ctx USING (conv_id)), "
     "gsl AS (SELECT conv_id, 's' AS side, unnest(src) AS token, unnest(range(len(src))) AS pos FROM gs UNION ALL "
     "SELECT conv_id, 't', unnest(tgt), unnest(range(len(tgt))) FROM gs), "
@@ -246,20 +246,20 @@ GLM_SRC_SQL = (
 
 
 @register("tgt_budget",
-          "WITH " + GLM_SRC_SQL + f", st AS (SELECT conv_id, CASE WHEN len(src) > {GLM_SRC} THEN "
-          f"list_slice(src, len(src) - {GLM_SRC - 1}, len(src)) ELSE src END AS src, tgt FROM gids) "
-          f"SELECT conv_id, {sqlx.join_list(f'CASE WHEN len(tgt) > {GLM_MAX} - len(src) - 3 THEN list_slice(tgt, 1, {GLM_MAX} - len(src) - 3) ELSE tgt END')} "
+          "WITH " + PT_SRC_SQL + f", st AS (SELECT conv_id, CASE WHEN len(src) > {PT_SRC} THEN "
+          f"list_slice(src, len(src) - {PT_SRC - 1}, len(src)) ELSE src END AS src, tgt FROM gids) "
+          f"SELECT conv_id, {sqlx.join_list(f'CASE WHEN len(tgt) > {PT_MAX} - len(src) - 3 THEN list_slice(tgt, 1, {PT_MAX} - len(src) - 3) ELSE tgt END')} "
           "AS tgt FROM st")
 def q_tgt_budget(spark, sf):
-    s = _glm_ids(spark, sf).withColumn("src", AR.src_keep_tail("src", GLM_SRC))
-    budget = F.lit(GLM_MAX) - F.size("src") - 3
+    s = _prompt_target_ids(spark, sf).withColumn("src", AR.src_keep_tail("src", PT_SRC))
+    budget = F.lit(PT_MAX) - F.size("src") - 3
     return s.select("conv_id", AR.join_ints(AR.tgt_budget("tgt", budget)).alias("tgt"))
 
 
-ASM_SQL = (GLM_SRC_SQL + f", st AS (SELECT conv_id, CASE WHEN len(src) > {GLM_SRC} THEN "
-           f"list_slice(src, len(src) - {GLM_SRC - 1}, len(src)) ELSE src END AS src, tgt FROM gids), "
-           f"st2 AS (SELECT conv_id, src, CASE WHEN len(tgt) > {GLM_MAX} - len(src) - 3 THEN "
-           f"list_slice(tgt, 1, {GLM_MAX} - len(src) - 3) ELSE tgt END AS tgt FROM st), "
+ASM_SQL = (PT_SRC_SQL + f", st AS (SELECT conv_id, CASE WHEN len(src) > {PT_SRC} THEN "
+           f"list_slice(src, len(src) - {PT_SRC - 1}, len(src)) ELSE src END AS src, tgt FROM gids), "
+           f"st2 AS (SELECT conv_id, src, CASE WHEN len(tgt) > {PT_MAX} - len(src) - 3 THEN "
+           f"list_slice(tgt, 1, {PT_MAX} - len(src) - 3) ELSE tgt END AS tgt FROM st), "
            f"asm AS (SELECT conv_id, list_concat(src, [{IDS[C.GMASK]}, {IDS[C.SOP]}], tgt, [{IDS[C.EOP]}]) AS ids "
            "FROM st2), asm2 AS (SELECT conv_id, ids, CAST(list_position(ids, "
            f"{IDS[C.SOP]}) - 1 AS INTEGER) AS ctxlen FROM asm), asm3 AS (SELECT conv_id, ids, ctxlen, "
@@ -268,23 +268,23 @@ ASM_SQL = (GLM_SRC_SQL + f", st AS (SELECT conv_id, CASE WHEN len(src) > {GLM_SR
 
 
 def _assembled(spark, sf):
-    s = _glm_ids(spark, sf)
-    return TK.assemble_prompt_target(s, "src", "tgt", GLM_MAX, GLM_SRC, IDS[C.GMASK], IDS[C.SOP], IDS[C.EOP])
+    s = _prompt_target_ids(spark, sf)
+    return TK.assemble_prompt_target(s, "src", "tgt", PT_MAX, PT_SRC, IDS[C.GMASK], IDS[C.SOP], IDS[C.EOP])
 
 
 @register("assemble_prompt_target", "WITH " + ASM_SQL + f" SELECT conv_id, {sqlx.join_list('ids')} AS input_ids, "
           f"{sqlx.join_list('labels')} AS labels, ctxlen AS context_length, "
-          f"(len(ids) <> len(labels) OR len(ids) > {GLM_MAX}) AS violation FROM asm3")
+          f"(len(ids) <> len(labels) OR len(ids) > {PT_MAX}) AS violation FROM asm3")
 def q_assemble_prompt_target(spark, sf):
     a = _assembled(spark, sf)
     return a.select("conv_id", AR.join_ints("input_ids").alias("input_ids"), AR.join_ints("labels").alias("labels"),
                     "context_length", "violation")
 
 
-@register("src_keep_tail_ids", "WITH " + GLM_SRC_SQL + f" SELECT conv_id, {sqlx.join_list(f'CASE WHEN len(src) > {GLM_SRC} THEN list_slice(src, len(src) - {GLM_SRC - 1}, len(src)) ELSE src END')} AS src FROM gids")
+@register("src_keep_tail_ids", "WITH " + PT_SRC_SQL + f" SELECT conv_id, {sqlx.join_list(f'CASE WHEN len(src) > {PT_SRC} THEN list_slice(src, len(src) - {PT_SRC - 1}, len(src)) ELSE src END')} AS src FROM gids")
 def q_src_keep_tail_ids(spark, sf):
-    s = _glm_ids(spark, sf)
-    return s.select("conv_id", AR.join_ints(AR.src_keep_tail("src", GLM_SRC)).alias("src"))
+    s = _prompt_target_ids(spark, sf)
+    return s.select("conv_id", AR.join_ints(AR.src_keep_tail("src", PT_SRC)).alias("src"))
 
 
 BATCH_SQL = (f"SELECT conv_id, CAST(floor((rn - 1) / {{bs}}) AS BIGINT) AS batch_id, CAST((rn - 1) % {{bs}} AS INTEGER) "
