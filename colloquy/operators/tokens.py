@@ -18,7 +18,7 @@ from .. import constants as C
 from ..functions.arrays import window_slice
 from ..functions.keyed import keyed_uniform
 from ..plans.numbering import global_row_number, running_sum
-from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small
+from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -42,7 +42,9 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
     col = F.col(token_col)
     exploded = explode_values(tokens, col, [], "token") if dict(tokens.dtypes)[token_col].startswith("array") \
         else tokens.select(col.alias("token"))
-    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    # counted once and written: the numbering and the reserved-token counts
+    # both read this table instead of exploding the token stream twice
+    counts = materialize(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "token-counts")
     sp = F.broadcast(_specials_df(spark, specials))  # k rows, fixed
     corpus = counts.join(sp, "token", "left_anti").filter(F.col("count") >= min_count)
     k = len(specials)
@@ -53,7 +55,9 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
     else:
         numbered = global_row_number(corpus, [F.desc("count"), F.asc("token")], "rn") \
             .withColumn("token_id", F.col("rn") - 1 + k).drop("rn")
-    special_rows = sp.join(counts, "token", "left").select(
+    # map-side inner join picks the k reserved tokens out of the counts first
+    seen = counts.join(sp, "token").select("token", "count")
+    special_rows = sp.join(seen, "token", "left").select(
         "token", "token_id", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
     return special_rows.unionByName(numbered.select("token", F.col("token_id").cast("bigint"),
                                                     F.col("count").cast("bigint")))
