@@ -48,15 +48,14 @@ def extract_choices(col) -> Column:
     """
     s = _c(col)
     first = F.substring(s, 1, 1)
-    found = None
-    for p in C.CHOICE_PATTERNS:
-        # Python's Unicode \s spelled out so every engine agrees
-        m = F.regexp_extract_all(s, F.lit(p.replace(r"\s", C.STRIP_CLASS)), F.lit(1))
-        m = F.when(F.size(m) > 0, m)
-        found = m if found is None else F.coalesce(found, m)
+    # every pattern is evaluated once; the first non-empty match list wins
+    # (Python's Unicode \s spelled out so every engine agrees)
+    found = F.array(*[F.regexp_extract_all(s, F.lit(p.replace(r"\s", C.STRIP_CLASS)), F.lit(1))
+                      for p in C.CHOICE_PATTERNS])
+    first_hit = F.get(F.filter(found, lambda m: F.size(m) > 0), 0)
     return (F.when(s.isNull() | (F.length(s) == 0), F.array().cast("array<string>"))
             .when(first.isin(*C.CHOICES), F.array(first))
-            .otherwise(F.coalesce(found, F.array().cast("array<string>"))))
+            .otherwise(F.coalesce(first_hit, F.array().cast("array<string>"))))
 
 
 def extract_reply(col, prompt_length) -> Column:

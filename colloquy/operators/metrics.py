@@ -46,10 +46,10 @@ def pair_predictions(responses: DataFrame, targets: DataFrame, keys: list[str])
 
 def tag_correctness(df: DataFrame, reply: str = "model_output", answer: str = "answer") -> DataFrame:
     """``correctness`` = 1 when the last extracted choice equals the answer."""
-    s = trim_all(F.col(reply))
-    ch = extract_choices(s)
-    ok = (F.length(s) > 0) & (F.size(ch) > 0) & (F.element_at(ch, -1) == F.col(answer))
-    return df.withColumn("choices", ch).withColumn("correctness", F.coalesce(ok, F.lit(False)).cast("int"))
+    d = df.withColumn("choices", extract_choices(trim_all(F.col(reply))))
+    ch = F.col("choices")  # blank replies give an empty list
+    ok = (F.size(ch) > 0) & (F.element_at(ch, -1) == F.col(answer))
+    return d.withColumn("correctness", F.coalesce(ok, F.lit(False)).cast("int"))
 
 
 def choice_accuracy(df: DataFrame, by: list[str] | None = None, correct: str = "correctness",
