@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.arrays import pad_right
 from ..functions.keyed import keyed_uniform
-from ..plans.numbering import global_row_number
+from ..plans.numbering import dense_row_number
 
 
 def assign_split(df: DataFrame, key_cols: list[str], eval_fraction: float = 0.1,
@@ -28,7 +28,7 @@ def batch_numbers(keys: DataFrame, key_cols: list[str], batch_size: int, seed: i
     extra = [bucket_by] if bucket_by else []
     narrow = keys.select(*key_cols, *extra).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))
     order = [F.col(c) for c in extra] + [F.col("_u"), *[F.col(k) for k in key_cols]]
-    numbered = global_row_number(narrow, order, "_rn").drop(*extra, "_u")
+    numbered = dense_row_number(narrow, order, "_rn").drop(*extra, "_u")
     return numbered.withColumn("batch_id", F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")) \
                    .withColumn("row_in_batch", F.pmod(F.col("_rn") - 1, F.lit(batch_size)).cast("int"))
 
@@ -57,7 +57,7 @@ def assign_batches(df: DataFrame, key_cols: list[str], batch_size: int, seed: in
 def shard_rows(df: DataFrame, order_cols: list[str], n_shards: int, batch_size: int) -> DataFrame:
     """Worker ``i`` takes batches ``i, i+n, i+2n, ...`` of the ordered rows."""
     # order_cols are unique: number them alone, then join back
-    numbered = global_row_number(df.select(*order_cols), [F.col(c) for c in order_cols], "_rn")
+    numbered = dense_row_number(df.select(*order_cols), [F.col(c) for c in order_cols], "_rn")
     d = df.join(numbered, order_cols)
     b = F.floor((F.col("_rn") - 1) / batch_size)
     return d.withColumn("batch_index", b.cast("bigint")) \

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
-from ..plans.numbering import global_row_number
+from ..plans.numbering import dense_row_number
 from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
 
@@ -265,7 +265,9 @@ def bleu_sequence(pairs: DataFrame, keys: list[str], response: str = "response",
     is attached by an equi-join on ``index + k`` (no global window).  Returns
     per order ``n``: clipped matches, n-gram count and the cumulative BLEU-n.
     """
-    numbered = global_row_number(pairs.select(*keys, response, target), [F.col(k) for k in keys], "_i")
+    # number the (narrow) keys, then bring the answers back by key
+    idx = dense_row_number(pairs.select(*keys), [F.col(k) for k in keys], "_i")
+    numbered = pairs.select(*keys, response, target).join(idx, keys)
     base = numbered.select("_i", F.col(response).alias("_h0"), F.col(target).alias("_r0"))
     grams = base
     for j in range(1, max_n):

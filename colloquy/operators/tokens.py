@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from .. import constants as C
 from ..functions.arrays import window_slice
 from ..functions.keyed import keyed_uniform
-from ..plans.numbering import global_row_number, running_sum
+from ..plans.numbering import dense_row_number, running_sum
 from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
 
 
@@ -35,8 +35,9 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
     by count (desc) and token (asc).
 
     Counting is a partial+final hash aggregate.  A ``max_size`` limit is a
-    top-k (bounded by ``max_size``); without it ids come from the distributed
-    numbering (range-partitioned sort + per-partition offsets).
+    top-k (bounded by ``max_size``); without it ids come from
+    ``dense_row_number``: one window when the vocabulary is checked to be small,
+    else the distributed numbering (range-partitioned sort + offsets).
     """
     spark = tokens.sparkSession
     col = F.col(token_col)
@@ -53,7 +54,7 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
         w = Window.orderBy(F.desc("count"), F.asc("token"))  # at most max_size rows
         numbered = top.withColumn("token_id", F.row_number().over(w) - 1 + k)
     else:
-        numbered = global_row_number(corpus, [F.desc("count"), F.asc("token")], "rn") \
+        numbered = dense_row_number(corpus, [F.desc("count"), F.asc("token")], "rn") \
             .withColumn("token_id", F.col("rn") - 1 + k).drop("rn")
     # map-side inner join picks the k reserved tokens out of the counts first
     seen = counts.join(sp, "token").select("token", "count")

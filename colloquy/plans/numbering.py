@@ -40,6 +40,19 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn") -> DataF
             .drop("_part", "_local", "_off"))
 
 
+def dense_row_number(df: DataFrame, order_cols: list, out: str = "rn", small_limit: int = 1_000_000) -> DataFrame:
+    """1-based row number over a total order; the distributed path when large.
+
+    The row count is checked first (bounded by ``small_limit + 1``): a table of
+    at most ``small_limit`` rows is numbered by one window in one task (its size
+    is proven), a larger one by ``global_row_number``.
+    """
+    n = df.limit(small_limit + 1).count()
+    if n <= small_limit:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order_cols)).cast("bigint"))
+    return global_row_number(df, order_cols, out)
+
+
 def running_sum(df: DataFrame, group_cols: list[str], order_col: str, values: dict[str, str],
                 inclusive: bool = True, block: int = 4096, totals_out: str | None = None) -> DataFrame:
     """Prefix sums per group ordered by integer ``order_col``.

@@ -164,3 +164,12 @@ def test_encode_array_broadcast_and_join_paths_agree(spark):
         kw = {} if lim is None else {"limit": lim}
         dec = {r.k: r.back for r in TK.decode_array(enc, "ids", vocab, ["k"], "back", **kw).collect()}
         assert dec == {1: ["a", "b", "zz"], 2: [], 3: ["b", "a", "a"]}
+
+
+def test_dense_row_number_paths_agree(spark):
+    from colloquy.plans.numbering import dense_row_number
+
+    df = spark.range(0, 3000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(3001))).repartition(5)
+    small = {r.id: r.rn for r in dense_row_number(df, [F.col("k"), F.col("id")], "rn").collect()}
+    big = {r.id: r.rn for r in dense_row_number(df, [F.col("k"), F.col("id")], "rn", small_limit=10).collect()}
+    assert small == big and sorted(small.values()) == list(range(1, 3001))
