@@ -60,8 +60,11 @@ def build_vocab(tokens: DataFrame, token_col: str = "tokens", specials=C.SPECIAL
     seen = counts.join(sp, "token").select("token", "count")
     special_rows = sp.join(seen, "token", "left").select(
         "token", "token_id", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
-    return special_rows.unionByName(numbered.select("token", F.col("token_id").cast("bigint"),
-                                                    F.col("count").cast("bigint")))
+    vocab = special_rows.unionByName(numbered.select("token", F.col("token_id").cast("bigint"),
+                                                      F.col("count").cast("bigint")))
+    # the vocabulary is an artifact read many times (size checks, lookups,
+    # joins): write it once
+    return materialize(vocab, "vocab")
 
 
 def add_special_tokens(vocab: DataFrame, tokens) -> DataFrame:
