@@ -42,6 +42,13 @@ def pair_predictions(responses: DataFrame, targets: DataFrame, keys: list[str])
     return j.withColumn("matched", F.col("response").isNotNull() & F.col("target").isNotNull())
 
 
+def unmatched_counts(paired: DataFrame) -> DataFrame:
+    """Counts of pairs with a missing response or target (the original asserts both are 0)."""
+    return paired.agg(F.count(F.lit(1)).alias("pairs"),
+                      F.count_if(F.col("response").isNull()).alias("missing_response"),
+                      F.count_if(F.col("target").isNull()).alias("missing_target"))
+
+
 # ---------------------------------------------------------------- choice exams
 
 def tag_correctness(df: DataFrame, reply: str = "model_output", answer: str = "answer") -> DataFrame:

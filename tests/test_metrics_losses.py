@@ -210,3 +210,12 @@ def test_bleu_kernels_agree(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-12)
+
+
+def test_pair_predictions_unmatched(spark):
+    r = spark.createDataFrame([(1, "a"), (2, "b")], "id long, response string")
+    t = spark.createDataFrame([(2, "B"), (3, "C")], "id long, target string")
+    p = M.pair_predictions(r, t, ["id"])
+    assert sorted((x.id, x.matched) for x in p.collect()) == [(1, False), (2, True), (3, False)]
+    u = M.unmatched_counts(p).collect()[0]
+    assert (u.pairs, u.missing_response, u.missing_target) == (3, 1, 1)
