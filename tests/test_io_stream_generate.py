@@ -79,3 +79,27 @@ def test_running_accuracy_by_batch_is_cumulative(spark):
     df = spark.createDataFrame(rows, "batch long, pred int, label int")
     got = [(r.batch, r.right, r.total) for r in running_accuracy_by_batch(df).orderBy("batch").collect()]
     assert got == [(0, 1, 2), (1, 2, 4), (2, 3, 6)]
+
+
+def test_split_roundtrip_prunes_partitions(spark):
+    from colloquy.operators.batches import assign_split
+
+    turns = spark.createDataFrame([(c, t, "user", f"x{c}") for c in range(50) for t in range(2)],
+                                  "conv_id long, turn long, role string, text string")
+    root = scratch_path(spark, "test-split")
+    io.write_split(assign_split(turns, ["conv_id"], 0.3), root, prefix="p_")
+    ev = io.read_split(spark, root, "eval", prefix="p_")
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
+    tr = io.read_split(spark, root, "train", prefix="p_")
+    assert ev.count() + tr.count() == 100
+    assert not set(r.conv_id for r in ev.collect()) & set(r.conv_id for r in tr.collect())
+
+
+def test_dialogue_jsonl_roundtrip(spark):
+    turns = spark.createDataFrame([(7, 1, "doctor", "b"), (7, 0, "patient", "a"), (9, 0, "patient", "z")],
+                                  "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "test-jsonl")
+    io.write_dialogues(turns, path)
+    back = sorted(tuple(r) for r in io.read_dialogues(spark, path).collect())
+    assert back == [(7, 0, "patient", "a"), (7, 1, "doctor", "b"), (9, 0, "patient", "z")]
