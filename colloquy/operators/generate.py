@@ -68,6 +68,27 @@ def tail_echo_factory(n_chars: int = 16):
     return make
 
 
+def letter_by_length_factory():
+    """Deterministic stand-in for a choice model: decoded prompt + one letter picked by prompt length."""
+    def make():
+        return lambda prompts: [p + "ABCD"[len(p) % 4] for p in prompts]
+    return make
+
+
+def echo_reply_factory(n_chars: int = 24, eos: str = C.EOS):
+    """Deterministic stand-in for a chat model: decoded prompt + its own last characters + eos + next marker."""
+    def make():
+        return lambda prompts: [p + p[-n_chars:] + eos + C.PATIENT for p in prompts]
+    return make
+
+
+def length_judge_factory():
+    """Deterministic stand-in judge: ``Score: len(prompt) % 11``."""
+    def make():
+        return lambda prompts: [f"Score: {len(p) % 11}" for p in prompts]
+    return make
+
+
 def tokenize_with(df: DataFrame, text_col: str, factory, out: str = "tokens") -> DataFrame:
     """Pluggable tokenizer hook: ``factory()`` (once per partition) returns ``str -> list[str]``."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.StringType()))])

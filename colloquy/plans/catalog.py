@@ -1,6 +1,6 @@
 """All registered queries (importing the catalog modules registers them)."""
 
-from . import catalog_metrics, catalog_text, catalog_tokens  # noqa: F401
+from . import catalog_eval, catalog_metrics, catalog_text, catalog_tokens  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
