@@ -34,7 +34,8 @@ def q_evaluate_dialogue(spark, sf):
     return report
 
 
-_RESP = sqlx.trim_all(f"string_split(prompt || ' ' || right(prompt, 12), {sqlx.lit(C.ANSWER_CUE)})[-1]")
+_DECODED = "prompt || ' ' || substr(prompt, length(prompt) // 2 + 1, length(prompt) % 13)"
+_RESP = sqlx.trim_all(f"string_split({_DECODED}, {sqlx.lit(C.ANSWER_CUE)})[-1]")
 EVAL_CASE_SQL = (FX.CASES_SQL + f", cp AS (SELECT doc_id, {CASE_PROMPT_EXPR} AS prompt, answer AS target FROM cases), "
                  f"cr AS (SELECT doc_id, {_RESP} AS response, target FROM cp), "
                  f"cj AS (SELECT doc_id, replace(replace({sqlx.lit(C.DEFAULT_JUDGE_TEMPLATE)}, '[Answer]', target), "
@@ -42,8 +43,9 @@ EVAL_CASE_SQL = (FX.CASES_SQL + f", cp AS (SELECT doc_id, {CASE_PROMPT_EXPR} AS
 
 
 def _case_factory():
+    """Stand-in case model: decoded prompt + a slice from the middle of the prompt."""
     def make():
-        return lambda prompts: [p + " " + p[-12:] for p in prompts]
+        return lambda prompts: [p + " " + p[len(p) // 2:len(p) // 2 + len(p) % 13] for p in prompts]
     return make
 
 

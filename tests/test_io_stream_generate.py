@@ -103,3 +103,18 @@ def test_dialogue_jsonl_roundtrip(spark):
     io.write_dialogues(turns, path)
     back = sorted(tuple(r) for r in io.read_dialogues(spark, path).collect())
     assert back == [(7, 0, "patient", "a"), (7, 1, "doctor", "b"), (9, 0, "patient", "z")]
+
+
+def test_evaluate_dialogue_cuts_the_reply(spark):
+    from colloquy.operators import evaluation as EV
+
+    turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "hi, how are you")],
+                                  "conv_id long, turn long, role string, text string")
+
+    def factory():
+        return lambda prompts: [p + "fine thanks</s><|patient|>bye" for p in prompts]
+
+    pairs, report = EV.evaluate_dialogue(turns, factory)
+    r = pairs.collect()[0]
+    assert (r.response, r.target) == ("fine thanks", "hi, how are you")
+    assert report.collect()[0].rouge_l is not None
