@@ -29,10 +29,20 @@ from .tokens import crop_offset, encode_long, label_mask, regroup
 MARKERS = (C.PATIENT, C.DOCTOR)
 
 
+TURN_BLOCK = 4096  # turns per prefix-sum block
+
+
 def piece_tokens(turns: DataFrame, eos: str = C.EOS) -> DataFrame:
-    """``(conv_id, turn, toks, n_tok, n_mark)`` for every rendered turn."""
+    """``(conv_id, turn, blk, toks, n_tok, n_mark)`` for every rendered turn.
+
+    ``blk`` = ``floor(turn / TURN_BLOCK)``: store the table bucketed by
+    ``(conv_id, blk)`` (``session.materialize_bucketed``) and the prefix sums of
+    the prep chain read it without shuffling the token arrays; a conversation
+    with very many turns still spreads over several buckets.
+    """
     pieces = render_turns(turns, eos)
-    t = pieces.select("conv_id", "turn", tokenize(F.col("piece")).alias("toks"))
+    t = pieces.select("conv_id", "turn", F.floor(F.col("turn") / TURN_BLOCK).cast("bigint").alias("blk"),
+                      tokenize(F.col("piece")).alias("toks"))
     return t.withColumn("n_tok", F.size("toks").cast("bigint")) \
             .withColumn("n_mark", F.size(F.filter("toks", lambda x: x.isin(*MARKERS))).cast("bigint"))
 
@@ -47,7 +57,7 @@ def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
     write it once (``session.materialize``) and pass the written copy.
     """
     pt = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
-                     totals_out="total")
+                     totals_out="total", block=TURN_BLOCK, block_col="blk")
     pt = pt.withColumn("crop_offset", crop_offset(F.col("total"), max_length, p, seed, ["conv_id"]))
     hi = F.col("crop_offset") + max_length
     pt = pt.filter((F.col("start") + F.col("n_tok") > F.col("crop_offset")) & (F.col("start") < hi))

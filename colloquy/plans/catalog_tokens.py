@@ -13,7 +13,7 @@ from ..operators import sequences as S
 from ..operators import tokens as TK
 from . import fixtures as FX
 from . import sqlx
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from .registry import register, table
 
 MARKERS = (C.PATIENT, C.DOCTOR)
@@ -405,7 +405,8 @@ DB_SQL = (VOCAB_SQL + ", pieces AS (SELECT conv_id, turn, " + TOK_PIECE + " AS t
           f"{sqlx.join_list('list_concat(ids[2:], ids[1:1])')} AS targets FROM pd")
 def q_dialogue_batches(spark, sf):
     """Whole fine-tuning data path: render, tokenize, crop, encode, mask, batch, pad, shift."""
-    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
+    # written once, bucketed by (conv_id, turn block): the prefix sums read it without a shuffle
+    pieces = materialize_bucketed(S.piece_tokens(FX.conversations(spark, sf)), ["conv_id", "blk"], "pieces")
     vocab = TK.build_vocab(pieces, "toks")
     b = S.dialogue_batches(pieces, vocab, max_length=256, batch_size=8)
     return b.select("conv_id", "batch_id", "row_in_batch", AR.join_ints("input_ids").alias("input_ids"),

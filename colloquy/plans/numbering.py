@@ -54,7 +54,8 @@ def dense_row_number(df: DataFrame, order_cols: list, out: str = "rn", small_lim
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_col: str, values: dict[str, str],
-                inclusive: bool = True, block: int = 4096, totals_out: str | None = None) -> DataFrame:
+                inclusive: bool = True, block: int = 4096, totals_out: str | None = None,
+                block_col: str | None = None) -> DataFrame:
     """Prefix sums per group ordered by integer ``order_col``.
 
     ``values`` maps input column -> output column.  ``order_col`` must be unique
@@ -63,8 +64,11 @@ def running_sum(df: DataFrame, group_cols: list[str], order_col: str, values: di
 
     Block totals are taken from the windowed rows, so both branches share the
     one shuffle under the window and the input is computed once.
+    ``block_col`` names an existing column equal to ``floor(order / block)``;
+    when the input is stored bucketed by ``(group, block_col)`` the windows need
+    no shuffle of the input at all.
     """
-    blk = F.floor(F.col(order_col) / block).cast("bigint")
+    blk = F.col(block_col) if block_col else F.floor(F.col(order_col) / block).cast("bigint")
     d = df.withColumn("_blk", blk)
     w_local = (Window.partitionBy(*group_cols, "_blk").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

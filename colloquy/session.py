@@ -135,3 +135,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def materialize_bucketed(df: DataFrame, cols: list[str], name: str = "table",
+                         n_buckets: int | None = None) -> DataFrame:
+    """Like ``materialize``, but stored bucketed by ``cols`` (an external table
+    in the shared folder), so later windows, aggregations and joins clustered
+    on ``cols`` read it without a shuffle."""
+    spark = df.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    path = scratch_path(spark, name)
+    table = f"colloquy_{name.replace('-', '_')}_{uuid.uuid4().hex[:10]}"
+    df.write.mode("overwrite").bucketBy(n, *cols).option("path", path).saveAsTable(table)
+    return spark.table(table)
