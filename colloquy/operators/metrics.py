@@ -378,6 +378,47 @@ def meteor(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str
     return pairs.select(*keys, meteor_exact_score(F.col(hyp), F.col(ref)).alias("meteor"))
 
 
+# ---------------------------------------------------------------- one pass per pair
+
+_PAIR_KERNEL_TYPE = T.StructType([
+    T.StructField("lcs", T.LongType()), T.StructField("m", T.ArrayType(T.LongType())),
+    T.StructField("t", T.ArrayType(T.LongType())), T.StructField("meteor", T.DoubleType())])
+
+
+@pandas_udf(_PAIR_KERNEL_TYPE)
+def _pair_kernel(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+    lcs, ms, ts, mets = [], [], [], []
+    for x, y in zip(h, r):
+        lcs.append(_lcs(x, y))
+        m, t = _clipped(x, y, 4)
+        ms.append(m)
+        ts.append(t)
+        mets.append(_meteor_exact(x, y) if y is not None and len(y) > 0 else 0.0)
+    return pd.DataFrame({"lcs": lcs, "m": ms, "t": ts, "meteor": mets})
+
+
+def pair_scores(toks: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
+    """ROUGE-L, BLEU-2/4 and METEOR per pair from one Arrow pass over the pairs.
+
+    Same numbers as ``rouge_l``, ``bleu_scores`` and ``meteor``; ``rouge_l`` is
+    null when either side is empty (such pairs are ignored by its mean).
+    """
+    k = toks.select(*keys, F.size(hyp).alias("_c"), F.size(ref).alias("_r"),
+                    _pair_kernel(F.col(hyp), F.col(ref)).alias("_k"))
+    p = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_c").cast("double"))
+    r = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_r").cast("double"))
+    rouge = F.when((F.col("_c") > 0) & (F.col("_r") > 0), 2 * p * r / (p + r + F.lit(C.F_EPS)))
+    bp = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
+    cols = []
+    for n in (2, 4):
+        m = F.slice(F.col("_k.m"), 1, n)
+        t = F.slice(F.col("_k.t"), 1, n)
+        ok = F.size(F.filter(m, lambda x: x > 0)) == n
+        slp = F.aggregate(F.zip_with(m, t, lambda a, b: F.log(a / b)), F.lit(0.0), lambda acc, x: acc + x)
+        cols.append(F.when((F.col("_c") > 0) & ok, bp * F.exp(slp / n)).otherwise(F.lit(0.0)).alias(f"bleu_{n}"))
+    return k.select(*keys, rouge.alias("rouge_l"), *cols, F.col("_k.meteor").alias("meteor"))
+
+
 # ---------------------------------------------------------------- report
 
 def metric_tokens(pairs: DataFrame, keys: list[str], response: str = "response", target: str = "target") -> DataFrame:
@@ -401,7 +442,10 @@ def generation_report(pairs: DataFrame, keys: list[str], response: str = "respon
                          keys + [c for c in by if c not in keys], response, target)
     toks = materialize(toks)
     ids = keys + [c for c in by if c not in keys]
-    nonempty = toks.filter((F.size("hyp_tokens") > 0) & (F.size("ref_tokens") > 0))
+    # one Arrow pass per pair for rouge_l / bleu / meteor, one aggregation over it
+    ps = pair_scores(toks, ids).groupBy(*by).agg(
+        F.avg("rouge_l").alias("rouge_l"), F.avg("bleu_2").alias("bleu_2"),
+        F.avg("bleu_4").alias("bleu_4"), F.avg("meteor").alias("meteor"))
     if bleu_mode == "sequence":
         if by:
             raise ValueError("sequence-mode BLEU is one corpus score; it has no groups")
@@ -410,14 +454,13 @@ def generation_report(pairs: DataFrame, keys: list[str], response: str = "respon
         b2 = seq.filter(F.col("n") == 2).select(F.col("bleu").alias("v"))
         b4 = seq.filter(F.col("n") == 4).select(F.col("bleu").alias("v"))
     else:
-        b = bleu_scores(toks, ids, (2, 4))
-        b2 = b.groupBy(*by).agg(F.avg("bleu_2").alias("v"))
-        b4 = b.groupBy(*by).agg(F.avg("bleu_4").alias("v"))
+        b2 = ps.select(*by, F.col("bleu_2").alias("v"))
+        b4 = ps.select(*by, F.col("bleu_4").alias("v"))
     parts = [
-        ("rouge_l", rouge_l(nonempty, ids).groupBy(*by).agg(F.avg("rouge_l").alias("v"))),
+        ("rouge_l", ps.select(*by, F.col("rouge_l").alias("v"))),
         ("bleu_2", b2),
         ("bleu_4", b4),
-        ("meteor", meteor(toks, ids).groupBy(*by).agg(F.avg("meteor").alias("v"))),
+        ("meteor", ps.select(*by, F.col("meteor").alias("v"))),
         ("dist_2", ngram_stats(ngram_counts(toks, "hyp_tokens", (3,), by), by).select(
             *by, F.col("distinct_ratio").alias("v"))),
     ]

@@ -219,3 +219,20 @@ def test_pair_predictions_unmatched(spark):
     assert sorted((x.id, x.matched) for x in p.collect()) == [(1, False), (2, True), (3, False)]
     u = M.unmatched_counts(p).collect()[0]
     assert (u.pairs, u.missing_response, u.missing_target) == (3, 1, 1)
+
+
+def test_pair_scores_match_separate_metrics(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    keys = ["conv_id", "turn"]
+    toks = M.metric_tokens(E.catalog.catalog_metrics.FX.metric_pairs(spark, SF_SMALL), keys)
+    ps = {(r.conv_id, r.turn): r for r in M.pair_scores(toks, keys).collect()}
+    rl = {(r.conv_id, r.turn): r.rouge_l for r in M.rouge_l(toks, keys).collect()}
+    bl = {(r.conv_id, r.turn): r for r in M.bleu_scores(toks, keys).collect()}
+    mt = {(r.conv_id, r.turn): r.meteor for r in M.meteor(toks, keys).collect()}
+    for k, r in ps.items():
+        if r.rouge_l is not None:
+            assert r.rouge_l == pytest.approx(rl[k], abs=1e-12)
+        assert (r.bleu_2, r.bleu_4) == pytest.approx((bl[k].bleu_2, bl[k].bleu_4), abs=1e-12)
+        assert r.meteor == pytest.approx(mt[k], abs=1e-12)
