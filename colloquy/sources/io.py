@@ -92,6 +92,16 @@ def write_scored_csv(df: DataFrame, path: str) -> None:
      .option("nullValue", NULL_TEXT).csv(path))
 
 
+def write_shards(df: DataFrame, path: str) -> None:
+    """Rows with a ``shard`` column (``shard_rows``) written one folder per shard."""
+    df.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """One worker's shard; the filter prunes the other shard folders at the scan."""
+    return spark.read.parquet(path).filter(F.col("shard") == shard)
+
+
 def resume_predictions(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``inputs`` that have no finished prediction yet (row-level resume)."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")

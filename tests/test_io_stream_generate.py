@@ -118,3 +118,14 @@ def test_evaluate_dialogue_cuts_the_reply(spark):
     r = pairs.collect()[0]
     assert (r.response, r.target) == ("fine thanks", "hi, how are you")
     assert report.collect()[0].rouge_l is not None
+
+
+def test_shards_written_and_read_per_worker(spark):
+    from colloquy.operators.batches import shard_rows
+
+    df = spark.range(0, 100).withColumnRenamed("id", "k")
+    path = scratch_path(spark, "test-shards")
+    io.write_shards(shard_rows(df, ["k"], 3, 4), path)
+    got = {s: sorted(r.k for r in io.read_shard(spark, path, s).collect()) for s in range(3)}
+    assert got[0][:4] == [0, 1, 2, 3] and got[1][:4] == [4, 5, 6, 7] and got[2][:4] == [8, 9, 10, 11]
+    assert sum(len(v) for v in got.values()) == 100
