@@ -101,6 +101,23 @@ def merge_metrics(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def compute_metrics(df: DataFrame, specs) -> DataFrame:
+    """Run ``(preprocess, metric)`` pairs over one prediction table and merge.
+
+    ``preprocess``: DataFrame -> DataFrame (e.g. ``mask_positive_labels``);
+    ``metric``: DataFrame -> one-row DataFrame whose columns (other than ``n``)
+    are metric values.  Names must be unique across metrics (as with merging
+    result dicts); the result is ``(metric, value)``.
+    """
+    parts = []
+    for prep, metric in specs:
+        res = metric(prep(df) if prep is not None else df)
+        for c in res.columns:
+            if c != "n":
+                parts.append((c, res.select(c)))
+    return merge_metrics(parts)
+
+
 # ---------------------------------------------------------------- n-grams
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -236,3 +236,12 @@ def test_pair_scores_match_separate_metrics(spark):
             assert r.rouge_l == pytest.approx(rl[k], abs=1e-12)
         assert (r.bleu_2, r.bleu_4) == pytest.approx((bl[k].bleu_2, bl[k].bleu_4), abs=1e-12)
         assert r.meteor == pytest.approx(mt[k], abs=1e-12)
+
+
+def test_compute_metrics_merges_and_rejects_duplicates(spark):
+    df = spark.createDataFrame([(1, -100), (0, 0), (3, 3), (9, 4)], "pred int, label int")
+    out = {r.metric: r.value for r in M.compute_metrics(
+        df, [(M.mask_positive_labels, M.token_accuracy)]).collect()}
+    assert out == {"accuracy": 0.5}
+    with pytest.raises(ValueError):
+        M.compute_metrics(df, [(None, M.token_accuracy), (None, M.token_accuracy)])
