@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
 from ..functions.arrays import logsumexp
+from ..session import materialize
 
 
 # ---------------------------------------------------------------- token losses
@@ -93,7 +94,9 @@ def preference_pair_sums(df: DataFrame, conv: str = "conv_id", rank: str = "rank
     c = df.select(F.col(conv).alias("conv"), F.col(rank).cast("bigint").alias("r"), F.col(score).cast("double").alias("s"))
     c = c.withColumn("blk", F.floor(F.col("r") / block).cast("bigint"))
     blocks = c.groupBy("conv", "blk").agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("cs"))
-    nblk = c.groupBy("conv").agg(F.max("blk").alias("last"))
+    # both sides of the block-pair join read the blocks: write them once
+    blocks = materialize(blocks, "rank-blocks")
+    nblk = blocks.groupBy("conv").agg(F.max("blk").alias("last"))
     bl = blocks.join(nblk, "conv")
     # left side: block a paired with every b >= a; right side: block b with every a <= b
     left = bl.select("conv", F.col("blk").alias("a"), F.explode(F.sequence(F.col("blk"), F.col("last"))).alias("b"),
