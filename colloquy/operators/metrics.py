@@ -459,34 +459,26 @@ def generation_report(pairs: DataFrame, keys: list[str], response: str = "respon
                          keys + [c for c in by if c not in keys], response, target)
     toks = materialize(toks)
     ids = keys + [c for c in by if c not in keys]
-    # one Arrow pass per pair for rouge_l / bleu / meteor, one aggregation over it
+    # one Arrow pass per pair for rouge_l / bleu / meteor, one aggregation over
+    # it, melted in a single projection (so the pass is not repeated per metric)
     ps = pair_scores(toks, ids).groupBy(*by).agg(
         F.avg("rouge_l").alias("rouge_l"), F.avg("bleu_2").alias("bleu_2"),
         F.avg("bleu_4").alias("bleu_4"), F.avg("meteor").alias("meteor"))
+    from_pairs = ["rouge_l", "meteor"] if bleu_mode == "sequence" else ["rouge_l", "bleu_2", "bleu_4", "meteor"]
+    long = ps.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                                              for m in from_pairs])).alias("_x")).select(*by, "_x.*")
     if bleu_mode == "sequence":
         if by:
             raise ValueError("sequence-mode BLEU is one corpus score; it has no groups")
         joined = toks.select(*ids, F.array_join("hyp_tokens", " ").alias("_h"), F.array_join("ref_tokens", " ").alias("_r"))
-        seq = bleu_sequence(joined, ids, "_h", "_r", 4)
-        b2 = seq.filter(F.col("n") == 2).select(F.col("bleu").alias("v"))
-        b4 = seq.filter(F.col("n") == 4).select(F.col("bleu").alias("v"))
-    else:
-        b2 = ps.select(*by, F.col("bleu_2").alias("v"))
-        b4 = ps.select(*by, F.col("bleu_4").alias("v"))
-    parts = [
-        ("rouge_l", ps.select(*by, F.col("rouge_l").alias("v"))),
-        ("bleu_2", b2),
-        ("bleu_4", b4),
-        ("meteor", ps.select(*by, F.col("meteor").alias("v"))),
-        ("dist_2", ngram_stats(ngram_counts(toks, "hyp_tokens", (3,), by), by).select(
-            *by, F.col("distinct_ratio").alias("v"))),
-    ]
+        seq = bleu_sequence(joined, ids, "_h", "_r", 4).filter(F.col("n").isin(2, 4))
+        long = long.unionByName(seq.select(F.concat(F.lit("bleu_"), F.col("n").cast("string")).alias("metric"),
+                                           F.col("bleu").cast("double").alias("value")))
+    dist = ngram_stats(ngram_counts(toks, "hyp_tokens", (3,), by), by)
+    long = long.unionByName(dist.select(*by, F.lit("dist_2").alias("metric"),
+                                        F.col("distinct_ratio").cast("double").alias("value")))
     # long form (group, metric, value) then one pivot: no joins between the parts
-    long = None
-    for name, df in parts:
-        t = df.select(*by, F.lit(name).alias("metric"), F.col("v").cast("double").alias("value"))
-        long = t if long is None else long.unionByName(t)
-    names = [n for n, _ in parts]
+    names = ["rouge_l", "bleu_2", "bleu_4", "meteor", "dist_2"]
     return long.groupBy(*by).pivot("metric", names).agg(F.round(F.first("value"), 4))
 
 
