@@ -292,7 +292,9 @@ def bleu_sequence(pairs: DataFrame, keys: list[str], response: str = "response",
     # number the (narrow) keys, then bring the answers back by key
     idx = dense_row_number(pairs.select(*keys), [F.col(k) for k in keys], "_i")
     numbered = pairs.select(*keys, response, target).join(idx, keys)
-    base = numbered.select("_i", F.col(response).alias("_h0"), F.col(target).alias("_r0"))
+    # read once per order by the shifted joins below: write it once
+    base = materialize(numbered.select("_i", F.col(response).alias("_h0"), F.col(target).alias("_r0")),
+                       "sequence-answers")
     grams = base
     for j in range(1, max_n):
         shifted = base.select((F.col("_i") - j).alias("_i"), F.col("_h0").alias(f"_h{j}"), F.col("_r0").alias(f"_r{j}"))
