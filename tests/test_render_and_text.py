@@ -104,3 +104,12 @@ def test_holdout_requires_target_role(spark):
     t = turns_df(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q2")])
     ctx, tgt = R.holdout_last_turn(t, require_target_role="assistant")
     assert [r.conv_id for r in tgt.collect()] == [1] and [r.turn for r in ctx.collect()] == [0]
+
+
+def test_system_tag_dropout_is_keyed_and_near_rate(spark):
+    df = spark.range(0, 2000).select(F.col("id").alias("k"), F.lit("t").alias("text"), F.lit("en").alias("lang"))
+    a = R.system_tag(df, ["k"], dropout=0.3, add_length=False).collect()
+    b = R.system_tag(df.repartition(7), ["k"], dropout=0.3, add_length=False).collect()
+    assert {r.k: r.system_tag for r in a} == {r.k: r.system_tag for r in b}
+    kept = sum(1 for r in a if r.system_tag) / len(a)
+    assert 0.65 < kept < 0.75

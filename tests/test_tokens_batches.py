@@ -173,3 +173,10 @@ def test_dense_row_number_paths_agree(spark):
     small = {r.id: r.rn for r in dense_row_number(df, [F.col("k"), F.col("id")], "rn").collect()}
     big = {r.id: r.rn for r in dense_row_number(df, [F.col("k"), F.col("id")], "rn", small_limit=10).collect()}
     assert small == big and sorted(small.values()) == list(range(1, 3001))
+
+
+def test_length_stats_clipped_exact_median(spark):
+    df = spark.createDataFrame([(1,), (2,), (10,), (50,)], "n int")
+    r = B.length_stats(df, F.col("n"), 20).collect()[0]
+    assert (r.n, r.min_len, r.max_len) == (4, 1, 20)
+    assert r.mean_len == (1 + 2 + 10 + 20) / 4 and r.median_len == 6.0 and r.over_share == 0.25
