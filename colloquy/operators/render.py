@@ -2,7 +2,8 @@
 
 Conversations are kept in long form ``(conv_id, turn, role, text)``.  Turn
 positions are contiguous from 0 inside a conversation.  Everything that needs
-a neighbouring turn joins on ``(conv_id, turn + 1)`` (a unique key, so no skew),
+a neighbouring turn groups it with its successor under the unique key
+``(conv_id, turn)`` (one scan, one shuffle, no group larger than two rows),
 and concatenation into one string per conversation is done in two levels
 (fixed-size turn blocks first) so one very long conversation is spread over
 many tasks before its final string is assembled.
@@ -215,28 +216,40 @@ def render_sft(typed: DataFrame, eos: str = C.EOS, use_system_tag: bool = False,
     is not an assistant turn, ``violation`` is true (the original asserts).
     """
     prop_cols = [c for c in ("lang", "quality", "humor", "creativity", "context") if c in typed.columns]
-    nxt = typed.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"),
-                       F.col("role").alias("_next_role"), F.col("text").alias("_next_text"),
-                       *[F.col(c).alias(c) for c in prop_cols])
+    has_sm = "system_message" in typed.columns
+    # One scan, one shuffle: every turn is emitted under its own key and under
+    # the key of the turn before it; grouping by (conv_id, key) puts each turn
+    # next to its successor (a self-join on (conv_id, turn + 1) without reading
+    # the input twice).  Keys are unique, so no group grows.
+    fields = [F.col("role").alias("role"), F.col("text").alias("text"), *[F.col(c).alias(c) for c in prop_cols]]
+    if has_sm:
+        fields.append(F.col("system_message").alias("system_message"))
+    both = F.array(F.struct(F.col("turn").alias("k"), F.lit(True).alias("is_self"), *fields),
+                   F.struct((F.col("turn") - 1).alias("k"), F.lit(False).alias("is_self"), *fields))
+    rows = typed.select("conv_id", F.explode(both).alias("_x"))
+    g = rows.groupBy("conv_id", F.col("_x.k").alias("turn")).agg(
+        F.first(F.when(F.col("_x.is_self"), F.col("_x")), ignorenulls=True).alias("_self"),
+        F.first(F.when(~F.col("_x.is_self"), F.col("_x")), ignorenulls=True).alias("_next"))
+    g = g.filter(F.col("_self").isNotNull())
+    flat = g.select("conv_id", "turn", F.col("_self.role").alias("role"), F.col("_self.text").alias("_text"),
+                    *([F.col("_self.system_message").alias("system_message")] if has_sm else []),
+                    F.col("_next.role").alias("_next_role"), F.col("_next.text").alias("text"),
+                    *[F.col(f"_next.{c}").alias(c) for c in prop_cols])
     if use_system_tag:
-        nxt = system_tag(nxt.withColumnRenamed("_next_text", "text"), ["conv_id", "turn"], "text", eos,
-                         True, dropout, add_length, seed).withColumnRenamed("text", "_next_text")
+        flat = system_tag(flat, ["conv_id", "turn"], "text", eos, True, dropout, add_length, seed)
     else:
-        nxt = nxt.withColumn("system_tag", F.lit(""))
-    nxt = nxt.select("conv_id", "turn", "_next_role", "system_tag")
-    base = typed.select("conv_id", "turn", "role", "text",
-                        *(["system_message"] if "system_message" in typed.columns else []))
-    j = base.join(nxt, ["conv_id", "turn"], "left")
+        flat = flat.withColumn("system_tag", F.lit(""))
     is_p = F.col("role") == "prompter"
-    tag = F.when(is_p & F.col("_next_role").isNotNull(), F.col("system_tag")).otherwise(F.lit(""))
-    p_piece = F.concat(F.lit(C.PATIENT), F.col("text"), F.lit(eos), tag)
-    if "system_message" in typed.columns:
+    has_next = F.col("_next_role").isNotNull()
+    tag = F.when(is_p & has_next, F.col("system_tag")).otherwise(F.lit(""))
+    p_piece = F.concat(F.lit(C.PATIENT), F.col("_text"), F.lit(eos), tag)
+    if has_sm:
         sm = F.col("system_message")
         p_piece = F.when((F.col("turn") == 0) & sm.isNotNull() & (F.length(sm) > 0),
                          F.concat(F.lit(C.SYSTEM), sm, F.lit(eos), p_piece)).otherwise(p_piece)
-    piece = F.when(is_p, p_piece).otherwise(F.concat(F.lit(C.DOCTOR), F.col("text"), F.lit(eos)))
-    violation = is_p & F.col("_next_role").isNotNull() & (F.col("_next_role") != "assistant")
-    return j.select("conv_id", "turn", piece.alias("piece"), violation.alias("violation"))
+    piece = F.when(is_p, p_piece).otherwise(F.concat(F.lit(C.DOCTOR), F.col("_text"), F.lit(eos)))
+    violation = is_p & has_next & (F.col("_next_role") != "assistant")
+    return flat.select("conv_id", "turn", piece.alias("piece"), violation.alias("violation"))
 
 
 def zip_qa(questions: DataFrame, answers: DataFrame, context: Column | None = None) -> DataFrame:
