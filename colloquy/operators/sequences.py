@@ -1,8 +1,9 @@
 """Dialogue → training batches, end to end, in long form until cut.
 
-1. render one piece per turn and tokenize each piece (row-local);
+1. render one piece per turn and tokenize each piece (row-local); callers
+   write this table once, bucketed by ``(conv_id, turn block)``;
 2. piece start offsets and marker counts before each piece come from a
-   blocked prefix sum per conversation;
+   blocked prefix sum per conversation (no shuffle of the bucketed pieces);
 3. the crop window (head, or keyed random offset) is chosen from the total
    length (a partial aggregate) and only tokens inside it are exploded;
 4. tokens are encoded by a vocabulary join (broadcast only when its size is

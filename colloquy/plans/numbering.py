@@ -1,10 +1,14 @@
 """Distributed numbering and segmented running sums.
 
-No operator here uses an un-partitioned window or brings rows to the driver:
+No operator here brings rows to the driver or runs an un-partitioned window
+over a table whose size is not checked:
 
-* ``global_row_number`` ranks rows by a total order with a range-partitioned
-  sort; each partition numbers its own rows and a per-partition count table
-  (one row per partition, a proven size bound) supplies the offsets.
+* ``dense_row_number`` counts first: a table of at most ``small_limit`` rows is
+  numbered by one window (its size is proven); a larger one goes to
+* ``global_row_number``, which ranks rows by a total order with a
+  range-partitioned sort; each partition numbers its own rows and a
+  per-partition count table (one row per partition, a proven size bound)
+  supplies the offsets.
 * ``running_sum`` is a prefix sum inside groups that may be huge: rows are cut
   into fixed-size blocks of the ordering column, each block is summed on its
   own, block totals get their own (much smaller) prefix sum, and the two are
