@@ -23,7 +23,7 @@ from .. import constants as C
 from ..functions.arrays import shift_targets
 from ..functions.text import tokenize
 from ..plans.numbering import running_sum
-from .batches import assign_batches, pad_batch
+from .batches import batch_numbers, pad_batch
 from .render import render_turns
 from .tokens import crop_offset, encode_long, label_mask, regroup
 
@@ -50,33 +50,45 @@ def piece_tokens(turns: DataFrame, eos: str = C.EOS) -> DataFrame:
 
 def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
                      p: float = C.RANDOM_OFFSET_PROBABILITY, seed: int = C.SEED,
-                     compat_prefix: bool = False) -> DataFrame:
+                     compat_prefix: bool = False, batches: DataFrame | None = None) -> DataFrame:
     """``(conv_id, input_ids, attention_mask, label_mask, length, crop_offset)``.
 
     ``pieces`` is the ``piece_tokens`` table.  Tokenizing is the costly step
     and its output feeds the vocabulary, the offsets and the cut, so callers
     write it once (``session.materialize``) and pass the written copy.
+
+    ``batches`` (``conv_id, batch_id, row_in_batch``) attaches batch numbers to
+    the pieces that survive the cut; the cut tokens are then shuffled once by
+    ``batch_id`` and regrouped inside their batch partition, so the padding
+    window that follows needs no further shuffle.
     """
     pt = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
                      totals_out="total", block=TURN_BLOCK, block_col="blk")
     pt = pt.withColumn("crop_offset", crop_offset(F.col("total"), max_length, p, seed, ["conv_id"]))
     hi = F.col("crop_offset") + max_length
     pt = pt.filter((F.col("start") + F.col("n_tok") > F.col("crop_offset")) & (F.col("start") < hi))
+    extra = []
+    if batches is not None:
+        # only pieces overlapping the cut carry the batch numbers along
+        pt = pt.join(batches.select("conv_id", "batch_id", "row_in_batch"), "conv_id")
+        extra = ["batch_id", "row_in_batch"]
     # marker positions inside a piece (usually just position 0)
     pt = pt.withColumn("mpos", F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_tok") - 1, F.lit(0)).cast("int")),
                                         lambda i: F.coalesce(F.get(F.col("toks"), i).isin(*MARKERS), F.lit(False))))
-    long = pt.select("conv_id", "start", "mark_before", "crop_offset", "mpos",
+    long = pt.select("conv_id", *extra, "start", "mark_before", "crop_offset", "mpos",
                      F.posexplode("toks").alias("pos", "token"))
     long = long.withColumn("gpos", F.col("start") + F.col("pos")) \
                .filter((F.col("gpos") >= F.col("crop_offset")) & (F.col("gpos") < F.col("crop_offset") + max_length))
     long = long.withColumn("msg_index", (F.col("mark_before") + F.size(F.filter("mpos", lambda q: q <= F.col("pos"))) - 1)
                            .cast("int"))
-    enc = encode_long(long.select("conv_id", "gpos", "token", "msg_index", "crop_offset"), vocab)
-    # crop_offset is fixed per conversation, so it rides along as a group key
-    seq = regroup(enc.withColumn("token_id", F.col("token_id").cast("int")), ["conv_id", "crop_offset"], "gpos",
-                  ["token_id", "msg_index"])
+    enc = encode_long(long.select("conv_id", *extra, "gpos", "token", "msg_index", "crop_offset"), vocab)
+    enc = enc.withColumn("token_id", F.col("token_id").cast("int"))
+    if batches is not None:
+        enc = enc.repartition("batch_id")  # a batch holds at most batch_size x max_length tokens
+    # crop_offset (and the batch numbers) are fixed per conversation, so they ride along as group keys
+    seq = regroup(enc, [*extra, "conv_id", "crop_offset"], "gpos", ["token_id", "msg_index"])
     return seq.select(
-        "conv_id", F.col("token_id").alias("input_ids"),
+        *extra, "conv_id", F.col("token_id").alias("input_ids"),
         F.array_repeat(F.lit(1), F.size("token_id")).alias("attention_mask"),
         label_mask(F.col("msg_index"), True, compat_prefix).alias("label_mask"),
         F.size("token_id").alias("length"), "crop_offset")
@@ -86,10 +98,10 @@ def dialogue_batches(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
                      batch_size: int = 8, pad_multiple: int = C.PAD_MULTIPLE, pad_id: int = 0,
                      seed: int = C.SEED, p: float = C.RANDOM_OFFSET_PROBABILITY) -> DataFrame:
     """Padded, shuffled batches with next-token targets (wrap-around roll)."""
-    enc = encode_dialogues(pieces, vocab, max_length, p, seed)
     # every conversation yields one sequence, so batches are numbered from the
-    # (already written) piece table's keys instead of re-running the chain
+    # (already written) piece table's keys, before the chain runs
     keys = pieces.select("conv_id").distinct()
-    b = assign_batches(enc, ["conv_id"], batch_size, seed, keys=keys)
+    numbers = batch_numbers(keys, ["conv_id"], batch_size, seed)
+    b = encode_dialogues(pieces, vocab, max_length, p, seed, batches=numbers)
     b = pad_batch(b, "batch_id", {"input_ids": pad_id, "attention_mask": 0, "label_mask": False}, pad_multiple)
     return b.withColumn("targets", shift_targets(F.col("input_ids")))
