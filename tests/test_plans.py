@@ -49,3 +49,18 @@ def test_small_vocab_encoding_is_map_only(spark):
 def test_render_dialogue_two_level(spark):
     df = R.render_dialogue(spark.read.parquet(CONV))
     assert exchanges(df) == 2
+
+
+def test_prep_chain_shuffles_cut_tokens_once_by_batch(spark):
+    from colloquy.operators import sequences as S
+    from colloquy.session import materialize_bucketed
+
+    pieces = materialize_bucketed(S.piece_tokens(spark.read.parquet(CONV)), ["conv_id", "blk"], "plan-pieces", 8)
+    vocab = TK.build_vocab(pieces, "toks")
+    b = S.dialogue_batches(pieces, vocab, max_length=64, batch_size=4)
+    b.write.format("noop").mode("overwrite").save()
+    p = plan(b)
+    # block totals by conversation, batch keys, and the cut tokens by batch_id;
+    # the bucketed pieces and the padding window add none
+    assert p.count("Exchange hashpartitioning") <= 3
+    assert "Exchange hashpartitioning(batch_id" in p
