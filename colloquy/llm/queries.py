@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding
+from . import decontam, line_dedup, mixing, sharding, simhash
 from .common import count_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+# ---------------------------------------------------------- decontamination
+DECONTAM_SQL = r"""
+WITH it AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+ph AS (
+  SELECT DISTINCT item, list_slice(w, s, least(s + 9, len(w))) AS p, least(10, len(w)) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM it WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT DISTINCT n FROM ph),
+dp AS (
+  SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, ln WHERE len(w) >= n)),
+hit AS (SELECT dp.doc_id, dp.s, dp.n, ph.item FROM dp JOIN ph ON dp.n = ph.n AND dp.p = ph.p),
+hw AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit
+       FROM (SELECT DISTINCT doc_id, s, unnest(range(0, n)) AS k FROM hit) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+       FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(dw.w), 0) AS n_words, coalesce(hw.n_hit, 0) AS n_hit,
+       coalesce(hi.n_items, 0) AS n_items, sha256(coalesce(hi.ids, '')) AS items_sha256,
+       coalesce(hw.n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN dw ON dw.doc_id = d.doc_id LEFT JOIN hw ON hw.doc_id = d.doc_id
+LEFT JOIN hi ON hi.doc_id = d.doc_id
+"""
+
+
+@query("op2_decontamination", DECONTAM_SQL)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark phrases found in every document through the FM-indexes of its shards."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 # ---------------------------------------------------------------- line dedup
 # Three-line windows of the lines with text; the lists are those of line_dedup.py.
 LINE_SQL = r"""
@@ -84,3 +125,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", sharding.text_bytes(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ------------------------------------------------------------------ simhash
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.simhash_groups(docs).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
