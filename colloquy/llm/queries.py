@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, sharding, simhash
+from . import decontam, line_dedup, mixing, quality, sharding, simhash
 from .common import count_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.simhash_groups(docs).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+# ------------------------------------------------------------------ quality
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, fertility and verdict of every document."""
+    judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id", "lang"])
+    return judged.select("rec.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+                         "base_failed", "kept", "m.n_tokens", "m.chars_per_token", "m.byte_share", "m.entropy")
