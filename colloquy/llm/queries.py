@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, quality, sharding, simhash
+from . import decontam, line_dedup, lm, mixing, quality, sharding, simhash
 from .common import count_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id", "lang"])
     return judged.select("rec.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
                          "base_failed", "kept", "m.n_tokens", "m.chars_per_token", "m.byte_share", "m.entropy")
+
+
+# --------------------------------------------------------------- LM scoring
+def crc_rest(column: str, divisor: int):
+    """crc32 of a column as text, modulo ``divisor``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the backoff automaton learned from the training folds."""
+    docs = read(spark, sf_dir, "documents")
+    train = F.coalesce(crc_rest("doc_id", 7) != 2, F.lit(True))
+    return lm.score_texts(docs, train).withColumnRenamed("id", "doc_id")
