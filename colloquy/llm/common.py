@@ -55,6 +55,17 @@ def unpacked(df: DataFrame, columns: list[str], added: list[str], name: str = "r
     return df.select(*[F.col(name)[c].alias(c) for c in keep], *added)
 
 
+def once(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` evaluated once per row.
+
+    Catalyst writes a projected expression into every place that refers to it,
+    also into functions over array elements, where it would run per element;
+    a generator of one element is a boundary that it does not cross.
+    """
+    names = [c for c in df.columns if c != column]
+    return df.select(*[F.col(f"`{c}`") for c in names], F.explode(F.array(F.col(f"`{column}`"))).alias(column))
+
+
 def total(df: DataFrame, *aggregates: Column) -> list:
     """One row of aggregates as a list (a fixed number of values, whatever the input)."""
     return list(df.agg(*aggregates).first())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import packed, row_key, total, unpacked
+from .common import once, packed, row_key, total, unpacked
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -52,6 +52,7 @@ def phrase_table(items: DataFrame, id_col: str, text_col: str, window: int = WIN
     words = F.regexp_extract_all(lower, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
     t = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"),
                      F.transform(words, lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") > 0)
+    t = once(t, "h")
     starts = F.sequence(F.lit(1), F.greatest(F.size("h") - (window - 1), F.lit(1)))
     t = t.select("item", F.explode(F.transform(starts, lambda s: F.slice("h", s, window))).alias("hashes"))
     return t.select(F.xxhash64("hashes").alias("w1"), F.xxhash64(F.lit(1), "hashes").alias("w2"), "hashes",

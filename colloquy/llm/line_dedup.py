@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, row_key, unpacked
+from .common import once, packed, row_key, unpacked
 
 WINDOW = 3
-_SPACE = "' \\t\\n\\x0B\\f\\r'"
+SPACES = " \t\n\x0b\f\r"
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -32,39 +32,40 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     names = df.columns
     k1, k2 = row_key([F.col("rec")[id_col], F.col("rec")[text_col]])
     docs = packed(df).withColumns({"k1": k1, "k2": k2})
-    docs = docs.withColumn("lines", F.split(F.col("rec")[text_col], "\n", -1))
-    trimmed = F.expr(f"transform(lines, l -> trim(BOTH {_SPACE} FROM l))")
-    # places of the lines with text
-    docs = docs.withColumn("at", F.filter(
-        F.transform(trimmed, lambda l, i: F.when(l != "", i)), lambda i: i.isNotNull()))
 
-    seen = docs.select("k1", "k2", F.col("rec")[id_col].alias("id"), "at", trimmed.alias("trimmed"))
-    full = F.transform("at", lambda i: F.element_at("trimmed", i + 1))
-    seen = seen.select("k1", "k2", "id", full.alias("ln")).filter(F.size("ln") >= window)
-    starts = F.sequence(F.lit(0), F.size("ln") - F.lit(window))
-    hashed = F.transform(starts, lambda j: F.struct(
-        j.alias("j"),
-        F.xxhash64(F.slice("ln", j + 1, window)).alias("w1"),
-        F.xxhash64(F.lit(1), F.slice("ln", j + 1, window)).alias("w2")))
-    windows = seen.select("k1", "k2", "id", F.inline(hashed))
+    # lines with text and the stretch they stand for: themselves and the blank lines after them
+    split = F.split(F.col("rec")[text_col], "\n", -1)
+    trimmed = lambda line: F.btrim(line, F.lit(SPACES))
+    lines = once(docs.select("k1", "k2", F.col("rec")[id_col].alias("id"), F.filter(
+        F.transform(split, lambda line, i: F.struct(i.alias("at"), trimmed(line).alias("line"))),
+        lambda x: x["line"] != "").alias("x")), "x")
+    shifted = [F.slice("x", k + 1, F.greatest(F.size("x") - k, F.lit(0))).alias(f"x{k}") for k in range(window + 1)]
+    windows = once(lines.filter(F.size("x") >= window).select("k1", "k2", "id", F.arrays_zip(*shifted).alias("z")), "z")
+    # a window is followed by null entries at the end of the text, where it is no window
+    same = [F.col("w")[f"x{k}"]["line"] for k in range(window)]
+    windows = (windows.select("k1", "k2", "id", F.posexplode("z").alias("j", "w"))
+               .filter(F.col("w")[f"x{window - 1}"].isNotNull())
+               .select("k1", "k2", "id", "j", F.xxhash64(*same).alias("w1"), F.xxhash64(F.lit(1), *same).alias("w2"),
+                       F.array(*[F.struct(
+                           F.when((F.col("j") == 0) & F.lit(k == 0), 0).otherwise(F.col("w")[f"x{k}"]["at"]).alias("a"),
+                           F.col("w")[f"x{k + 1}"]["at"].alias("b")) for k in range(window)]).alias("covers")))
     place = F.struct("id", "k1", "k2", "j")
     repeated = (windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"))
                 .filter("c > 1").select("w1", "w2", "first"))
+    # the covered stretches of later occurrences, merged: each line once
     later = (windows.join(repeated, ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first")))
-             .groupBy("k1", "k2").agg(F.collect_set("j").alias("starts")))
+             .select("k1", "k2", F.explode("covers").alias("c"))
+             .groupBy("k1", "k2").agg(F.collect_set("c").alias("gone")))
 
-    # merge the covered places and keep the rest; a line carries the blank lines after it
-    out = docs.join(later, ["k1", "k2"], "left")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(window - 1)))))
-    out = out.withColumn("kept", F.when(F.col("starts").isNotNull(), F.array_except(
-        F.sequence(F.lit(0), F.size("at") - 1), covered)))
-    begin = lambda q: F.when(q == 0, 0).otherwise(F.element_at("at", q + 1))
-    end = lambda q: F.when(q == F.size("at") - 1, F.size("lines")).otherwise(
-        F.element_at("at", F.least(q + 2, F.size("at"))))
-    text = F.array_join(F.flatten(F.transform("kept", lambda q: F.slice("lines", begin(q) + 1, end(q) - begin(q)))), "\n")
-    out = out.withColumns({
-        "new_text": F.when(F.col("kept").isNotNull(), text).otherwise(F.col("rec")[text_col]),
-        "n_lines": F.greatest(F.coalesce(F.size("at"), F.lit(0)), F.lit(0)).cast("bigint"),
-        "n_removed": F.coalesce(F.size("at") - F.size("kept"), F.lit(0)).cast("bigint")})
-    out = out.withColumn("rec", F.col("rec").withField(f"`{text_col}`", F.col("new_text")))
+    out = once(docs.join(later, ["k1", "k2"], "left").select("rec", "gone", split.alias("lines")), "lines")
+    # a last line has no next one: its stretch ends with the text
+    places = F.flatten(F.transform("gone", lambda c: F.sequence(c["a"], F.coalesce(c["b"], F.size("lines")) - 1)))
+    out = once(out.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)), "kept")
+    text = F.array_join(F.transform("kept", lambda i: F.element_at("lines", i + 1)), "\n")
+    full = F.size(F.filter("lines", lambda line: trimmed(line) != ""))
+    out = out.select(
+        F.col("rec").withField(f"`{text_col}`", F.when(F.col("gone").isNull(), F.col("rec")[text_col]).otherwise(text))
+        .alias("rec"),
+        F.when(F.col("lines").isNull(), 0).otherwise(full).cast("bigint").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
     return unpacked(out, names, ["n_lines", "n_removed"])
