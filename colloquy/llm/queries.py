@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, lm, mixing, quality, sharding, simhash
+from . import decontam, langid, line_dedup, lm, mixing, quality, sharding, simhash, token_counts
 from .common import count_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,21 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     train = F.coalesce(crc_rest("doc_id", 7) != 2, F.lit(True))
     return lm.score_texts(docs, train).withColumnRenamed("id", "doc_id")
+
+
+# -------------------------------------------------------------- language ID
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the training folds."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_rest("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit(docs, ~held_out)
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+# ------------------------------------------------------------- token counts
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths of all documents with its suffix sums."""
+    return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
