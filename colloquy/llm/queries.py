@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, lm, mixing, quality, sharding, simhash, token_counts
+from . import decontam, html_text, langid, line_dedup, lm, mixing, quality, sharding, simhash, token_counts
 from .common import count_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of all documents with its suffix sums."""
     return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
+
+
+# ---------------------------------------------------------- HTML extraction
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_text.main_text_column(F.col("html")).alias("text"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
