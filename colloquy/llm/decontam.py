@@ -224,13 +224,22 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  **options) -> DataFrame:
-    """All rows of ``df``, the hit spans cut out of ``text_col``; other texts stay as they are."""
+                  chars_col: str = "n_chars", **options) -> DataFrame:
+    """The rows of ``df`` with the hit spans cut out of ``text_col``, other texts as they are.
+
+    A text of which no word is left goes; ``chars_col``, if there is such a
+    column, follows the texts that change.
+    """
     k1, k2 = row_key([F.col("rec")[id_col], F.col("rec")[text_col]])
-    found = contaminated_texts(df, items, id_col, text_col, **options).select("k1", "k2", "spans")
+    found = contaminated_texts(df, items, id_col, text_col, **options).select("k1", "k2", "n_words", "n_hit", "spans")
     rows = packed(df).withColumns({"k1": k1, "k2": k2}).join(found, ["k1", "k2"])
-    clean = removed_spans(F.col("rec")[text_col], F.col("spans"))
-    return rows.select(*[(clean if c == text_col else F.col("rec")[c]).alias(c) for c in df.columns])
+    rows = rows.filter("n_hit = 0 or n_hit < n_words")
+    rows = once(rows.withColumn("clean", removed_spans(F.col("rec")[text_col], F.col("spans"))), "clean")
+    new = {text_col: F.col("clean")}
+    if chars_col in df.columns:
+        new[chars_col] = F.when(F.col("n_hit") > 0, F.length("clean")).otherwise(F.col("rec")[chars_col]).cast(
+            df.schema[chars_col].dataType)
+    return rows.select(*[new.get(c, F.col("rec")[c]).alias(c) for c in df.columns])
 
 
 def removed_spans(text: Column, spans: Column) -> Column:
