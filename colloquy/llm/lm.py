@@ -226,7 +226,7 @@ class Automaton:
         self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
         self.lower = np.concatenate(lower).tolist()
         self.fail = float(np.log10(1 - lam))
-        self.start = int(states[1][START])
+        self.start = int(states[1][START]) if grams.order > 1 else 0
 
     def score(self, words: list[int]) -> float:
         """Log10 probability of a text: one walk from left to right."""
