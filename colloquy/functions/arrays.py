@@ -77,17 +77,18 @@ def join_bools(col) -> Column:
 
 
 def logsumexp(col) -> Column:
-    """Stable log-sum-exp of a numeric array in one pass (running max rescaling)."""
-    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+    """Stable log-sum-exp of a numeric array in one pass (running max rescaling).
+
+    Elements of -inf add nothing, also in front; all -inf gives -inf, NaN stays NaN.
+    """
+    none = float("-inf")
+    init = F.struct(F.lit(none).alias("m"), F.lit(0.0).alias("s"))
 
     def step(acc, x):
         x = x.cast("double")
         m2 = F.greatest(acc["m"], x)
-        return F.struct(m2.alias("m"), (acc["s"] * F.exp(acc["m"] - m2) + F.exp(x - m2)).alias("s"))
-
-    return F.aggregate(_c(col), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
-
+        s = F.when(m2 == none, F.lit(0.0)).otherwise(acc["s"] * F.exp(acc["m"] - m2) + F.exp(x - m2))
+        return F.struct(m2.alias("m"), s.alias("s"))
 
-def softplus(x: Column) -> Column:
-    """Stable ``log(1 + exp(x))``."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return F.aggregate(_c(col), init, step,
+                       lambda acc: F.when(acc["m"] == none, F.lit(none)).otherwise(acc["m"] + F.log(acc["s"])))

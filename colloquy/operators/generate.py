@@ -2,9 +2,9 @@
 
 ``factory()`` runs once per partition on the executor (load a model or open a
 client there) and returns a callable ``list[str] -> list[str]``.  Each Arrow
-batch is one call.  Failures are retried up to ``max_attempts`` times; a batch
-that still fails yields blank responses and the error text, so one bad batch
-does not fail the job.
+batch is one call.  Failures are retried up to ``max_attempts`` times; if a
+batch still fails, its prompts are tried one by one, and only those that fail
+on their own yield a blank response and the error text.
 """
 
 from __future__ import annotations
@@ -22,34 +22,46 @@ from .. import constants as C
 def batch_generate(df: DataFrame, prompt_col: str, factory: Callable[[], Callable[[list[str]], list[str]]],
                    out: str = "response", max_attempts: int = C.MAX_REMOTE_ATTEMPTS,
                    retry_sleep: float = 0.0) -> DataFrame:
-    """Adds ``out`` (string), ``error`` (string or null) and ``attempts`` (int)."""
+    """Adds ``out`` (string), ``error`` (string or null) and ``attempts`` (int).
+
+    A null prompt is not sent: its response is null and the error says so.
+    """
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField("error", T.StringType()),
                                               T.StructField("attempts", T.IntegerType())])
 
+    def call(fn, prompts: list[str]) -> tuple[list[str] | None, str | None, int]:
+        err = None
+        for attempt in range(1, max_attempts + 1):
+            try:
+                result = list(fn(prompts))
+                if len(result) != len(prompts):
+                    raise ValueError("generator returned a different number of responses")
+                return result, None, attempt
+            except Exception as e:  # noqa: BLE001 - every error is retried and reported
+                err = f"{type(e).__name__}: {e}"
+                if retry_sleep:
+                    time.sleep(retry_sleep)
+        return None, err, max_attempts
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for pdf in batches:
-            prompts = pdf[prompt_col].fillna("").astype(str).tolist()
-            result, err, attempts = None, None, 0
-            while result is None and attempts < max_attempts:
-                attempts += 1
-                try:
-                    result = list(fn(prompts))
-                    if len(result) != len(prompts):
-                        raise ValueError("generator returned a different number of responses")
-                except Exception as e:  # noqa: BLE001 - every error is retried and reported
-                    result, err = None, f"{type(e).__name__}: {e}"
-                    if retry_sleep:
-                        time.sleep(retry_sleep)
-            pdf = pdf.copy()
-            if result is None:
-                pdf[out] = ""
-                pdf["error"] = err
+            rows = [(None, "null prompt", 0)] * len(pdf)
+            asked = [i for i, p in enumerate(pdf[prompt_col]) if isinstance(p, str)]
+            prompts = [pdf[prompt_col].iloc[i] for i in asked]
+            result, err, attempts = call(fn, prompts) if asked else ([], None, 0)
+            if result is not None:
+                for i, r in zip(asked, result):
+                    rows[i] = (r, None, attempts)
+            elif len(asked) == 1:
+                rows[asked[0]] = ("", err, attempts)
             else:
-                pdf[out] = result
-                pdf["error"] = None
-            pdf["attempts"] = attempts
+                for i, p in zip(asked, prompts):
+                    one, err, more = call(fn, [p])
+                    rows[i] = (one[0] if one is not None else "", err, attempts + more)
+            pdf = pdf.copy()
+            pdf[out], pdf["error"], pdf["attempts"] = ([r[k] for r in rows] for k in range(3))
             yield pdf
 
     return df.mapInPandas(run, schema)
@@ -107,6 +119,6 @@ def regex_tokenizer_factory(pattern: str = C.TOKEN_PATTERN):
     """Python twin of the built-in tokenizer (``regex`` module, same pattern)."""
     def make():
         import regex
-        rx = regex.compile(pattern.replace(r"\p{Z}", r"\p{Z}"))
+        rx = regex.compile(pattern)
         return lambda s: rx.findall(s)
     return make

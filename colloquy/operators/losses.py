@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
 from ..functions.arrays import logsumexp
+from ..plans.numbering import running_sum
 from ..session import materialize
 
 
@@ -27,15 +28,21 @@ from ..session import materialize
 
 def _row_ce(logits: str, target: str):
     lse = logsumexp(F.col(logits))
-    tgt = F.try_element_at(F.col(logits), F.col(target) + 1).cast("double")
-    ignored = F.col(target) == C.IGNORE_INDEX
+    t = F.col(target)
+    ignored = t == C.IGNORE_INDEX
+    in_range = (t >= 0) & (t < F.size(logits))
+    wrong = F.raise_error(F.concat(F.lit("target out of range: "), F.coalesce(t.cast("string"), F.lit("null"))))
+    tgt = F.when(in_range, F.get(F.col(logits), t)).when(ignored, F.lit(None)).otherwise(wrong).cast("double")
     return lse, tgt, ignored
 
 
 def masked_cross_entropy(df: DataFrame, logits: str = "logits", target: str = "target",
                          mask: str | None = "mask", reduction: str = "mean",
                          by: list[str] | None = None) -> DataFrame:
-    """Σ CE over kept rows / (kept rows + 1e-8); -100 targets add 0 but are counted."""
+    """Σ CE over kept rows / (kept rows + 1e-8); -100 targets add 0 but are counted.
+
+    Any other target outside the logits (or a null one) raises.
+    """
     d = df.filter(F.col(mask)) if mask else df
     lse, tgt, ignored = _row_ce(logits, target)
     d = d.withColumn("ce", F.when(ignored, F.lit(0.0)).otherwise(lse - tgt))
@@ -89,10 +96,12 @@ def preference_pair_sums(df: DataFrame, conv: str = "conv_id", rank: str = "rank
 
     ``n_pairs``, ``sp_sum`` = Σ softplus(s_j − s_i) (= −log σ(s_i − s_j)),
     ``sq_sum`` = Σ ½(s_i² + s_j²), ``margin_sum`` = Σ (s_i − s_j).
-    Ranks must be distinct integers inside a conversation.
+    Ranks are integers, negative, sparse or dense; equal ranks make no pair.
     """
     c = df.select(F.col(conv).alias("conv"), F.col(rank).cast("bigint").alias("r"), F.col(score).cast("double").alias("s"))
-    c = c.withColumn("blk", F.floor(F.col("r") / block).cast("bigint"))
+    # blocks of `block` candidates whatever the ranks: dense places by a blocked running count
+    c = running_sum(c.withColumn("one", F.lit(1)), ["conv"], "r", {"one": "place"})
+    c = c.withColumn("blk", F.expr(f"(place - 1) div {int(block)}"))
     blocks = c.groupBy("conv", "blk").agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("cs"))
     # both sides of the block-pair join read the blocks: write them once
     blocks = materialize(blocks, "rank-blocks")
@@ -135,21 +144,23 @@ def pair_classification_loss(df: DataFrame, conv: str = "conv_id", rank: str = "
                  F.round(F.try_divide(F.sum("sp_sum"), F.sum("n_pairs").cast("double")), 6).alias("loss"))
 
 
+def _token_loss(fn, **options):
+    return lambda logits_df, ranked_df: fn(logits_df, **options)
+
+
+def _pair_loss(fn, **options):
+    return lambda logits_df, ranked_df: fn(ranked_df, **options)
+
+
 LOSSES = ("CrossEntropyLoss", "Poly", "RMLoss", "RMCLSLoss")
 
 
 def loss_report(name: str, logits_df: DataFrame | None = None, ranked_df: DataFrame | None = None,
                 poly_eps: float = C.POLY_EPSILON, score_l2_reg: float = C.RANK_BETA) -> DataFrame:
-    """Choose a loss by name (unknown names raise) and return ``(loss, n, value)``."""
-    if name == "CrossEntropyLoss":
-        r = masked_cross_entropy(logits_df)
-    elif name == "Poly":
-        r = poly_loss(logits_df, epsilon=poly_eps)
-    elif name == "RMLoss":
-        r = ranking_loss(ranked_df, beta=score_l2_reg)
-    elif name == "RMCLSLoss":
-        r = pair_classification_loss(ranked_df)
-    else:
-        raise ValueError(f"Loss {name} not supported")
+    """``(loss, n, value)`` of one of ``LOSSES``; other names raise a KeyError that lists them."""
+    runs = dict(zip(LOSSES, (_token_loss(masked_cross_entropy), _token_loss(poly_loss, epsilon=poly_eps),
+                             _pair_loss(ranking_loss, beta=score_l2_reg), _pair_loss(pair_classification_loss))))
+    if name not in runs:
+        raise KeyError(f"{name}: known losses are {', '.join(LOSSES)}")
+    r = runs[name](logits_df, ranked_df)
     return r.select(F.lit(name).alias("loss"), F.col("n").cast("bigint").alias("n"), F.col("loss").alias("value"))
-

@@ -1,13 +1,14 @@
 """Dialogue → training batches, end to end, in long form until cut.
 
 1. render one piece per turn and tokenize each piece (row-local); callers
-   write this table once, bucketed by ``(conv_id, turn block)``;
+   write this table once;
 2. piece start offsets and marker counts before each piece come from a
-   blocked prefix sum per conversation (no shuffle of the bucketed pieces);
+   blocked prefix sum per conversation over the narrow columns alone;
 3. the crop window (head, or keyed random offset) is chosen from the total
-   length (a partial aggregate) and only tokens inside it are exploded;
-4. tokens are encoded by a vocabulary join (broadcast only when its size is
-   checked), then regrouped into at most ``max_length`` ids per sequence;
+   length (a partial aggregate); the turns that overlap it are joined back to
+   their tokens and only tokens inside the window are exploded;
+4. tokens are encoded by a vocabulary join, then regrouped into at most
+   ``max_length`` ids per sequence;
 5. masks, keyed shuffled batches, padding to a multiple and shifted targets.
 
 No step holds a whole conversation in one task: the only per-conversation
@@ -36,10 +37,7 @@ TURN_BLOCK = 4096  # turns per prefix-sum block
 def piece_tokens(turns: DataFrame, eos: str = C.EOS) -> DataFrame:
     """``(conv_id, turn, blk, toks, n_tok, n_mark)`` for every rendered turn.
 
-    ``blk`` = ``floor(turn / TURN_BLOCK)``: store the table bucketed by
-    ``(conv_id, blk)`` (``session.materialize_bucketed``) and the prefix sums of
-    the prep chain read it without shuffling the token arrays; a conversation
-    with very many turns still spreads over several buckets.
+    ``blk`` = ``floor(turn / TURN_BLOCK)`` is the block of the prefix sums.
     """
     pieces = render_turns(turns, eos)
     t = pieces.select("conv_id", "turn", F.floor(F.col("turn") / TURN_BLOCK).cast("bigint").alias("blk"),
@@ -62,7 +60,8 @@ def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
     ``batch_id`` and regrouped inside their batch partition, so the padding
     window that follows needs no further shuffle.
     """
-    pt = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
+    narrow = pieces.select("conv_id", "turn", "blk", "n_tok", "n_mark")
+    pt = running_sum(narrow, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
                      totals_out="total", block=TURN_BLOCK, block_col="blk")
     pt = pt.withColumn("crop_offset", crop_offset(F.col("total"), max_length, p, seed, ["conv_id"]))
     hi = F.col("crop_offset") + max_length
@@ -72,6 +71,8 @@ def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
         # only pieces overlapping the cut carry the batch numbers along
         pt = pt.join(batches.select("conv_id", "batch_id", "row_in_batch"), "conv_id")
         extra = ["batch_id", "row_in_batch"]
+    # the token arrays meet only the turns that survived
+    pt = pt.join(pieces.select("conv_id", "turn", "toks"), ["conv_id", "turn"])
     # marker positions inside a piece (usually just position 0)
     pt = pt.withColumn("mpos", F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_tok") - 1, F.lit(0)).cast("int")),
                                         lambda i: F.coalesce(F.get(F.col("toks"), i).isin(*MARKERS), F.lit(False))))

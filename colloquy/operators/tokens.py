@@ -7,18 +7,14 @@ to ``max_length``.  Row-local array operators are plain Column expressions.
 
 from __future__ import annotations
 
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
 from ..functions.arrays import window_slice
 from ..functions.keyed import keyed_uniform
 from ..plans.numbering import dense_row_number, running_sum
-from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
+from ..session import materialize
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -83,69 +79,54 @@ def encode_long(long_tokens: DataFrame, vocab: DataFrame, token_col: str = "toke
                 unk_id: int = C.SPECIAL_TOKENS.index(C.UNK)) -> DataFrame:
     """Add ``token_id`` to a long token table; unknown tokens get ``unk_id``.
 
-    The vocabulary is broadcast only after its row count is checked; a larger
-    one is shuffle-joined (AQE splits hot tokens).
+    A plain join on the token: the optimizer broadcasts the vocabulary or
+    shuffles both sides from its statistics, and AQE splits hot tokens.
     """
-    v = broadcast_if_small(vocab.select(F.col("token").alias(token_col), "token_id"))
+    v = vocab.select(F.col("token").alias(token_col), "token_id")
     return long_tokens.join(v, token_col, "left") \
         .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk_id).cast("bigint")))
 
 
-def encode_array(df: DataFrame, array_col: str, vocab: DataFrame, keys: list[str], out: str | None = None,
-                 unk_id: int = C.SPECIAL_TOKENS.index(C.UNK), limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def encode_array(df: DataFrame, array_col: str, vocab: DataFrame, out: str | None = None,
+                 unk_id: int = C.SPECIAL_TOKENS.index(C.UNK)) -> DataFrame:
     """Token arrays → id arrays (``out``, default: replace ``array_col``).
 
-    A vocabulary of at most ``limit`` rows (counted first) is shipped once to
-    the executors as a broadcast dict and looked up in Arrow batches: a
-    map-only stage, no shuffle of the token stream.  A larger vocabulary takes
-    the long-form path: explode, shuffle join, regroup by ``keys``.
+    Null arrays stay null, empty ones empty; null and unknown tokens get
+    ``unk_id``.  Rows need no key (see ``_by_distinct_array``).
+    """
+    return _by_distinct_array(df, array_col, out or array_col, "bigint",
+                              lambda long: encode_long(long, vocab, "_v", unk_id).select("_a1", "_a2", "_pos", F.col("token_id").alias("_w")))
+
+
+def decode_array(df: DataFrame, array_col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:
+    """Id arrays → token arrays; ids that the vocabulary lacks become null tokens."""
+    return _by_distinct_array(df, array_col, out or array_col, "string",
+                              lambda long: decode_long(long.withColumnRenamed("_v", "token_id"), vocab)
+                              .select("_a1", "_a2", "_pos", F.col("token").alias("_w")))
+
+
+def _by_distinct_array(df: DataFrame, array_col: str, out: str, kind: str, translate) -> DataFrame:
+    """Translate the elements of an array column by a join in long form.
+
+    Every distinct array is exploded, translated and regrouped once under a
+    128-bit digest of its elements, and joined back on the digest, so equal
+    rows, duplicate keys and null keys of ``df`` need no row number.
     """
-    out = out or array_col
-    n = vocab.limit(limit + 1).count()
-    if n <= limit:
-        spark = df.sparkSession
-        mapping = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
-        bc = spark.sparkContext.broadcast(mapping)
-
-        @pandas_udf(T.ArrayType(T.LongType()))
-        def lookup(s: pd.Series) -> pd.Series:
-            d = bc.value
-            return pd.Series([[d.get(t, unk_id) for t in toks] if toks is not None else None for toks in s])
-
-        return df.withColumn(out, lookup(F.col(array_col)))
-    long = explode_positions(df.select(*keys, array_col), array_col, keys, "_pos", "_tok")
-    enc = encode_long(long, vocab, "_tok", unk_id)
-    g = regroup(enc, keys, "_pos", ["token_id"]).withColumnRenamed("token_id", out)
-    base = df if out != array_col else df.drop(array_col)
-    return base.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>")))
-
-
-def decode_array(df: DataFrame, array_col: str, vocab: DataFrame, keys: list[str], out: str | None = None,
-                 limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Id arrays → token arrays; same two paths as ``encode_array``."""
-    out = out or array_col
-    n = vocab.limit(limit + 1).count()
-    if n <= limit:
-        mapping = {int(r["token_id"]): r["token"] for r in vocab.select("token", "token_id").collect()}
-        bc = df.sparkSession.sparkContext.broadcast(mapping)
-
-        @pandas_udf(T.ArrayType(T.StringType()))
-        def lookup(s: pd.Series) -> pd.Series:
-            d = bc.value
-            return pd.Series([[d.get(int(i)) for i in ids] if ids is not None else None for ids in s])
-
-        return df.withColumn(out, lookup(F.col(array_col)))
-    long = explode_positions(df.select(*keys, array_col), array_col, keys, "_pos", "token_id")
-    dec = decode_long(long, vocab)
-    g = regroup(dec, keys, "_pos", ["token"]).withColumnRenamed("token", out)
-    base = df if out != array_col else df.drop(array_col)
-    return base.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    a = F.col(array_col)
+    nulls = F.transform(a, lambda x: x.isNull())
+    digest = {"_a1": F.xxhash64(F.lit(1), F.size(a), a, nulls), "_a2": F.xxhash64(nulls, a, F.lit(2), F.size(a))}
+    keyed = df.withColumns(digest)
+    arrays = keyed.filter(F.size(a) > 0).groupBy("_a1", "_a2").agg(F.first(a).alias("_arr"))
+    done = regroup(translate(explode_positions(arrays, "_arr", ["_a1", "_a2"], "_pos", "_v")), ["_a1", "_a2"], "_pos",
+                   ["_w"]).withColumnRenamed("_w", "_done")
+    empty = F.when(a.isNotNull(), F.array().cast(f"array<{kind}>"))
+    return keyed.join(done, ["_a1", "_a2"], "left").withColumn(out, F.coalesce("_done", empty)) \
+        .select(*[c for c in df.columns if c != out], out)
 
 
 def decode_long(long_ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add ``token`` to a long id table."""
-    v = broadcast_if_small(vocab.select("token_id", "token"))
-    return long_ids.join(v, "token_id", "left")
+    return long_ids.join(vocab.select("token_id", "token"), "token_id", "left")
 
 
 def explode_positions(df: DataFrame, array_col, keys: list[str], pos: str = "pos",
@@ -248,15 +229,22 @@ def random_crop(df: DataFrame, array_cols: list[str], max_length: int, keys: lis
 
 
 def prepend_prefix(df: DataFrame, prefix_ids: list, ids: str = "input_ids",
-                   attention: str = "attention_mask", mask: str = "label_mask") -> DataFrame:
-    """System prefix ids in front: attention 1, label mask False."""
+                   attention: str = "attention_mask", mask: str = "label_mask",
+                   max_length: int | None = None) -> DataFrame:
+    """System prefix ids in front: attention 1, label mask False.
+
+    With ``max_length`` the sequence keeps its first ``max_length`` minus
+    prefix positions, so that the result is no longer than ``max_length``.
+    """
     k = len(prefix_ids)
-    pre = F.array(*[F.lit(i) for i in prefix_ids])
-    d = df.withColumn(ids, F.concat(pre, F.col(ids)))
+
+    def own(name: str) -> Column:
+        return F.col(name) if max_length is None else F.slice(F.col(name), 1, max(0, max_length - k))
+    d = df.withColumn(ids, F.concat(F.array(*[F.lit(i) for i in prefix_ids]), own(ids)))
     if attention in df.columns:
-        d = d.withColumn(attention, F.concat(F.array_repeat(F.lit(1), k), F.col(attention)))
+        d = d.withColumn(attention, F.concat(F.array_repeat(F.lit(1), k), own(attention)))
     if mask in df.columns:
-        d = d.withColumn(mask, F.concat(F.array_repeat(F.lit(False), k), F.col(mask)))
+        d = d.withColumn(mask, F.concat(F.array_repeat(F.lit(False), k), own(mask)))
     return d
 
 

@@ -8,8 +8,8 @@ from .. import constants as C
 from ..operators import evaluation as EV
 from ..operators import generate as G
 from . import fixtures as FX
-from . import sqlx
-from .catalog_text import CASE_PROMPT_EXPR, _choice_prompt_sql
+from . import metric_sql, sqlx
+from .catalog_text import CASE_PROMPT_EXPR, DP_SQL, _choice_prompt_sql
 from .registry import register
 
 _OUT = (f"{sqlx.trim_all('prompt || substr(' + chr(39) + 'ABCD' + chr(39) + ', CAST(length(prompt) % 4 + 1 AS INTEGER), 1)')}")
@@ -27,7 +27,13 @@ def q_evaluate_choice(spark, sf):
     return acc
 
 
-@register("evaluate_dialogue")
+_REST = f"right(prompt, 24) || {sqlx.lit(C.EOS + C.PATIENT)}"
+_REPLY = sqlx.trim_all(f"regexp_replace(regexp_replace(split_part({_REST}, '<|', 1), '<.*?>', '', 'g'), '.*?>', '', 'g')")
+EVAL_DIALOGUE_SQL = ("WITH RECURSIVE " + DP_SQL + f", pr AS (SELECT conv_id, {_REPLY} AS response, target FROM dp), "
+                     + metric_sql.ctes("pr", "conv_id") + metric_sql.REPORT)
+
+
+@register("evaluate_dialogue", EVAL_DIALOGUE_SQL)
 def q_evaluate_dialogue(spark, sf):
     """Dialogue prompts → stand-in chat model → reply cut from the decoded output → generation report."""
     _, report = EV.evaluate_dialogue(FX.conversations(spark, sf), G.echo_reply_factory())

@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
 from . import fixtures as FX
-from . import sqlx
+from . import metric_sql, sqlx
 from .registry import register
 
 NS_SQL = "ns AS (SELECT * FROM (VALUES (1), (2), (3), (4)) v(n))"
@@ -83,7 +83,12 @@ def q_bleu_n(spark, sf):
     return b.select(*keys, F.round("bleu_2", 6).alias("bleu_2"), F.round("bleu_4", 6).alias("bleu_4"))
 
 
-@register("rouge_l")
+PAIR_KEY_SQL = "{'conv_id': conv_id, 'turn': turn}"
+PAIR_SQL = "WITH RECURSIVE " + FX.METRIC_PAIRS_SQL + ", " + metric_sql.ctes("pairs", PAIR_KEY_SQL)
+
+
+@register("rouge_l", PAIR_SQL + " SELECT k.conv_id AS conv_id, k.turn AS turn, CAST(lcs AS BIGINT) AS lcs, "
+          "round(rouge_l, 6) AS rouge_l FROM rouge")
 def q_rouge_l(spark, sf):
     """Per-pair ROUGE-L over non-empty pairs (LCS kernel in Arrow batches)."""
     t = _tokens(spark, sf).filter((F.size("hyp_tokens") > 0) & (F.size("ref_tokens") > 0))
@@ -91,14 +96,14 @@ def q_rouge_l(spark, sf):
     return r.select("conv_id", "turn", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@register("meteor")
+@register("meteor", PAIR_SQL + " SELECT k.conv_id AS conv_id, k.turn AS turn, round(meteor, 6) AS meteor FROM met")
 def q_meteor(spark, sf):
     """Per-pair METEOR (exact stage)."""
     m = M.meteor(_tokens(spark, sf), ["conv_id", "turn"])
     return m.select("conv_id", "turn", F.round("meteor", 6).alias("meteor"))
 
 
-@register("generation_report")
+@register("generation_report", PAIR_SQL + metric_sql.REPORT)
 def q_generation_report(spark, sf):
     """rouge_l, bleu_2, bleu_4, meteor, dist_2 over all assistant-turn pairs."""
     return M.generation_report(FX.metric_pairs(spark, sf), ["conv_id", "turn"])
@@ -116,13 +121,13 @@ def q_choice_accuracy(spark, sf):
     return M.choice_accuracy(M.tag_correctness(FX.exam_replies(spark, sf)), ["answer"])
 
 
-TA_SQL = (FX.LOGITS_SQL + ", ta AS (SELECT vec_id, CAST(list_position(logits[1:10], list_max(logits[1:10])) - 1 AS "
+TA_SQL = (FX.LOGITS_SQL + ", ta AS (SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS "
           "INTEGER) AS pred, target AS label FROM lg)")
 
 
 def _preds(spark, sf):
     lg = FX.logits(spark, sf)
-    return lg.select("vec_id", argmax_index(F.slice("logits", 1, 10)).alias("pred"), F.col("target").alias("label"))
+    return lg.select("vec_id", argmax_index("logits").alias("pred"), F.col("target").alias("label"))
 
 
 @register("token_accuracy", "WITH " + TA_SQL + " SELECT 'positive' AS rule, count(*) AS n, round(avg(CASE WHEN "

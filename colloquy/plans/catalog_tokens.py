@@ -13,7 +13,7 @@ from ..operators import sequences as S
 from ..operators import tokens as TK
 from . import fixtures as FX
 from . import sqlx
-from ..session import materialize, materialize_bucketed
+from ..session import materialize
 from .registry import register, table
 
 MARKERS = (C.PATIENT, C.DOCTOR)
@@ -85,21 +85,13 @@ ENC_SQL = (VOCAB_SQL + f", pt AS (SELECT conv_id, turn, {TOK_PIECE} AS toks FROM
            "LEFT JOIN vocab v USING (token))")
 
 
-def _encoded_pieces(spark, sf):
-    # tokenized once, written once: the vocabulary and the encoding both read it
-    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
-    vocab = TK.build_vocab(pieces, "toks")
-    long = TK.explode_positions(pieces, "toks", ["conv_id", "turn"])
-    return TK.encode_long(long, vocab), vocab
-
-
 @register("encode_tokens", "WITH " + ENC_SQL + " SELECT conv_id, turn, string_agg(CAST(token_id AS VARCHAR), ' ' "
           "ORDER BY pos) AS ids FROM pte GROUP BY conv_id, turn")
 def q_encode_tokens(spark, sf):
-    """Per-turn token arrays encoded with the corpus vocabulary (broadcast lookup when it is small)."""
+    """Per-turn token arrays encoded with the corpus vocabulary (a join on distinct arrays)."""
     pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
     vocab = TK.build_vocab(pieces, "toks")
-    enc = TK.encode_array(pieces.select("conv_id", "turn", "toks"), "toks", vocab, ["conv_id", "turn"], "ids")
+    enc = TK.encode_array(pieces.select("conv_id", "turn", "toks"), "toks", vocab, "ids")
     return enc.select("conv_id", "turn", AR.join_ints("ids").alias("ids"))
 
 
@@ -109,8 +101,8 @@ def q_decode_tokens(spark, sf):
     pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)))
     vocab = TK.build_vocab(pieces, "toks")
     keys = ["conv_id", "turn"]
-    enc = TK.encode_array(pieces.select(*keys, "toks"), "toks", vocab, keys, "ids")
-    dec = TK.decode_array(enc.select(*keys, "ids"), "ids", vocab, keys, "tokens")
+    enc = TK.encode_array(pieces.select(*keys, "toks"), "toks", vocab, "ids")
+    dec = TK.decode_array(enc.select(*keys, "ids"), "ids", vocab, "tokens")
     return dec.select(*keys, F.array_join("tokens", " ").alias("text"))
 
 
@@ -184,16 +176,17 @@ PREFIX_TOKENS_SQL = sqlx.tok(f"'{C.SYSTEM}' || {sqlx.lit(C.SYSTEM_PREFIX_TEXT)}
 
 
 @register("prepend_prefix", "WITH " + DTL_SQL + f", pf AS (SELECT {PREFIX_TOKENS_SQL} AS p) SELECT d.conv_id, "
-          "array_to_string(list_concat(pf.p, d.tokens), ' ') AS tokens, "
-          "repeat('0', len(pf.p)) || " + _mask_sql(False) + " AS label_mask, "
-          "CAST(len(pf.p) + len(d.tokens) AS BIGINT) AS attended FROM dt0 d JOIN dtv USING (conv_id), pf")
+          "array_to_string(list_concat(pf.p, d.tokens[:192 - len(pf.p)]), ' ') AS tokens, "
+          "repeat('0', len(pf.p)) || substr(" + _mask_sql(False) + ", 1, 192 - len(pf.p)) AS label_mask, "
+          "CAST(len(pf.p) + least(len(d.tokens), 192 - len(pf.p)) AS BIGINT) AS attended "
+          "FROM dt0 d JOIN dtv USING (conv_id), pf")
 def q_prepend_prefix(spark, sf):
     pref = spark.range(1).select(tokenize(system_prefix(F.lit(C.SYSTEM_PREFIX_TEXT))).alias("p")).first()["p"]
     d = _dialogue_tokens(spark, sf).withColumn("msg", TK.message_index_array(F.col("tokens"), list(MARKERS)))
     d = d.select("conv_id", F.col("tokens").alias("input_ids"),
                  F.array_repeat(F.lit(1), F.size("tokens")).alias("attention_mask"),
                  TK.label_mask(F.col("msg")).alias("label_mask"))
-    p = TK.prepend_prefix(d, list(pref))
+    p = TK.prepend_prefix(d, list(pref), max_length=192)
     return p.select("conv_id", F.array_join("input_ids", " ").alias("tokens"),
                     AR.join_bools("label_mask").alias("label_mask"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("attended"))
@@ -215,7 +208,7 @@ def _prompt_target_sources(spark, sf):
 
 
 def _encode_array(df, col, vocab, keys):
-    enc = TK.encode_array(df, col, vocab, keys)
+    enc = TK.encode_array(df, col, vocab)
     return enc.withColumn(col, F.transform(col, lambda x: x.cast("int")))
 
 
@@ -405,8 +398,8 @@ DB_SQL = (VOCAB_SQL + ", pieces AS (SELECT conv_id, turn, " + TOK_PIECE + " AS t
           f"{sqlx.join_list('list_concat(ids[2:], ids[1:1])')} AS targets FROM pd")
 def q_dialogue_batches(spark, sf):
     """Whole fine-tuning data path: render, tokenize, crop, encode, mask, batch, pad, shift."""
-    # written once, bucketed by (conv_id, turn block): the prefix sums read it without a shuffle
-    pieces = materialize_bucketed(S.piece_tokens(FX.conversations(spark, sf)), ["conv_id", "blk"], "pieces")
+    # written once: the vocabulary, the prefix sums and the cut read it
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)), "pieces")
     vocab = TK.build_vocab(pieces, "toks")
     b = S.dialogue_batches(pieces, vocab, max_length=256, batch_size=8)
     return b.select("conv_id", "batch_id", "row_in_batch", AR.join_ints("input_ids").alias("input_ids"),

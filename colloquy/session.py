@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 # Largest side we broadcast after counting it (rows).  Beyond it the join
 # stays a shuffle join and AQE may still convert it from runtime statistics.
 BROADCAST_ROW_LIMIT = 2_000_000
+_WRITTEN: list[str] = []
 
 
 def get_session(master: str | None = None, app: str = "colloquy",
@@ -39,7 +41,7 @@ def get_session(master: str | None = None, app: str = "colloquy",
     for k, v in conf.items():
         b = b.config(k, v)
     if master and master.startswith("local"):
-        b = b.config("spark.driver.memory", os.environ.get("COLLOQUY_DRIVER_MEMORY", "16g"))
+        b = b.config("spark.driver.memory", os.environ.get("COLLOQUY_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
@@ -80,8 +82,10 @@ def prepare(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick our own when the
-    setting is absent (local runs and tests).
+    A cluster must name a shared folder there: without it every executor would
+    write to its own disk and reads would miss the others' files, so a
+    non-local master without the setting is an error.  Local runs and tests
+    get a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -89,16 +93,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="colloquy-ckpt-")
+        configured = local_scratch(sc.master)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def local_scratch(master: str) -> str:
+    """A temporary folder for a local master; any other master must set ``spark.checkpoint.dir``."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="colloquy-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written_tables() -> list[str]:
+    """Paths of the intermediate tables written so far and not yet released."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, keep: list[str] | None = None) -> int:
+    """Delete the written intermediate tables but those in ``keep``; returns how many went.
+
+    For the end of a use: DataFrames that still read them can no longer run.
+    """
+    gone = [p for p in _WRITTEN if p not in set(keep or [])]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _WRITTEN.remove(path)
+    return len(gone)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside the block are deleted at its end (results must be written or collected there)."""
+    before = written_tables()
+    try:
+        yield
+    finally:
+        release(spark, keep=before)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -136,15 +178,3 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
-
-def materialize_bucketed(df: DataFrame, cols: list[str], name: str = "table",
-                         n_buckets: int | None = None) -> DataFrame:
-    """Like ``materialize``, but stored bucketed by ``cols`` (an external table
-    in the shared folder), so later windows, aggregations and joins clustered
-    on ``cols`` read it without a shuffle."""
-    spark = df.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    path = scratch_path(spark, name)
-    table = f"colloquy_{name.replace('-', '_')}_{uuid.uuid4().hex[:10]}"
-    df.write.mode("overwrite").bucketBy(n, *cols).option("path", path).saveAsTable(table)
-    return spark.table(table)

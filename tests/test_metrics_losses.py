@@ -136,10 +136,39 @@ def test_merge_metrics_rejects_duplicates(spark):
     one = spark.createDataFrame([(1.0,)], "v double")
     with pytest.raises(ValueError):
         M.merge_metrics([("a", one), ("a", one)])
-    with pytest.raises(ValueError):
+    with pytest.raises(KeyError):
         L.loss_report("Nope", one, one)
 
 
+def test_log_sum_exp_with_infinite_logits(spark):
+    from colloquy.functions.arrays import logsumexp
+    inf = float("inf")
+    rows = [([-inf, 1.0, 2.0],), ([1.0, -inf, 2.0],), ([-inf, -inf],), ([float("nan"), 1.0],), ([1.0, float("nan")],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<double>").coalesce(1).select(logsumexp("x")).collect()]
+    want = math.log(math.exp(1) + math.exp(2))
+    assert got[0] == pytest.approx(want) and got[1] == pytest.approx(want) and got[2] == -inf
+    assert math.isnan(got[3]) and math.isnan(got[4])
+
+
+@pytest.mark.parametrize("target", [-3, 3, None])
+def test_targets_outside_the_logits_raise(spark, target):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], 1, True), ([1.0, 2.0, 3.0], target, True)],
+                               "logits array<double>, target int, mask boolean")
+    with pytest.raises(Exception, match="out of range"):
+        L.masked_cross_entropy(df).collect()
+
+
+@pytest.mark.parametrize("scale", [(1, 0), (1, -7), (1_700_000_000_000, 5), (2_000_000_000, -3)])
+def test_pairs_do_not_depend_on_the_scale_of_ranks(spark, scale):
+    a, b = scale
+    rows = [(c, a * (r + b), float((r * 7) % 5)) for c in (1, 2) for r in range(12 * c)]
+    got = L.preference_pair_sums(spark.createDataFrame(rows, "conv_id long, rank long, score double"), block=4)
+    plain = [(c, r, float((r * 7) % 5)) for c in (1, 2) for r in range(12 * c)]
+    want = L.preference_pair_sums(spark.createDataFrame(plain, "conv_id long, rank long, score double"))
+    key = lambda d: sorted((r.conv_id, r.n_pairs, round(r.sp_sum, 9), round(r.margin_sum, 9)) for r in d.collect())
+    assert key(got) == key(want) and [x[1] for x in key(got)] == [66, 276]
+
+
 def test_lcs_kernel_random_against_brute_force():
     import random
     from colloquy.operators.metrics import _lcs

@@ -39,11 +39,11 @@ def test_bleu_counts_shuffle_pairs_once(spark):
     assert exchanges(m) == 1
 
 
-def test_small_vocab_encoding_is_map_only(spark):
+def test_encoding_is_relational(spark):
     toks = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "k long, toks array<string>")
     vocab = spark.createDataFrame([("a", 9), ("b", 10)], "token string, token_id bigint")
-    enc = TK.encode_array(toks, "toks", vocab, ["k"], "ids")
-    assert exchanges(enc) == 0 and "ArrowEvalPython" in plan(enc)
+    p = plan(TK.encode_array(toks, "toks", vocab, "ids"))
+    assert "Python" not in p and "Pandas" not in p and "Join" in p
 
 
 def test_render_dialogue_two_level(spark):
@@ -53,14 +53,14 @@ def test_render_dialogue_two_level(spark):
 
 def test_prep_chain_shuffles_cut_tokens_once_by_batch(spark):
     from colloquy.operators import sequences as S
-    from colloquy.session import materialize_bucketed
+    from colloquy.session import materialize
 
-    pieces = materialize_bucketed(S.piece_tokens(spark.read.parquet(CONV)), ["conv_id", "blk"], "plan-pieces", 8)
+    pieces = materialize(S.piece_tokens(spark.read.parquet(CONV)))
     vocab = TK.build_vocab(pieces, "toks")
     b = S.dialogue_batches(pieces, vocab, max_length=64, batch_size=4)
     b.write.format("noop").mode("overwrite").save()
     p = plan(b)
-    # block totals by conversation, batch keys, and the cut tokens by batch_id;
-    # the bucketed pieces and the padding window add none
-    assert p.count("Exchange hashpartitioning") <= 3
+    # narrow: turn counts by (conversation, block), block totals, batch keys;
+    # with tokens: the surviving turns' arrays once, the cut tokens by batch_id
+    assert p.count("Exchange hashpartitioning") <= 5
     assert "Exchange hashpartitioning(batch_id" in p

@@ -8,7 +8,7 @@ import regex
 from colloquy import constants as C
 from colloquy.operators import sequences as S
 from colloquy.operators import tokens as TK
-from colloquy.session import materialize, materialize_bucketed
+from colloquy.session import materialize
 
 
 def u(seed, salt, key):
@@ -43,32 +43,26 @@ def test_encode_dialogues_matches_python_on_a_hot_conversation(spark):
              3: [("user", "only one turn")]}
     rows = [(cid, t, role, text) for cid, turns in convs.items() for t, (role, text) in enumerate(turns)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    plain = materialize(S.piece_tokens(turns))
-    bucketed = materialize_bucketed(S.piece_tokens(turns), ["conv_id", "blk"], "test-pieces", 4)
-    vocab = TK.build_vocab(plain, "toks")
+    pieces = materialize(S.piece_tokens(turns))
+    vocab = TK.build_vocab(pieces, "toks")
     v = {r.token: r.token_id for r in vocab.collect()}
-    for pieces in (plain, bucketed):
-        for max_length in (64, 100000):
-            got = {r.conv_id: (r.input_ids, r.label_mask, r.crop_offset)
-                   for r in S.encode_dialogues(pieces, vocab, max_length).collect()}
-            want = python_chain(convs, v, max_length)
-            assert got == want
+    for max_length in (64, 100000):
+        got = {r.conv_id: (r.input_ids, r.label_mask, r.crop_offset)
+               for r in S.encode_dialogues(pieces, vocab, max_length).collect()}
+        want = python_chain(convs, v, max_length)
+        assert got == want
 
 
-def test_prefix_sums_read_bucketed_pieces_without_shuffle(spark):
+def test_prefix_sums_move_no_tokens(spark):
     from colloquy.plans.numbering import running_sum
 
-    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "w") for c in range(30) for t in range(5)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pieces = materialize_bucketed(S.piece_tokens(turns), ["conv_id", "blk"], "test-pieces", 8)
-    ps = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start"}, inclusive=False, block_col="blk")
-    ps.write.format("noop").mode("overwrite").save()
-    plan = ps._jdf.queryExecution().executedPlan().toString()
-    # the windows read the bucketed table directly; the one shuffle left moves
-    # the small block-total table by conversation
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "Exchange hashpartitioning(conv_id" in plan and "_blk" not in plan.split("Exchange hashpartitioning")[1].split(")")[0]
-
+    turns = spark.createDataFrame([(1, t, "patient" if t % 2 else "doctor", f"words {t}") for t in range(50)],
+                                  "conv_id long, turn long, role string, text string")
+    pieces = materialize(S.piece_tokens(turns)).select("conv_id", "turn", "blk", "n_tok")
+    df = running_sum(pieces, ["conv_id"], "turn", {"n_tok": "start"}, inclusive=False, block_col="blk")
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "toks" not in p
+    assert [r.start for r in df.orderBy("turn").collect()] == [4 * t for t in range(50)]  # marker, two words, end
 
 def test_dialogue_batches_shapes(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", "a b c " * (c % 7 + t)) for c in range(40) for t in range(3)]

@@ -151,19 +151,26 @@ def test_assign_batches_bucketed_cuts_padding(spark):
     assert bucketed.count() == 400 and padding(bucketed) < padding(plain)
 
 
-def test_encode_array_broadcast_and_join_paths_agree(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, []), (3, ["b", "a", "a"])], "k long, toks array<string>")
+def test_encode_and_decode_arrays(spark):
+    rows = [(1, ["a", "b", "zz"]), (2, []), (3, ["b", "a", "a"]), (3, ["b", "a", "a"]), (None, ["a"]), (3, None),
+            (4, [None, "a"]), (5, ["a", None])]
+    df = spark.createDataFrame(rows, "k long, toks array<string>")
     vocab = TK.build_vocab(df, "toks")
-    small = {r.k: r.ids for r in TK.encode_array(df, "toks", vocab, ["k"], "ids").collect()}
-    big = {r.k: r.ids for r in TK.encode_array(df, "toks", vocab, ["k"], "ids", limit=1).collect()}
-    assert small == big and small[2] == []
     ids = {r.token: r.token_id for r in vocab.collect()}
-    assert small[3] == [ids["b"], ids["a"], ids["a"]]
-    enc = TK.encode_array(df, "toks", vocab, ["k"], "ids")
-    for lim in (None, 1):
-        kw = {} if lim is None else {"limit": lim}
-        dec = {r.k: r.back for r in TK.decode_array(enc, "ids", vocab, ["k"], "back", **kw).collect()}
-        assert dec == {1: ["a", "b", "zz"], 2: [], 3: ["b", "a", "a"]}
+    unk = ids[C.UNK]
+    enc = TK.encode_array(df, "toks", vocab, "ids")
+    want = sorted([(k, t, None if t is None else [ids.get(x, unk) for x in t]) for k, t in rows], key=repr)
+    assert sorted([(r.k, r.toks, r.ids) for r in enc.collect()], key=repr) == want
+    back = TK.decode_array(enc.filter("k is null or k < 4"), "ids", vocab, "back").collect()
+    assert len(back) == 6 and all(r.back == r.toks for r in back)
+
+
+def test_prefix_shortens_to_max_length(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [1, 1, 1, 1], [True] * 4)],
+                               "input_ids array<int>, attention_mask array<int>, label_mask array<boolean>")
+    r = TK.prepend_prefix(df, [9, 8], max_length=4).collect()[0]
+    assert (r.input_ids, r.attention_mask, r.label_mask) == ([9, 8, 1, 2], [1] * 4, [False, False, True, True])
+    assert TK.prepend_prefix(df, [9, 8]).collect()[0].input_ids == [9, 8, 1, 2, 3, 4]
 
 
 def test_dense_row_number_paths_agree(spark):
