@@ -1,7 +1,8 @@
 """Quality rules by tokenizer fertility.
 
-A public vocabulary measures every text: characters per token, the share of
-byte-fallback tokens and the entropy of its tokens.  Good text of a language
+A public byte-level vocabulary for many languages measures every whole text:
+characters per token, the share of byte-fallback tokens and the entropy of its
+tokens.  Good text of a language
 stays within narrow bands of these; gibberish, mark-up, repeated or shouted
 text does not.  The bands come from rows labelled good: for each language and
 octave of text length (entropy grows with length) the range that all but a
@@ -12,7 +13,6 @@ as well nothing is rejected by it.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,6 @@ MAX_REPEAT_PERCENT = 20
 MIN_LABELLED = 50
 TAIL = 0.001
 MARGIN = 0.15
-CACHED_WORDS = 200_000
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "n_tokens bigint, chars_per_token double, byte_share double, entropy double, script string")
@@ -67,38 +66,44 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
         return 0
     ids: dict[bytes, int] = {}
     one = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    key = one[:n]
-    # windows grow by one word; equal windows keep equal numbers
+    at, key = np.arange(n), one[:n]
+    # windows grow by one word; one whose opening occurs once cannot occur twice
     for k in range(1, window):
-        key = np.unique(key * (len(ids) + 1) + one[k:k + n], return_inverse=True)[1]
-    often = np.bincount(key)[key] > 1
-    if not often.any():
-        return 0
+        key, counts = np.unique(key * len(ids) + one[at + k], return_inverse=True, return_counts=True)[1:]
+        again = counts[key] > 1
+        at, key = at[again], key[again]
+        if not len(at):
+            return 0
     edges = np.zeros(len(words) + 1, np.int64)
-    edges[:n] += often
-    edges[window:window + n] -= often
+    edges[at] += 1
+    edges[at + window] -= 1
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
-class _Fertility:
-    """Tokens of words; frequent words are kept between texts."""
-
-    def __init__(self, model):
-        self.model, self.cache = model, {}
-        self.is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
-
-    def of(self, words: Counter) -> tuple[int, int, float]:
-        """Tokens, byte-fallback tokens and entropy in bits of a text's words."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        if new:
-            codes = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-            self.cache.update((w, np.array(c, np.int64)) for w, c in zip(new, codes))
-        tokens = [self.cache[w] for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(t) for t in tokens])
-        ids = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        counts = np.bincount(ids, weights=times, minlength=len(self.is_byte))
+def _is_whole(token: bytes) -> bool:
+    try:
+        token.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+class Fertility:
+    """Tokens of whole texts by a byte-level vocabulary.
+
+    A token that is not whole characters (a byte or some bytes of one that the
+    vocabulary lacks) is a byte fallback.
+    """
+
+    def __init__(self, encoding):
+        self.encoding = encoding
+        self.is_byte = np.zeros(encoding.n_vocab, bool)
+        for i in range(encoding.n_vocab):
+            self.is_byte[i] = not _is_whole(encoding.decode_single_token_bytes(i))
+
+    def of(self, text: str) -> tuple[int, int, float]:
+        """Tokens, byte-fallback tokens and entropy in bits."""
+        counts = np.bincount(self.encoding.encode_ordinary(text), minlength=len(self.is_byte)) if text else np.zeros(1)
         n = int(counts.sum())
         if not n:
             return 0, 0, 0.0
@@ -106,7 +111,7 @@ class _Fertility:
         return n, int(counts[self.is_byte].sum()), max(0.0, float(-(p * np.log2(p)).sum()))
 
 
-def measure_text(text: str | None, fertility: _Fertility) -> tuple:
+def measure_text(text: str | None, fertility: Fertility) -> tuple:
     """One row of ``SCHEMA``; a null text counts as an empty one."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -117,14 +122,14 @@ def measure_text(text: str | None, fertility: _Fertility) -> tuple:
         if line.strip(SPACES):
             dup += line in lines
             lines.add(line)
-    tokens, fallback, entropy = fertility.of(Counter(words))
+    tokens, fallback, entropy = fertility.of(text)
     return (len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), tokens,
             chars / tokens if tokens else 0.0, fallback / tokens if tokens else 0.0, entropy, script_of(text))
 
 
-def _measured(model_ref):
+def _measured(ranks_ref):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        fertility = _Fertility(vocab.piece_model(model_ref.value))
+        fertility = Fertility(vocab.byte_encoding(ranks_ref.value))
         for texts in batches:
             yield pd.DataFrame([measure_text(t, fertility) for t in texts],
                                columns=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -132,10 +137,10 @@ def _measured(model_ref):
     return run
 
 
-def measures(df: DataFrame, text_col: str = "text", model_path: str = vocab.PIECE_MODEL) -> Column:
+def measures(df: DataFrame, text_col: str = "text", ranks_path: str = vocab.MULTI_RANKS) -> Column:
     """The measures of a text as a struct column of ``SCHEMA`` (Arrow batches)."""
-    model_ref = vocab.shipped(df.sparkSession, model_path)
-    return F.pandas_udf(_measured(model_ref), SCHEMA)(F.col(f"`{text_col}`"))
+    ranks_ref = vocab.shipped(df.sparkSession, ranks_path)
+    return F.pandas_udf(_measured(ranks_ref), SCHEMA)(F.col(f"`{text_col}`"))
 
 
 def octave() -> Column:
@@ -190,7 +195,7 @@ def verdicts(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", lan
 
 
 def judge(df: DataFrame, labels: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id",
-          text_col: str = "text", lang_col: str = "lang", model_path: str = vocab.PIECE_MODEL) -> DataFrame:
+          text_col: str = "text", lang_col: str = "lang", ranks_path: str = vocab.MULTI_RANKS) -> DataFrame:
     """Rows (rec, m, base_failed, kept): ``rec`` has the columns ``carry`` of ``df`` (default: all), ``m`` the measures.
 
     One row per row of ``df``: null and empty texts measure 0 and fail, repeated
@@ -199,5 +204,5 @@ def judge(df: DataFrame, labels: DataFrame, carry: list[str] | None = None, id_c
     ``carry`` must hold ``id_col`` and ``lang_col``.
     """
     rec = F.struct(*[F.col(f"`{c}`") for c in (carry or df.columns)]).alias("rec")
-    measured = materialize(df.select(rec, measures(df, text_col, model_path).alias("m")), "measured")
+    measured = materialize(df.select(rec, measures(df, text_col, ranks_path).alias("m")), "measured")
     return verdicts(measured, labels, id_col, lang_col)

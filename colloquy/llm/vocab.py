@@ -12,11 +12,11 @@ import os
 from pyspark.sql import SparkSession
 
 FOLDER = "/opt/tokenizers"
-PIECE_MODEL = f"{FOLDER}/piece_bpe_32k.model"
 BYTE_RANKS = f"{FOLDER}/byte_bpe_50k.tiktoken"
+MULTI_RANKS = f"{FOLDER}/byte_bpe_multi_50k.tiktoken"
 MAX_BYTES = 64 << 20
 # pre-tokenizer pattern of the byte-level vocabulary; fixed value that comes with its file
-BYTE_PATTERN= r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def shipped(spark: SparkSession, path: str):
@@ -28,27 +28,15 @@ def shipped(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_LOADED: dict[tuple[str, int], object] = {}
+_LOADED: dict[int, object] = {}
 
 
-def _once(kind: str, data: bytes, make):
-    """One tokenizer per worker process and file."""
-    key = (kind, hash(data))
+def byte_encoding(data: bytes):
+    """The byte-level tokenizer of a file of ranks, one per worker process and file."""
+    import tiktoken
+
+    key = hash(data)
     if key not in _LOADED:
-        _LOADED[key] = make(data)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        _LOADED[key] = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[key]
-
-
-def piece_model(data: bytes):
-    def make(d: bytes):
-        import sentencepiece
-        return sentencepiece.SentencePieceProcessor(model_proto=d)
-    return _once("piece", data, make)
-
-
-def byte_encoding(data: bytes):
-    def make(d: bytes):
-        import tiktoken
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, d.splitlines())}
-        return tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _once("bytes", data, make)

@@ -187,17 +187,18 @@ def brute_measures(text):
 
 
 def test_quality_measures(spark):
-    fertility = quality._Fertility(vocab.piece_model(open(vocab.PIECE_MODEL, "rb").read()))
+    fertility = quality.Fertility(vocab.byte_encoding(open(vocab.MULTI_RANKS, "rb").read()))
     rng = random.Random(6)
     texts = [t for _, t, *_ in edge_rows()] + [" ".join(rng.choice("ab") for _ in range(n)) for n in range(0, 60, 3)]
     texts += ["same line\nsame line\n \nother | line\n#$", "emoji \U0001F600\U0001F9FF ಠ"]
     for t in texts:
         m = quality.measure_text(t, fertility)
         assert m[:5] == brute_measures(t)
-        ids = [i for x in WORD.findall(t or "") for i in fertility.model.encode(x)]
+        ids = fertility.encoding.encode_ordinary(t or "")
         counts = np.array(list(Counter(ids).values())) / max(len(ids), 1)
         assert m[5] == len(ids) and m[8] == pytest.approx(float(-(counts * np.log2(counts)).sum()) if ids else 0.0)
-        assert m[7] == pytest.approx(sum(fertility.model.is_byte(i) for i in ids) / len(ids) if ids else 0.0)
+        assert m[7] == pytest.approx(
+            sum("\ufffd" in fertility.encoding.decode([i]) for i in ids) / len(ids) if ids else 0.0)
     assert [quality.script_of(t) for t in ("abc", "12 !", "кириллица 12", "漢字 漢", "한글", "née")] == [
         "latin", "none", "cyrillic", "han", "hangul", "latin"]
 
