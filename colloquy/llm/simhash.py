@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .common import packed, row_key, total, words_of
 
 SHINGLE = 3
@@ -175,28 +175,34 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows (id, k1, k2, fingerprint, component_id), one per row of ``df``.
+    """Rows (id, k1, k2, fingerprint, component_id, root), one per row of ``df``.
 
     (k1, k2) is the row's digest of id and text, ``fingerprint`` 16 lower-case
-    hex digits, ``component_id`` the smallest id reachable over links.  Null
-    and empty texts have fingerprint zero and link like any other; rows with a
-    null id group as others do but lend no id: a group of null ids only has a
-    null component.  Equal rows (also ties in id) give equal results, an empty
-    table none.  Columns of ``df`` besides id and text are not read.
+    hex digits, ``component_id`` the smallest id reachable over links, ``root``
+    the group's smallest fingerprint, which names it also where ids are null or
+    shared by different texts.  Null and empty texts have fingerprint zero and
+    link like any other; rows with a null id group as others do but lend no
+    id: a group of null ids only has a null component.  Equal rows (also ties
+    in id) give equal results, an empty table none.  Columns of ``df`` besides
+    id and text are not read.
     """
     k1, k2 = row_key([id_col, text_col])
     prints = materialize(df.select(F.col(f"`{id_col}`").alias("id"), k1.alias("k1"), k2.alias("k2"),
                                    fingerprint_column(F.col(f"`{text_col}`"), shingle).alias("fp")), "simhash")
     # copies collapse before any pairing: one row per distinct fingerprint
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    roots = materialize(connected_components(fingerprint_links(classes, max_bits)), "simhash-roots")
+    roots = materialize(connected_components(fingerprint_links(spread(classes), max_bits)), "simhash-roots")
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    labels = linked.join(named, "root").select("fp", "component")
-    # classes without links keep their own least id
-    every = classes.join(labels, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    labels = linked.join(named, "root").select("fp", "root", "component")
+    # classes without links are their own root and keep their own least id
+    every = classes.join(labels, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    # written, so that the last join has plain shuffles on both sides and AQE can split a hot fingerprint
+    every = materialize(every, "simhash-labels")
     return prints.join(every, "fp").select("id", "k1", "k2", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                           "component_id")
+                                           "component_id", "root")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -206,10 +212,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with null ids come last in a group; repeated rows leave one.
     """
     groups = materialize(simhash_groups(df, id_col, text_col, shingle, max_bits), "simhash-groups")
-    # null components hold null ids only and are told apart by fingerprint
-    keep = (groups.withColumn("f", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
-            .groupBy("component_id", "f").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("x"))
-            .select("x.k1", "x.k2"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2"))
+    keep = groups.groupBy("root").agg(first.alias("x")).select("x.k1", "x.k2")
     k1, k2 = row_key([F.col("rec")[id_col], F.col("rec")[text_col]])
     keyed = packed(df).withColumns({"k1": k1, "k2": k2})
     kept = keyed.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
