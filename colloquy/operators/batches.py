@@ -23,7 +23,7 @@ def batch_numbers(keys: DataFrame, key_cols: list[str], batch_size: int, seed: i
     """``(key_cols, batch_id, row_in_batch, _rn)`` for a narrow table of unique keys.
 
     The shuffle order is a keyed hash (after ``bucket_by`` when given); global
-    positions come from the distributed numbering, so no task sees all keys.
+    positions come from the size-checked numbering (``dense_row_number``).
     """
     extra = [bucket_by] if bucket_by else []
     narrow = keys.select(*key_cols, *extra).withColumn("_u", keyed_uniform(seed, "shuffle", *key_cols))

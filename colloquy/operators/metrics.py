@@ -9,6 +9,7 @@ while the pairs stay distributed.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .. import constants as C
+from ..functions.porter import porter_stem
 from ..plans.numbering import dense_row_number
 from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
@@ -293,7 +295,9 @@ def bleu_sequence(pairs: DataFrame, keys: list[str], response: str = "response",
     idx = dense_row_number(pairs.select(*keys), [F.col(k) for k in keys], "_i")
     numbered = pairs.select(*keys, response, target).join(idx, keys)
     # read once per order by the shifted joins below: write it once
-    base = materialize(numbered.select("_i", F.col(response).alias("_h0"), F.col(target).alias("_r0")),
+    # (answers travel on as 128-bit digests, so the joins and group keys stay narrow)
+    digest = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+    base = materialize(numbered.select("_i", digest(F.col(response)).alias("_h0"), digest(F.col(target)).alias("_r0")),
                        "sequence-answers")
     grams = base
     for j in range(1, max_n):
@@ -348,85 +352,182 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
-    """Per-pair ROUGE-L F = 2PR / (P + R + 1e-8) on token LCS (empty sides give 0)."""
-    d = pairs.select(*keys, F.size(hyp).alias("_h"), F.size(ref).alias("_r"), lcs_length(F.col(hyp), F.col(ref)).alias("lcs"))
+def _sentences(tokens) -> list[list[str]]:
+    """Stretches of tokens between full stops, empty ones left out."""
+    out: list[list[str]] = [[]]
+    for t in (tokens if tokens is not None else []):
+        if t == ".":
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [s for s in out if s]
+
+
+def _common_words(x: list[str], y: list[str]) -> set[str]:
+    """Words of one longest common subsequence; equal choices leave out ``y``'s last word first."""
+    size = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, w in enumerate(x, 1):
+        step = np.where(np.array([w == v for v in y], bool), size[i - 1, :-1] + 1, size[i - 1, 1:])
+        size[i, 1:] = np.maximum.accumulate(step)
+    words, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            words.add(x[i - 1])
+            i, j = i - 1, j - 1
+        elif size[i - 1, j] > size[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return words
+
+
+def _summary_overlap(hyp, ref) -> tuple[int, int, int]:
+    """Distinct words of the union of the sentences' common subsequences, of the hypothesis, of the reference."""
+    hs, rs = _sentences(hyp), _sentences(ref)
+    union = set().union(*[_common_words(r, h) for r in rs for h in hs])
+    return len(union), len({w for s in hs for w in s}), len({w for s in rs for w in s})
+
+
+@pandas_udf(T.StructType([T.StructField("lcs", T.LongType()), T.StructField("h", T.LongType()),
+                          T.StructField("r", T.LongType())]))
+def summary_overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_summary_overlap(x, y) for x, y in zip(a, b)], columns=["lcs", "h", "r"])
+
+
+def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+            mode: str = "sentence") -> DataFrame:
+    """Per-pair ROUGE-L F = 2PR / (P + R + 1e-8) (empty sides give 0).
+
+    ``sentence``: LCS of the token lists.  ``summary``: tokens are split into
+    sentences at full stops; the words of the LCS of every reference and
+    hypothesis sentence are united and counted against the distinct words of
+    each side.
+    """
+    if mode == "sentence":
+        d = pairs.select(*keys, F.size(hyp).alias("_h"), F.size(ref).alias("_r"),
+                         lcs_length(F.col(hyp), F.col(ref)).alias("lcs"))
+    elif mode == "summary":
+        d = pairs.select(*keys, summary_overlap(F.col(hyp), F.col(ref)).alias("_x")).select(
+            *keys, F.col("_x.h").alias("_h"), F.col("_x.r").alias("_r"), F.col("_x.lcs").alias("lcs"))
+    else:
+        raise ValueError(f"unknown ROUGE-L mode {mode}")
     p = F.try_divide(F.col("lcs").cast("double"), F.col("_h").cast("double"))
     r = F.try_divide(F.col("lcs").cast("double"), F.col("_r").cast("double"))
     f = F.coalesce(2 * p * r / (p + r + F.lit(C.F_EPS)), F.lit(0.0))
     return d.select(*keys, "lcs", f.alias("rouge_l"))
 
 
-# ---------------------------------------------------------------- METEOR (exact stage)
+# ---------------------------------------------------------------- METEOR
+
+def _align(h: list, r: list, free_h: list[int], free_r: list[int], forms) -> list[tuple[int, int]]:
+    """Greedy alignment from the end: each free hypothesis word (last first) takes the last free
+    reference word that shares a form with it; ``forms(word)`` lists a word's forms."""
+    places: dict = {}
+    for j in free_r:
+        for form in forms(r[j]):
+            places.setdefault(form, []).append(j)
+    used, out = set(), []
+    for i in reversed(free_h):
+        best = -1
+        for form in forms(h[i]):
+            stack = places.get(form, [])
+            while stack and stack[-1] in used:
+                stack.pop()
+            if stack:
+                best = max(best, stack[-1])
+        if best >= 0:
+            used.add(best)
+            out.append((i, best))
+    return out
+
 
-def _meteor_exact(hyp, ref, alpha=C.METEOR_ALPHA, beta=C.METEOR_BETA, gamma=C.METEOR_GAMMA) -> float:
+def _meteor(hyp, ref, stem: bool = False, senses=None, alpha=C.METEOR_ALPHA, beta=C.METEOR_BETA,
+            gamma=C.METEOR_GAMMA) -> float:
     h = [w.lower() for w in (hyp if hyp is not None else [])]
     r = [w.lower() for w in (ref if ref is not None else [])]
-    # greedy exact alignment scanning both sides from the end: each hypothesis
-    # word (last first) takes the last still-unused equal reference word
-    free: dict = {}
-    for j, w in enumerate(r):
-        free.setdefault(w, []).append(j)
-    matches = []
-    for i in range(len(h) - 1, -1, -1):
-        stack = free.get(h[i])
-        if stack:
-            matches.append((i, stack.pop()))
+    stages = [lambda w: (w,)]
+    if stem:
+        stages.append(lambda w: (porter_stem(w),))
+    if senses is not None:
+        table: dict = {}
+        for word, sense in senses:
+            table.setdefault(word.lower(), []).append(sense)
+        stages.append(lambda w: table.get(w, ()))
+    matches: list[tuple[int, int]] = []
+    for forms in stages:
+        done_h, done_r = {i for i, _ in matches}, {j for _, j in matches}
+        matches += _align(h, r, [i for i in range(len(h)) if i not in done_h],
+                          [j for j in range(len(r)) if j not in done_r], forms)
     m = len(matches)
     if m == 0:
         return 0.0
     matches.sort()
-    chunks = 1
-    for k in range(m - 1):
-        if not (matches[k + 1][0] == matches[k][0] + 1 and matches[k + 1][1] == matches[k][1] + 1):
-            chunks += 1
-    p = m / len(h)
-    rc = m / len(r)
+    chunks = 1 + sum((i + 1, j + 1) != (k, l) for (i, j), (k, l) in zip(matches, matches[1:]))
+    p, rc = m / len(h), m / len(r)
     fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    penalty = gamma * (chunks / m) ** beta
-    return fmean * (1 - penalty)
+    return fmean * (1 - gamma * (chunks / m) ** beta)
 
 
-@pandas_udf(T.DoubleType())
-def meteor_exact_score(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([_meteor_exact(x, y) for x, y in zip(h, r)], dtype="float64")
+def _meteor_udf(stem: bool):
+    @pandas_udf(T.DoubleType())
+    def score(h: pd.Series, r: pd.Series, senses: pd.Series) -> pd.Series:
+        return pd.Series([_meteor(x, y, stem, None if s is None else [(v["word"], v["sense"]) for v in s])
+                          for x, y, s in zip(h, r, senses)], dtype="float64")
+    return score
 
 
-def meteor(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
-    """Per-pair METEOR, exact-match stage only (stem/synonym stages need data we do not ship)."""
-    return pairs.select(*keys, meteor_exact_score(F.col(hyp), F.col(ref)).alias("meteor"))
+def meteor(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+           stem: bool = False, synonyms: DataFrame | None = None) -> DataFrame:
+    """Per-pair METEOR: exact matches, then (``stem``) equal Porter stems, then shared senses.
+
+    ``synonyms`` has rows (word, sense), words in lower case; each pair gets
+    the senses of its own words by a join, so the table may be of any size.
+    """
+    d = pairs.select(*keys, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
+    none = F.lit(None).cast("array<struct<word:string,sense:string>>")
+    if synonyms is None:
+        return d.select(*keys, _meteor_udf(stem)("_h", "_r", none).alias("meteor"))
+    words = d.select(*keys, F.explode(F.array_distinct(F.transform(
+        F.concat(F.coalesce("_h", F.array().cast("array<string>")), F.coalesce("_r", F.array().cast("array<string>"))),
+        F.lower))).alias("word"))
+    own = (words.join(synonyms.select("word", F.col("sense").cast("string").alias("sense")), "word")
+           .groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("word", "sense"))).alias("_s")))
+    return d.join(own, keys, "left").select(
+        *keys, _meteor_udf(stem)("_h", "_r", F.coalesce("_s", F.array().cast("array<struct<word:string,sense:string>>")))
+        .alias("meteor"))
 
 
 # ---------------------------------------------------------------- one pass per pair
 
 _PAIR_KERNEL_TYPE = T.StructType([
-    T.StructField("lcs", T.LongType()), T.StructField("m", T.ArrayType(T.LongType())),
-    T.StructField("t", T.ArrayType(T.LongType())), T.StructField("meteor", T.DoubleType())])
+    T.StructField("lcs", T.LongType()), T.StructField("nh", T.LongType()), T.StructField("nr", T.LongType()),
+    T.StructField("m", T.ArrayType(T.LongType())), T.StructField("t", T.ArrayType(T.LongType())), T.StructField("meteor", T.DoubleType())])
 
 
-@pandas_udf(_PAIR_KERNEL_TYPE)
-def _pair_kernel(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-    lcs, ms, ts, mets = [], [], [], []
-    for x, y in zip(h, r):
-        lcs.append(_lcs(x, y))
-        m, t = _clipped(x, y, 4)
-        ms.append(m)
-        ts.append(t)
-        mets.append(_meteor_exact(x, y) if y is not None and len(y) > 0 else 0.0)
-    return pd.DataFrame({"lcs": lcs, "m": ms, "t": ts, "meteor": mets})
+def _pair_kernel(rouge_mode: str, stem: bool):
+    @pandas_udf(_PAIR_KERNEL_TYPE)
+    def kernel(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(h, r):
+            nh, nr = (0 if v is None else len(v) for v in (x, y))
+            lcs = (_lcs(x, y), nh, nr) if rouge_mode == "sentence" else _summary_overlap(x, y)
+            rows.append((*lcs, *_clipped(x, y, 4), _meteor(x, y, stem) if nr else 0.0))
+        return pd.DataFrame(rows, columns=_PAIR_KERNEL_TYPE.names)
+    return kernel
 
 
-def pair_scores(toks: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens") -> DataFrame:
+def pair_scores(toks: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens",
+                rouge_mode: str = "sentence", stem: bool = False) -> DataFrame:
     """ROUGE-L, BLEU-2/4 and METEOR per pair from one Arrow pass over the pairs.
 
     Same numbers as ``rouge_l``, ``bleu_scores`` and ``meteor``; ``rouge_l`` is
     null when either side is empty (such pairs are ignored by its mean).
     """
     k = toks.select(*keys, F.size(hyp).alias("_c"), F.size(ref).alias("_r"),
-                    _pair_kernel(F.col(hyp), F.col(ref)).alias("_k"))
-    p = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_c").cast("double"))
-    r = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_r").cast("double"))
-    rouge = F.when((F.col("_c") > 0) & (F.col("_r") > 0), 2 * p * r / (p + r + F.lit(C.F_EPS)))
+                    _pair_kernel(rouge_mode, stem)(F.col(hyp), F.col(ref)).alias("_k"))
+    p = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_k.nh").cast("double"))
+    r = F.try_divide(F.col("_k.lcs").cast("double"), F.col("_k.nr").cast("double"))
+    rouge = F.when((F.col("_c") > 0) & (F.col("_r") > 0), F.coalesce(2 * p * r / (p + r + F.lit(C.F_EPS)), F.lit(0.0)))
     bp = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
     cols = []
     for n in (2, 4):
@@ -448,13 +549,15 @@ def metric_tokens(pairs: DataFrame, keys: list[str], response: str = "response",
 
 
 def generation_report(pairs: DataFrame, keys: list[str], response: str = "response",
-                      target: str = "target", by: list[str] | None = None, bleu_mode: str = "pair") -> DataFrame:
+                      target: str = "target", by: list[str] | None = None, bleu_mode: str = "pair",
+                      rouge_mode: str = "sentence", stem: bool = False) -> DataFrame:
     """rouge_l (non-empty pairs), bleu_2, bleu_4, meteor, dist_2 (3-gram compat), rounded to 4.
 
     One row, or one row per ``by`` group (``by`` columns come from ``pairs``).
     The processed token table is written once and read by every metric.
     ``bleu_mode='sequence'`` scores BLEU as the original calls it (whole
-    processed answers as tokens, ungrouped).
+    processed answers as tokens, ungrouped); ``rouge_mode`` and ``stem`` are
+    those of ``rouge_l`` and ``meteor``.
     """
     by = by or []
     toks = metric_tokens(pairs.select(*keys, *[c for c in by if c not in keys], response, target),
@@ -463,7 +566,7 @@ def generation_report(pairs: DataFrame, keys: list[str], response: str = "respon
     ids = keys + [c for c in by if c not in keys]
     # one Arrow pass per pair for rouge_l / bleu / meteor, one aggregation over
     # it, melted in a single projection (so the pass is not repeated per metric)
-    ps = pair_scores(toks, ids).groupBy(*by).agg(
+    ps = pair_scores(toks, ids, rouge_mode=rouge_mode, stem=stem).groupBy(*by).agg(
         F.avg("rouge_l").alias("rouge_l"), F.avg("bleu_2").alias("bleu_2"),
         F.avg("bleu_4").alias("bleu_4"), F.avg("meteor").alias("meteor"))
     from_pairs = ["rouge_l", "meteor"] if bleu_mode == "sequence" else ["rouge_l", "bleu_2", "bleu_4", "meteor"]

@@ -6,7 +6,8 @@ a neighbouring turn groups it with its successor under the unique key
 ``(conv_id, turn)`` (one scan, one shuffle, no group larger than two rows),
 and concatenation into one string per conversation is done in two levels
 (fixed-size turn blocks first) so one very long conversation is spread over
-many tasks before its final string is assembled.
+many tasks before its final string is assembled.  A null text renders as an
+empty one, with its marker and end; ``null_texts`` counts such turns.
 """
 
 from __future__ import annotations
@@ -36,12 +37,21 @@ def role_marker(role: Column, role_map: dict | None = None, compat: bool = False
     return expr.otherwise(F.lit(C.DOCTOR))
 
 
+def _text(name: str = "text") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def null_texts(turns: DataFrame) -> DataFrame:
+    """Conversations with turns that have no text: ``(conv_id, n)``."""
+    return turns.filter(F.col("text").isNull()).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def render_turns(turns: DataFrame, eos: str = C.EOS, role_map: dict | None = None,
                  add_reply: bool = False, compat: bool = False) -> DataFrame:
     """One piece per turn: marker + text + eos; optional trailing doctor marker."""
     pieces = turns.select(
         "conv_id", "turn",
-        F.concat(role_marker(F.col("role"), role_map, compat), F.col("text"), F.lit(eos)).alias("piece"),
+        F.concat(role_marker(F.col("role"), role_map, compat), _text(), F.lit(eos)).alias("piece"),
         F.lit(False).alias("is_reply"))
     if not add_reply:
         return pieces
@@ -107,7 +117,7 @@ def dialogue_prompt(turns: DataFrame, instruction: str = C.DIALOGUE_INSTRUCTION,
     """
     pieces = turns.select(
         "conv_id", "turn", F.floor(F.col("turn") / block).cast("bigint").alias("_blk"),
-        F.concat(role_marker(F.col("role"), role_map, compat), F.col("text"), F.lit(eos)).alias("piece"),
+        F.concat(role_marker(F.col("role"), role_map, compat), _text(), F.lit(eos)).alias("piece"),
         "text", "role")
     last = F.struct(F.length("piece").alias("plen"), F.col("text").alias("text"), F.col("role").alias("role"))
     lvl1 = pieces.groupBy("conv_id", "_blk").agg(
@@ -217,28 +227,16 @@ def render_sft(typed: DataFrame, eos: str = C.EOS, use_system_tag: bool = False,
     """
     prop_cols = [c for c in ("lang", "quality", "humor", "creativity", "context") if c in typed.columns]
     has_sm = "system_message" in typed.columns
-    # One scan, one shuffle: every turn is emitted under its own key and under
-    # the key of the turn before it; grouping by (conv_id, key) puts each turn
-    # next to its successor (a self-join on (conv_id, turn + 1) without reading
-    # the input twice).  Keys are unique, so no group grows.
-    fields = [F.col("role").alias("role"), F.col("text").alias("text"), *[F.col(c).alias(c) for c in prop_cols]]
-    if has_sm:
-        fields.append(F.col("system_message").alias("system_message"))
-    both = F.array(F.struct(F.col("turn").alias("k"), F.lit(True).alias("is_self"), *fields),
-                   F.struct((F.col("turn") - 1).alias("k"), F.lit(False).alias("is_self"), *fields))
-    rows = typed.select("conv_id", F.explode(both).alias("_x"))
-    g = rows.groupBy("conv_id", F.col("_x.k").alias("turn")).agg(
-        F.first(F.when(F.col("_x.is_self"), F.col("_x")), ignorenulls=True).alias("_self"),
-        F.first(F.when(~F.col("_x.is_self"), F.col("_x")), ignorenulls=True).alias("_next"))
-    g = g.filter(F.col("_self").isNotNull())
-    flat = g.select("conv_id", "turn", F.col("_self.role").alias("role"), F.col("_self.text").alias("_text"),
-                    *([F.col("_self.system_message").alias("system_message")] if has_sm else []),
-                    F.col("_next.role").alias("_next_role"), F.col("_next.text").alias("text"),
-                    *[F.col(f"_next.{c}").alias(c) for c in prop_cols])
+    # the tag belongs to a turn's predecessor: it is built where the properties
+    # are and only (key, role, tag) moves to the turn before it
+    following = typed.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("_next_role"), "text",
+                             *prop_cols)
     if use_system_tag:
-        flat = system_tag(flat, ["conv_id", "turn"], "text", eos, True, dropout, add_length, seed)
+        following = system_tag(following, ["conv_id", "turn"], "text", eos, True, dropout, add_length, seed)
     else:
-        flat = flat.withColumn("system_tag", F.lit(""))
+        following = following.withColumn("system_tag", F.lit(""))
+    flat = typed.select("conv_id", "turn", "role", _text().alias("_text"), *(["system_message"] if has_sm else [])).join(
+        following.select("conv_id", "turn", "_next_role", "system_tag"), ["conv_id", "turn"], "left")
     is_p = F.col("role") == "prompter"
     has_next = F.col("_next_role").isNotNull()
     tag = F.when(is_p & has_next, F.col("system_tag")).otherwise(F.lit(""))

@@ -24,9 +24,9 @@ from .. import constants as C
 from ..functions.arrays import shift_targets
 from ..functions.text import tokenize
 from ..plans.numbering import running_sum
-from .batches import batch_numbers, pad_batch
-from .render import render_turns
-from .tokens import crop_offset, encode_long, label_mask, regroup
+from .batches import assign_batches, batch_numbers, pad_batch
+from .render import dialogue_prompt, render_turns
+from .tokens import assemble_prompt_target, crop_offset, encode_array, encode_long, label_mask, regroup
 
 MARKERS = (C.PATIENT, C.DOCTOR)
 
@@ -106,3 +106,54 @@ def dialogue_batches(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
     b = encode_dialogues(pieces, vocab, max_length, p, seed, batches=numbers)
     b = pad_batch(b, "batch_id", {"input_ids": pad_id, "attention_mask": 0, "label_mask": False}, pad_multiple)
     return b.withColumn("targets", shift_targets(F.col("input_ids")))
+
+
+def piece_positions(pieces: DataFrame) -> DataFrame:
+    """Long form ``(conv_id, pos, token, msg_index)`` of whole conversations.
+
+    Positions and message indexes are a turn's prefix sums plus what the turn
+    itself counts, so no row or task holds a whole conversation.
+    """
+    narrow = pieces.select("conv_id", "turn", "blk", "n_tok", "n_mark")
+    sums = running_sum(narrow, ["conv_id"], "turn", {"n_tok": "start", "n_mark": "mark_before"}, inclusive=False,
+                       block=TURN_BLOCK, block_col="blk")
+    t = sums.select("conv_id", "turn", "start", "mark_before").join(pieces.select("conv_id", "turn", "toks"),
+                                                                    ["conv_id", "turn"])
+    marks = F.filter(F.transform("toks", lambda x, i: F.when(x.isin(*MARKERS), i)), lambda i: i.isNotNull())
+    long = t.withColumn("mpos", marks).select("conv_id", "start", "mark_before", "mpos",
+                                              F.posexplode("toks").alias("at", "token"))
+    # a name other than `pos`: inside a lambda it would mean the new column
+    seen = F.size(F.filter("mpos", lambda q: q <= F.col("at")))
+    return long.select("conv_id", (F.col("start") + F.col("at")).alias("pos"), "token",
+                       (F.col("mark_before") + seen - 1).cast("int").alias("msg_index"))
+
+
+def prompt_target_tokens(turns: DataFrame, prefix_text: str = C.SYSTEM_PREFIX_TEXT, eos: str = C.EOS) -> DataFrame:
+    """``(conv_id, src, tgt)``: tokens of the system prefix, the context and the reply marker, and of the last turn."""
+    d = dialogue_prompt(turns, instruction=f"{C.SYSTEM}{prefix_text}{eos}", eos=eos)
+    return d.select("conv_id", tokenize(F.col("prompt")).alias("src"),
+                    tokenize(F.coalesce("target", F.lit(""))).alias("tgt"))
+
+
+def prompt_target_ids(turns: DataFrame, vocab: DataFrame, prefix_text: str = C.SYSTEM_PREFIX_TEXT) -> DataFrame:
+    """``prompt_target_tokens`` encoded with a vocabulary."""
+    s = prompt_target_tokens(turns, prefix_text)
+    for side in ("src", "tgt"):
+        s = encode_array(s, side, vocab).withColumn(side, F.transform(side, lambda x: x.cast("int")))
+    return s
+
+
+def prompt_target_batches(turns: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
+                          max_src_length: int = C.MAX_LENGTH - C.TARGET_RESERVE, batch_size: int = 8, pad_id: int = 0,
+                          pad_multiple: int = 1, seed: int = C.SEED, specials=C.SPECIAL_TOKENS) -> DataFrame:
+    """The prompt/target chain: encode, assemble, batch and pad.
+
+    ``(conv_id, batch_id, row_in_batch, input_ids, labels, label_mask)``; labels
+    are -100 over the context and the padding, the mask is true elsewhere.
+    """
+    ids = {t: i for i, t in enumerate(specials)}
+    a = assemble_prompt_target(prompt_target_ids(turns, vocab), "src", "tgt", max_length, max_src_length,
+                               ids[C.GMASK], ids[C.SOP], ids[C.EOP]).select("conv_id", "input_ids", "labels")
+    b = assign_batches(a, ["conv_id"], batch_size, seed, keys=turns.select("conv_id").distinct())
+    p = pad_batch(b, "batch_id", {"input_ids": pad_id, "labels": C.IGNORE_INDEX}, pad_multiple)
+    return p.withColumn("label_mask", F.transform("labels", lambda x: x != C.IGNORE_INDEX))

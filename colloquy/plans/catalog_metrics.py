@@ -96,6 +96,20 @@ def q_rouge_l(spark, sf):
     return r.select("conv_id", "turn", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+@register("rouge_l_summary")
+def q_rouge_l_summary(spark, sf):
+    """Per-pair summary-level ROUGE-L: united subsequence words over sentences (ties have no SQL form)."""
+    r = M.rouge_l(_tokens(spark, sf), ["conv_id", "turn"], mode="summary")
+    return r.select("conv_id", "turn", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+@register("meteor_stem")
+def q_meteor_stem(spark, sf):
+    """Per-pair METEOR with the stem stage (Porter's rules have no SQL form)."""
+    m = M.meteor(_tokens(spark, sf), ["conv_id", "turn"], stem=True)
+    return m.select("conv_id", "turn", F.round("meteor", 6).alias("meteor"))
+
+
 @register("meteor", PAIR_SQL + " SELECT k.conv_id AS conv_id, k.turn AS turn, round(meteor, 6) AS meteor FROM met")
 def q_meteor(spark, sf):
     """Per-pair METEOR (exact stage)."""

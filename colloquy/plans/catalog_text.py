@@ -113,6 +113,16 @@ def q_resume_predictions(spark, sf):
     return io.resume_predictions(dp, done, ["conv_id"])
 
 
+@register("union_predictions", "WITH " + DP_SQL + " SELECT conv_id, right(prompt, 16) AS response FROM dp")
+def q_union_predictions(spark, sf):
+    """A resumed run: the unfinished half is generated and joined to the finished one."""
+    from ..functions.keyed import keyed_uniform
+    dp = _dp(spark, sf).select("conv_id", "prompt")
+    run = lambda todo: G.batch_generate(todo, "prompt", G.tail_echo_factory(16))
+    done = run(dp.filter(keyed_uniform(C.SEED, "done", "conv_id") < 0.5)).select("conv_id", "response")
+    return io.resumed(dp, done, ["conv_id"], run).select("conv_id", "response")
+
+
 @register("shard_rows", "SELECT conv_id, turn, CAST(floor((rn - 1) / 8) AS BIGINT) AS batch_index, "
           "CAST(floor((rn - 1) / 8) AS BIGINT) % 4 AS shard FROM "
           "(SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations)")
@@ -246,7 +256,7 @@ def _tag_sql(keys: list[str], text: str, string_props: dict, float_props: dict,
         skip = f"length({col}) > 0 AND length(regexp_replace({col}, '{C.STRIP_CLASS}', '', 'g')) = 0"
         items.append(item(name, col, f"{col} IS NOT NULL", sqlx.keyed(seed, "order:" + name, *keys), skip))
     for name, col in float_props.items():
-        items.append(item(name, f"printf('%.1f', CAST({col} AS DOUBLE))", f"{col} IS NOT NULL",
+        items.append(item(name, f"CAST(CAST(round(CAST(CAST(CAST({col} AS DOUBLE) AS VARCHAR) AS DECIMAL(18,6)), 1) AS DECIMAL(18,1)) AS VARCHAR)", f"{col} IS NOT NULL",
                           sqlx.keyed(seed, "order:" + name, *keys), "false"))
     items.append(item("length", f"CAST({sqlx.length_bucket(text)} AS VARCHAR)", "true",
                       sqlx.keyed(seed, "order:length", *keys), "false"))

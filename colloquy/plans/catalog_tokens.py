@@ -129,9 +129,7 @@ def q_shift_targets(spark, sf):
 @register("message_index", "WITH " + DTL_SQL + " SELECT conv_id, CAST(pos AS BIGINT) AS pos, token, msg AS msg_index "
           "FROM dtm")
 def q_message_index(spark, sf):
-    d = _dialogue_tokens(spark, sf)
-    long = TK.explode_positions(d, "tokens", ["conv_id"])
-    m = TK.message_index_long(long, ["conv_id"], "pos", F.col("token").isin(*MARKERS))
+    m = S.piece_positions(materialize(S.piece_tokens(FX.conversations(spark, sf))))
     return m.select("conv_id", F.col("pos").cast("bigint").alias("pos"), "token",
                     F.col("msg_index").cast("int").alias("msg_index"))
 
@@ -197,27 +195,13 @@ def q_prepend_prefix(spark, sf):
 PT_MAX, PT_SRC = 128, 96
 IDS = {t: i for i, t in enumerate(C.SPECIAL_TOKENS)}
 
-def _prompt_target_sources(spark, sf):
-    """Context rendered with the reply marker and system prefix; target turn text."""
-    conv = FX.conversations(spark, sf)
-    ctx, tgt = R.holdout_last_turn(conv)
-    ctx_text = R.concat_pieces(R.render_turns(ctx, add_reply=False), ["conv_id"], "turn", "piece", "ctx")
-    base = tgt.select("conv_id", F.col("text").alias("target")).join(ctx_text, "conv_id", "left")
-    src = F.concat(system_prefix(F.lit(C.SYSTEM_PREFIX_TEXT)), F.coalesce("ctx", F.lit("")), F.lit(C.DOCTOR))
-    return base.select("conv_id", tokenize(src).alias("src"), tokenize(F.col("target")).alias("tgt"))
-
-
 def _encode_array(df, col, vocab, keys):
     enc = TK.encode_array(df, col, vocab)
     return enc.withColumn(col, F.transform(col, lambda x: x.cast("int")))
 
 
 def _prompt_target_ids(spark, sf):
-    vocab = _vocab(spark, sf)
-    s = _prompt_target_sources(spark, sf)
-    s = _encode_array(s, "src", vocab, ["conv_id"])
-    s = _encode_array(s, "tgt", vocab, ["conv_id"])
-    return s
+    return S.prompt_target_ids(FX.conversations(spark, sf), _vocab(spark, sf))
 
 
 _PT_SRC_TEXT = (f"'{C.SYSTEM}' || {sqlx.lit(C.SYSTEM_PREFIX_TEXT)} || '{C.EOS}' || coalesce(ctx.ctx, '') "
@@ -292,10 +276,7 @@ BATCH_SQL = (f"SELECT conv_id, CAST(floor((rn - 1) / {{bs}}) AS BIGINT) AS batch
           "AS labels, array_to_string(list_transform(list_resize(labels, L, -100), lambda x: CASE WHEN x <> -100 THEN "
           "'1' ELSE '0' END), '') AS label_mask FROM pp")
 def q_pad_prompt_target(spark, sf):
-    a = _assembled(spark, sf).select("conv_id", "input_ids", "labels")
-    b = B.assign_batches(a, ["conv_id"], 4, keys=_conv_keys(spark, sf))
-    p = B.pad_batch(b, "batch_id", {"input_ids": 0, "labels": C.IGNORE_INDEX}, 1)
-    p = p.withColumn("label_mask", F.transform("labels", lambda x: x != C.IGNORE_INDEX))
+    p = S.prompt_target_batches(FX.conversations(spark, sf), _vocab(spark, sf), PT_MAX, PT_SRC, batch_size=4)
     return p.select("conv_id", "batch_id", AR.join_ints("input_ids").alias("input_ids"),
                     AR.join_ints("labels").alias("labels"), AR.join_bools("label_mask").alias("label_mask"))
 
@@ -323,7 +304,7 @@ def q_apply_ignore_index(spark, sf):
           "AND e.pos = d.pos")
 def q_encoding_report(spark, sf):
     vocab = _vocab(spark, sf)
-    long = TK.explode_positions(_dialogue_tokens(spark, sf), "tokens", ["conv_id"])
+    long = S.piece_positions(materialize(S.piece_tokens(FX.conversations(spark, sf)))).drop("msg_index")
     ids = TK.encode_long(long, vocab).select("conv_id", "pos", "token_id")
     rep = TK.encoding_report(ids, vocab, ["conv_id"], "pos", [IDS[m] for m in MARKERS])
     return rep.select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("token_id").cast("bigint"),

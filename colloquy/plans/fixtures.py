@@ -151,7 +151,7 @@ def typed_turns(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("turn") - F.when(F.col("system_message").isNotNull(), 1).otherwise(0)).alias("turn"),
         F.when(F.col("role") == "user", "prompter").otherwise("assistant").alias("role"),
         "text", lang.alias("lang"),
-        (F.pmod(F.length("text"), F.lit(10)).cast("double") / 10.0).alias("quality"),
+        (F.pmod(F.length("text"), F.lit(20)).cast("double") / 20.0).alias("quality"),
         "system_message")
 
 
@@ -159,7 +159,7 @@ TYPED_SQL = ("sm AS (SELECT conv_id, text AS system_message FROM conversations W
              "typed AS (SELECT c.conv_id, c.turn - CASE WHEN sm.system_message IS NOT NULL THEN 1 ELSE 0 END AS turn, "
              "CASE WHEN c.role = 'user' THEN 'prompter' ELSE 'assistant' END AS role, c.text, "
              "CASE c.turn % 3 WHEN 0 THEN 'en' WHEN 1 THEN '  ' ELSE '' END AS lang, "
-             "CAST(length(c.text) % 10 AS DOUBLE) / 10.0 AS quality, sm.system_message "
+             "CAST(length(c.text) % 20 AS DOUBLE) / 20.0 AS quality, sm.system_message "
              "FROM conversations c LEFT JOIN sm USING (conv_id) WHERE c.role <> 'system')")
 
 

@@ -114,6 +114,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if the file system of ``path`` has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written_tables() -> list[str]:
     """Paths of the intermediate tables written so far and not yet released."""
     return list(_WRITTEN)

@@ -60,7 +60,10 @@ def read_split(spark: SparkSession, root: str, split: str = "train", prefix: str
 
 
 def read_exam_csv(spark: SparkSession, path: str, kind: str = "choice") -> DataFrame:
-    """Exam CSV with header and quoted newlines, declared all-string schema."""
+    """Exam CSV with header and quoted newlines, declared all-string schema.
+
+    Quoted newlines keep Spark from splitting a file: each file is one task.
+    """
     schema = CHOICE_EXAM if kind == "choice" else CASE_QA
     return csv_reader(spark).schema(schema).csv(path)
 
@@ -105,3 +108,17 @@ def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
 def resume_predictions(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``inputs`` that have no finished prediction yet (row-level resume)."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def resumed(inputs: DataFrame, done: DataFrame | None, keys: list[str], run) -> DataFrame:
+    """Finished predictions together with those of the rows that are still open.
+
+    ``run`` gets the open rows of ``inputs`` and returns rows with the columns
+    of ``done``.  Several finished rows of one key count as one (the least).
+    """
+    if done is None:
+        return run(inputs)
+    new = run(resume_predictions(inputs, done, keys))
+    rest = [c for c in done.columns if c not in keys]
+    once = done.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else done.distinct()
+    return once.unionByName(new.select(*done.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from ..plans.numbering import running_sum
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 PRED_SCHEMA = T.StructType([T.StructField("batch", T.LongType()), T.StructField("pred", T.IntegerType()),
                             T.StructField("label", T.IntegerType())])
@@ -42,22 +42,29 @@ def running_accuracy_by_batch(df: DataFrame, batch: str = "batch", pred: str = "
 
 
 def run_running_accuracy(spark: SparkSession, source_dir: str, schema: T.StructType = PRED_SCHEMA,
-                         files_per_trigger: int = 1) -> DataFrame:
+                         files_per_trigger: int | None = None, state_path: str | None = None) -> DataFrame:
     """Drive the stream over all files present now and return the final state.
 
-    State lives in the checkpoint location under the shared checkpoint folder;
-    each micro-batch overwrites a one-row result table (complete mode).
+    Every micro-batch overwrites a one-row result table (complete mode).  State
+    and result live under ``state_path`` (default: a fresh folder under the
+    shared checkpoint folder); a later call with the same path reads only new
+    files and carries the counts on.  ``files_per_trigger`` bounds a
+    micro-batch (default: everything that is there).  Before any file came the
+    state is that of no rows.
     """
-    out = scratch_path(spark, "running-accuracy")
-    ckpt = scratch_path(spark, "running-accuracy-ckpt")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
-    agg = running_accuracy(stream)
+    base = (state_path or scratch_path(spark, "running-accuracy")).rstrip("/")
+    out = f"{base}/result"
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    agg = running_accuracy(reader.parquet(source_dir))
 
     def sink(batch_df: DataFrame, epoch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(out)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    if not path_exists(spark, out):
+        return running_accuracy(spark.createDataFrame([], schema))
     return spark.read.parquet(out)

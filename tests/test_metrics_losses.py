@@ -201,13 +201,13 @@ def _meteor_loop(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5):
 
 def test_meteor_kernel_random_against_loop():
     import random
-    from colloquy.operators.metrics import _meteor_exact
+    from colloquy.operators.metrics import _meteor
 
     rnd = random.Random(11)
     for _ in range(500):
         a = [rnd.choice("abcdeA") for _ in range(rnd.randint(0, 25))]
         b = [rnd.choice("abcdea") for _ in range(rnd.randint(1, 25))]
-        assert _meteor_exact(a, b) == pytest.approx(_meteor_loop(a, b), abs=1e-12)
+        assert _meteor(a, b) == pytest.approx(_meteor_loop(a, b), abs=1e-12)
 
 
 def test_choice_accuracy_rollup_and_grouped_report(spark):
@@ -274,3 +274,69 @@ def test_compute_metrics_merges_and_rejects_duplicates(spark):
     assert out == {"accuracy": 0.5}
     with pytest.raises(ValueError):
         M.compute_metrics(df, [(None, M.token_accuracy), (None, M.token_accuracy)])
+
+
+def test_porter_stems():
+    from colloquy.functions.porter import porter_stem
+    # examples of the published description of the algorithm
+    want = {"caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre",
+            "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+            "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss",
+            "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat",
+            "conditional": "condit", "rational": "ration", "digitizer": "digit", "operator": "oper",
+            "feudalism": "feudal", "hopefulness": "hope", "formaliti": "formal", "triplicate": "triplic",
+            "formative": "form", "electrical": "electr", "goodness": "good", "revival": "reviv",
+            "allowance": "allow", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt",
+            "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control",
+            "roll": "roll", "generalizations": "gener", "Über": "Über", "is": "is"}
+    assert {w: porter_stem(w) for w in want} == want
+
+
+def _all_lcs_words(x, y):
+    """Word sets of all longest common subsequences (tiny inputs)."""
+    import itertools
+    for n in range(min(len(x), len(y)), 0, -1):
+        found = {c for c in itertools.combinations(x, n)} & {c for c in itertools.combinations(y, n)}
+        if found:
+            return {frozenset(c) for c in found}
+    return {frozenset()}
+
+
+def test_rouge_summary_words_are_of_a_longest_subsequence(spark):
+    import random
+    from colloquy.operators.metrics import _common_words, _summary_overlap
+    rng = random.Random(3)
+    for _ in range(200):
+        x = [rng.choice("abcd") for _ in range(rng.randint(1, 7))]
+        y = [rng.choice("abcd") for _ in range(rng.randint(1, 7))]
+        assert frozenset(_common_words(x, y)) in _all_lcs_words(x, y)
+    assert _summary_overlap("a b c . d e .".split(), "a c . e f".split()) == (3, 5, 4)
+    rows = [(1, "a b c . d e .".split(), "a c . e f".split()), (2, [], ["a"]), (3, ["."], ["."]), (4, None, ["a"])]
+    df = spark.createDataFrame(rows, "k int, h array<string>, r array<string>")
+    got = {r.k: (r.lcs, r.rouge_l) for r in M.rouge_l(df, ["k"], "h", "r", mode="summary").collect()}
+    p, q = 3 / 5, 3 / 4
+    assert got[1] == (3, pytest.approx(2 * p * q / (p + q + 1e-8))) and {got[k] for k in (2, 3, 4)} == {(0, 0.0)}
+
+
+def test_meteor_stages(spark):
+    rows = [(1, "the cats sat quickly".split(), "the cat sits fast".split()), (2, ["a"], ["a"]), (3, None, ["a"])]
+    df = spark.createDataFrame(rows, "k int, h array<string>, r array<string>")
+    synonyms = spark.createDataFrame([("quickly", "s1"), ("fast", "s1"), ("fast", "s2"), ("sat", "s3"), ("sits", "s3")],
+                                     "word string, sense string")
+
+    def score(m, chunks, nh=4, nr=4):
+        p, r = m / nh, m / nr
+        return p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (chunks / m) ** 3)
+    exact, stem, full = ({r.k: r.meteor for r in M.meteor(df, ["k"], "h", "r", **o).collect()}
+                         for o in ({}, {"stem": True}, {"stem": True, "synonyms": synonyms}))
+    assert exact[1] == pytest.approx(score(1, 1)) and stem[1] == pytest.approx(score(2, 1))
+    assert full[1] == pytest.approx(score(4, 1)) and exact[2] == stem[2] == full[2] == pytest.approx(0.5)
+    assert exact[3] == stem[3] == full[3] == 0.0
+
+
+def test_report_modes(spark):
+    rows = [(1, "Cats sat. A dog ran.", "A cat sat. Dogs run."), (2, "same words here", "same words here")]
+    df = spark.createDataFrame(rows, "k int, response string, target string")
+    plain = M.generation_report(df, ["k"]).collect()[0]
+    other = M.generation_report(df, ["k"], rouge_mode="summary", stem=True).collect()[0]
+    assert other.meteor > plain.meteor and (other.bleu_2, other.dist_2) == (plain.bleu_2, plain.dist_2)
