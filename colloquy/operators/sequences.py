@@ -24,9 +24,10 @@ from .. import constants as C
 from ..functions.arrays import shift_targets
 from ..functions.text import tokenize
 from ..plans.numbering import running_sum
-from .batches import assign_batches, batch_numbers, pad_batch
+from .batches import assign_batches, batch_numbers, pack_short, pad_batch
 from .render import dialogue_prompt, render_turns
-from .tokens import assemble_prompt_target, crop_offset, encode_array, encode_long, label_mask, regroup
+from .tokens import (assemble_prompt_target, crop_offset, encode_array, encode_long, label_mask, prepend_prefix,
+                     regroup)
 
 MARKERS = (C.PATIENT, C.DOCTOR)
 
@@ -39,7 +40,11 @@ def piece_tokens(turns: DataFrame, eos: str = C.EOS) -> DataFrame:
 
     ``blk`` = ``floor(turn / TURN_BLOCK)`` is the block of the prefix sums.
     """
-    pieces = render_turns(turns, eos)
+    return tokenize_pieces(render_turns(turns, eos))
+
+
+def tokenize_pieces(pieces: DataFrame) -> DataFrame:
+    """The ``piece_tokens`` table of pieces that are rendered already (``render_turns``, ``render_sft``)."""
     t = pieces.select("conv_id", "turn", F.floor(F.col("turn") / TURN_BLOCK).cast("bigint").alias("blk"),
                       tokenize(F.col("piece")).alias("toks"))
     return t.withColumn("n_tok", F.size("toks").cast("bigint")) \
@@ -97,13 +102,26 @@ def encode_dialogues(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MA
 
 def dialogue_batches(pieces: DataFrame, vocab: DataFrame, max_length: int = C.MAX_LENGTH,
                      batch_size: int = 8, pad_multiple: int = C.PAD_MULTIPLE, pad_id: int = 0,
-                     seed: int = C.SEED, p: float = C.RANDOM_OFFSET_PROBABILITY) -> DataFrame:
-    """Padded, shuffled batches with next-token targets (wrap-around roll)."""
+                     seed: int = C.SEED, p: float = C.RANDOM_OFFSET_PROBABILITY,
+                     prefix_ids: list[int] | None = None, pack: bool = False) -> DataFrame:
+    """Padded, shuffled batches with next-token targets (wrap-around roll).
+
+    ``pack`` joins pairs of short sequences of a batch (``pack_short``; a packed
+    row has no ``conv_id`` of its own); ``prefix_ids`` go in front of every
+    sequence, which is cut that much shorter.  ``pieces`` may be rendered by
+    ``render_turns`` or ``render_sft`` (``tokenize_pieces``).
+    """
     # every conversation yields one sequence, so batches are numbered from the
     # (already written) piece table's keys, before the chain runs
     keys = pieces.select("conv_id").distinct()
     numbers = batch_numbers(keys, ["conv_id"], batch_size, seed)
-    b = encode_dialogues(pieces, vocab, max_length, p, seed, batches=numbers)
+    own_length = max_length - len(prefix_ids or [])
+    b = encode_dialogues(pieces, vocab, own_length, p, seed, batches=numbers)
+    if pack:
+        b = pack_short(b, "batch_id", "row_in_batch", ["input_ids", "attention_mask", "label_mask"], ["conv_id"],
+                       own_length, seed=seed)
+    if prefix_ids:
+        b = prepend_prefix(b, list(prefix_ids))
     b = pad_batch(b, "batch_id", {"input_ids": pad_id, "attention_mask": 0, "label_mask": False}, pad_multiple)
     return b.withColumn("targets", shift_targets(F.col("input_ids")))
 

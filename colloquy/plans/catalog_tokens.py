@@ -386,3 +386,21 @@ def q_dialogue_batches(spark, sf):
     return b.select("conv_id", "batch_id", "row_in_batch", AR.join_ints("input_ids").alias("input_ids"),
                     AR.join_ints("attention_mask", "").alias("attention_mask"),
                     AR.join_bools("label_mask").alias("label_mask"), AR.join_ints("targets").alias("targets"))
+
+
+PREFIX_IDS = [IDS[C.SYSTEM], IDS[C.UNK], IDS[C.EOS]]
+_PX_SQL = DB_SQL.replace("@ML@", str(256 - len(PREFIX_IDS))).replace("@BS@", "8").replace(
+    "e.ids, e.msg, CAST(ceil(max(len(e.ids))", f"list_concat({PREFIX_IDS}, e.ids) AS ids, list_concat("
+    f"{[-1] * len(PREFIX_IDS)}, e.msg) AS msg, CAST(ceil(max({len(PREFIX_IDS)} + len(e.ids))")
+
+
+@register("dialogue_batches_prefixed", "WITH " + _PX_SQL + " SELECT conv_id, batch_id, row_in_batch, "
+          f"{sqlx.join_list('ids')} AS input_ids, {sqlx.join_list('att', '')} AS attention_mask, "
+          "array_to_string(list_transform(mask, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS label_mask FROM pd")
+def q_dialogue_batches_prefixed(spark, sf):
+    """The fine-tuning data path with a system prefix in front of every (shorter cut) sequence."""
+    pieces = materialize(S.piece_tokens(FX.conversations(spark, sf)), "pieces")
+    b = S.dialogue_batches(pieces, TK.build_vocab(pieces, "toks"), 256, 8, prefix_ids=PREFIX_IDS)
+    return b.select("conv_id", "batch_id", "row_in_batch", AR.join_ints("input_ids").alias("input_ids"),
+                    AR.join_ints("attention_mask", "").alias("attention_mask"),
+                    AR.join_bools("label_mask").alias("label_mask"))

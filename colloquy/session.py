@@ -34,7 +34,6 @@ def get_session(master: str | None = None, app: str = "colloquy",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -73,9 +72,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(id(sc))
 
 
+# Arrow batches to Python workers: rows and bytes at most, in place of Spark's
+# larger defaults (a row here may hold a whole document or token list).
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"),
+                "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def prepare(spark: SparkSession) -> str:
-    """Per-session setup used by every entry point: code shipping + checkpoint folder."""
+    """Per-session setup used by every entry point: code shipping, Arrow batch sizes, checkpoint folder.
+
+    Sizes that the session has set itself are kept.
+    """
     ship_package(spark)
+    for key, (default, own) in ARROW_LIMITS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
     return ensure_checkpoint_dir(spark)
 
 

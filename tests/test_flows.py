@@ -107,3 +107,19 @@ def test_prompt_target_batches_shapes(spark):
     for r in b:
         assert len(r.input_ids) == len(r.labels) == len(r.label_mask) <= 48 and len(r.input_ids) % 8 == 0
         assert all((x != C.IGNORE_INDEX) == m for x, m in zip(r.labels, r.label_mask))
+
+
+def test_chain_with_prefix_packing_and_typed_input(spark):
+    typed = spark.createDataFrame([(c, t, "prompter" if t % 2 == 0 else "assistant", "a b c " * (c % 5 + 1), "en")
+                                   for c in range(40) for t in range(2)], TURNS + ", lang string")
+    pieces = materialize(S.tokenize_pieces(R.render_sft(typed, use_system_tag=True, dropout=0.0)))
+    vocab = TK.build_vocab(pieces, "toks")
+    plain = S.dialogue_batches(pieces, vocab, 64, 8, pad_multiple=1).collect()
+    packed = S.dialogue_batches(pieces, vocab, 64, 8, pad_multiple=1, prefix_ids=[5, 2], pack=True).collect()
+    assert len(plain) == 40 and len(packed) < 40 and any(r.packed for r in packed)
+    for r in packed:
+        assert r.input_ids[:2] == [5, 2] and not any(r.label_mask[:2])
+        assert sum(r.attention_mask) <= 64 and len(r.input_ids) == len(r.label_mask) == len(r.targets)
+    # packing keeps all tokens of sequences that fit
+    used = lambda rows, k: sum(sum(r.attention_mask) - k for r in rows)
+    assert used(packed, 2) <= used(plain, 0) and used(packed, 2) > 0
