@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import constants as C
 from ..operators import evaluation as EV
 from ..operators import generate as G

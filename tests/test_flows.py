@@ -123,3 +123,13 @@ def test_chain_with_prefix_packing_and_typed_input(spark):
     # packing keeps all tokens of sequences that fit
     used = lambda rows, k: sum(sum(r.attention_mask) - k for r in rows)
     assert used(packed, 2) <= used(plain, 0) and used(packed, 2) > 0
+
+
+def test_size_checked_broadcast_changes_no_result(spark):
+    from colloquy.session import broadcast_if_small
+
+    left = spark.createDataFrame([(i % 7, i) for i in range(50)], "k long, v long")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "k long, name string")
+    hinted, plain = (left.join(broadcast_if_small(right, limit), "k", "left") for limit in (5, 4))
+    assert "BroadcastExchange" in hinted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hinted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)

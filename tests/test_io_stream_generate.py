@@ -3,7 +3,6 @@ import pytest
 
 import json
 
-from pyspark.sql import functions as F
 
 from colloquy.operators import generate as G
 from colloquy.session import scratch_path
