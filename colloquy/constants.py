@@ -1,9 +1,9 @@
-"""Fixed values.
+"""Fixed values and defaults.
 
-Everything in this module is a value that must be equal to the original
-project's for results to agree: role markers, instruction texts, the answer
-patterns of the single-choice exam and numeric constants of the metrics and
-losses.  They are stated plainly, in their natural order.
+Values marked fixed must equal the original project's for results to agree:
+role markers, instruction texts, the answer patterns of the single-choice exam
+and some numeric constants.  They are stated plainly, in their natural order.
+The rest are public constants of the metrics or defaults of this library.
 """
 
 # --- fixed values: role markers --------------------------------------------
@@ -56,7 +56,6 @@ DOCTOR_COLON = "doctor："  # removed literally by strip_markers (full-width col
 # --- fixed values: numeric constants -----------------------------------------
 IGNORE_INDEX = -100
 CE_EPS = 1e-8            # masked cross-entropy denominator
-F_EPS = 1e-8             # ROUGE-L F denominator
 NGRAM_EPS = 1e-10        # n-gram entropy / distinct-n denominator
 RANK_BETA = 0.001        # L2 weight of the pairwise ranking loss
 POLY_EPSILON = 1.0
@@ -68,18 +67,21 @@ MIX_PROBABILITY = 0.6
 RANDOM_OFFSET_PROBABILITY = 0.5
 SYSTEM_PROPERTY_DROPOUT = 0.5
 LENGTH_WORDS_PER_BUCKET = 5
-METEOR_ALPHA = 0.9
-METEOR_BETA = 3.0
-METEOR_GAMMA = 0.5
 MAX_REMOTE_ATTEMPTS = 31
-SEED = 29
 
 # --- fixed values: prompt/target collator tokens ------------------------------
 GMASK = "[gMASK]"
 SOP = "<sop>"
 EOP = "<eop>"
 
+# --- public constants of the metrics ------------------------------------------
+F_EPS = 1e-8             # ROUGE-L F denominator
+METEOR_ALPHA = 0.9
+METEOR_BETA = 3.0
+METEOR_GAMMA = 0.5
+
 # --- our own defaults (not taken from the original project) ------------------
+SEED = 29
 EOS = "</s>"
 PAD = "<pad>"
 UNK = "<unk>"
