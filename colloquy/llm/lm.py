@@ -23,6 +23,7 @@ Keys are 64-bit hashes of n-grams.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from .common import total, words_of
 
 ORDER = 2
 LAMBDA = 0.4
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 RANGE_TOKENS = 4_000_000
 XXH_SEED = 42
 START, END = 0, 1  # token numbers of every block
@@ -194,9 +195,10 @@ def _totals(part: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 class Automaton:
     """Backoff automaton over a block's words.
 
-    State 0 has no context; ``arcs`` maps state * width + word to a place in
-    ``weight`` and ``target``; ``fail`` is the failure arc's weight and
-    ``lower`` its target; every word has an arc from state 0.
+    State 0 has no context and an arc for every word.  ``arcs`` maps state *
+    width + word of the other states to the place in ``weight`` and ``target``;
+    the first ``width`` places are the arcs of state 0.  ``fail`` is the weight
+    of the failure arcs and ``lower`` their target.
     """
 
     def __init__(self, grams: Grams, counts: dict[int, np.ndarray], n: int, v: int, lam: float = LAMBDA):
@@ -204,7 +206,7 @@ class Automaton:
         p = (counts[1] + 1.0) / (n + v + 1.0)
         states = {1: np.where(counts[1] > 0, 1 + np.arange(self.width), 0)}
         n_states = 1 + self.width
-        codes = [np.arange(self.width, dtype=np.int64)]
+        codes = []
         weights, targets = [np.log10(p)], [states[1] if grams.order > 1 else np.zeros(self.width, np.int64)]
         lower = [np.zeros(1 + self.width, np.int64)]
         for k in range(2, grams.order + 1):
@@ -221,10 +223,12 @@ class Automaton:
             codes.append(states[k - 1][context] * self.width + word)
             weights.append(np.log10(p[seen]))
             targets.append(states[k][seen])
-        code = np.concatenate(codes)
-        self.arcs = dict(zip(code.tolist(), range(len(code))))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.lower = np.concatenate(lower).tolist()
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        self.arcs = dict(zip(code.tolist(), range(self.width, self.width + len(code))))
+        # packed numbers: an automaton takes a few times less memory than with lists of objects
+        self.weight = array("d", np.concatenate(weights).astype("f8").tobytes())
+        self.target = array("q", np.concatenate(targets).astype("i8").tobytes())
+        self.lower = array("q", np.concatenate(lower).astype("i8").tobytes())
         self.fail = float(np.log10(1 - lam))
         self.start = int(states[1][START]) if grams.order > 1 else 0
 
@@ -234,11 +238,11 @@ class Automaton:
         weight, target, lower = self.weight, self.target, self.lower
         state, sum_ = self.start, 0.0
         for w in words:
-            arc = find(state * width + w)
+            arc = find(state * width + w) if state else w
             while arc is None:
                 sum_ += fail
                 state = lower[state]
-                arc = find(state * width + w)
+                arc = find(state * width + w) if state else w
             sum_ += weight[arc]
             state = target[arc]
         return sum_
@@ -263,12 +267,12 @@ def _scores(order: int, n: int, v: int):
             if in_order:
                 counts[k][np.argsort(grams.keys[k], kind="stable")] = np.concatenate(in_order)
         automaton = Automaton(grams, counts, n, v)
-        text, lengths = grams.text.tolist(), np.asarray(row.lengths, np.int64)
+        lengths = np.asarray(row.lengths, np.int64)
         c = counts[1][grams.text]
         is_token = grams.text != START
         base = np.add.reduceat(np.where(is_token, np.log10((c + 1.0) / (n + v + 1.0)), 0.0), grams.begins)
         known = np.add.reduceat((is_token & (c > 0)).astype(np.int64), grams.begins)
-        score = [automaton.score(text[b + 1:b + 1 + m]) for b, m in zip(grams.begins.tolist(), lengths.tolist())]
+        score = [automaton.score(grams.text[b + 1:b + 1 + m].tolist()) for b, m in zip(grams.begins.tolist(), lengths.tolist())]
         return pd.DataFrame({"id": list(row.ids), "held_out": ~np.asarray(row.train, bool), "n_tokens": lengths,
                              "n_known": known, "train_tokens": n, "base_score": base, "score": score})
     return run
