@@ -28,7 +28,7 @@ from .common import once, packed, row_key, total, unpacked
 from .fm_index import FMIndex
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 PIECE_WORDS = 256
 BLOCK = 100_000
 BITMAP_BITS = 20
