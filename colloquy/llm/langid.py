@@ -27,7 +27,7 @@ from ..session import broadcast_if_small, materialize
 from .common import row_key, total, unit_hash
 
 SAMPLE_DOCS = 4_000
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 150_000
 MAX_GRAM = 4
 SEED = 42
 CACHED_WORDS = 200_000
