@@ -55,7 +55,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     docs, tokens = total(histogram, F.coalesce(F.sum("n_docs"), F.lit(0)),
                          F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0)))
     h = histogram.withColumns({"g": F.lit(0), "down": -F.col("n_tokens"), "own": F.col("n_docs") * F.col("n_tokens")})
-    h = running_sum(h, ["g"], "down", {"n_docs": "docs_from", "own": "tokens_from"})
+    h = running_sum(h, ["g"], "down", {"n_docs": "docs_from", "own": "tokens_from"}, block=256)
     return h.select("n_tokens", "n_docs", "docs_from", "tokens_from",
                     (F.lit(tokens) - F.col("tokens_from") + F.col("n_tokens") * F.col("docs_from"))
                     .alias("truncated_tokens"),
