@@ -28,9 +28,9 @@ SPACES = " \t\n\r\x0b\x0c"
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_LABELLED = 50
+MIN_LABELLED = 100
 TAIL = 0.001
-MARGIN = 0.15
+MARGIN = 0.3
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "n_tokens bigint, chars_per_token double, byte_share double, entropy double, script string")
