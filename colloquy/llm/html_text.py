@@ -37,13 +37,17 @@ search""".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar "
                           "toolbar status".split())
 # words of class and id names of parts that are not article text
-DROPPED_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot adbox banner breadcrumb
-breadcrumbs byline comment comments commentary consent cookie cookies copyright crumbs discussion disqus footer footers
-gdpr header hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification
-pager pagination paywall popup promo promos promotion recommended recommendations related remark replies reply respond
-responses share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription
-tags toc toolbar tracking widget widgets alert""".split())
-KEPT_ANYWAY = frozenset("html body article main".split())
+DROPPED_NAMES = frozenset("""ad adbox adcontainer ads adsense adslot adunit adv advert advertisement advertisements
+advertising adverts alert banner bottombar breadcrumb breadcrumbs comment commentform commentlist comments consent cookie
+cookiebanner cookiebar cookies copyright crumbs discussion disqus footer footers gdpr header hidden legal login masthead
+menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promos
+promotion recommended recommendations related remark replies reply respond responses share sharing shoutbox sidebar
+sidebars signin signup sitefooter siteheader sitenav skip social sponsor sponsored sponsors subnav subscribe subscription
+toolbar topbar topnav tracking widget widgets""".split())
+COMMENT_NAMES = frozenset("comment comments reply replies response responses".split())
+# first words of names that speak of another element ("has-sidebar", "no-comments")
+ABOUT = frozenset("has no not with without hide show".split())
+KEPT_ANYWAY = frozenset("html body main".split())
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3,
               "dl": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 CLOSED_BY = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}),
@@ -87,8 +91,11 @@ def is_boilerplate(tag: str, attributes: str, by_name: bool) -> bool:
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True
         if by_name and name in ("class", "id"):
-            if any(w.lower() in DROPPED_NAMES for w in NAME_WORDS.findall(value)):
-                return True
+            unwanted = COMMENT_NAMES if tag == "article" else DROPPED_NAMES
+            for one in value.split():
+                words = [w.lower() for w in NAME_WORDS.findall(one)]
+                if words and words[0] not in ABOUT and not unwanted.isdisjoint(words):
+                    return True
     return False
 
 
@@ -272,7 +279,7 @@ def _select(page: Page) -> list[str]:
 def main_text(source: str | None) -> str:
     """Blocks of the article of a page, joined by one newline; empty without text.
 
-    If the names of classes rule out everything, a second reading goes by tags
+    If the names of classes rule out everything, a second reading goes by 
     and roles only.
     """
     if not source:

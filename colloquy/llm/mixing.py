@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import dense_row_number, running_sum
 from ..session import broadcast_if_small, materialize
-from .common import packed, row_key, total, unit_hash, unpacked
+from .common import row_key, total, unit_hash, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import (decontam, fm_index, html_text, langid, lm, quality, simhash, token_counts, vocab)
 from colloquy.llm.queries import crc_rest
 
-from .helpers import SCHEMA, edge_rows, edges, empty, words
+from .helpers import SCHEMA, edge_rows, edges, empty
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -342,11 +342,10 @@ def page(before="", after="", inside="", wrap="article"):
     ('<aside>Side, bar.</aside><div class="sideBar">x</div>', '<section class="related-posts"><p>More, more.</p></section>', ""),
     ("<script>var t='</p><p>no</p>';</script>", "<form><label>Mail</label><input></form>", '<div class="ad">Buy, now!</div>'),
     ("<!-- <p>no</p> --><noscript><p>no</p></noscript>", '<div role="complementary">no</div><div hidden>no</div>', ""),
+    ('<p class="notice">Read, this.</p>', '<article class="comment"><p>I agree, fully, with all.</p></article>', ""),
     ("", "", "<ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul>")])
-@pytest.mark.parametrize("wrap", ["article", "div", 'div class="post no-sidebar-x"'])
+@pytest.mark.parametrize("wrap", ["article", "div", 'div class="post has-sidebar no-comments"'])
 def test_html_keeps_the_article(before, after, inside, wrap):
-    if "sidebar" in wrap:
-        wrap = 'div class="post-content"'
     assert html_text.main_text(page(before, after, inside, wrap)) == "\n".join(ARTICLE)
 
 
