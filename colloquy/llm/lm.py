@@ -38,8 +38,8 @@ from .common import total, words_of
 
 ORDER = 2
 LAMBDA = 0.4
-BLOCK_TOKENS = 600_000
-RANGE_TOKENS = 4_000_000
+BLOCK_TOKENS = 400_000
+RANGE_TOKENS = 1_500_000
 XXH_SEED = 42
 START, END = 0, 1  # token numbers of every block
 
