@@ -31,6 +31,7 @@ MAX_ENTRIES = 150_000
 MAX_GRAM = 4
 SEED = 42
 CACHED_WORDS = 200_000
+HELD_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -41,22 +42,35 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
+def _entries(lang: str, words: Counter) -> list[tuple]:
+    """Words and their n-grams of every length with their counts."""
+    out = [(lang, 0, w, c) for w, c in words.items()]
+    for n in range(1, MAX_GRAM + 1):
+        grams: Counter = Counter()
+        for w, c in words.items():
+            for g in grams_of(w, n):
+                grams[g] += c
+        out += [(lang, n, g, c) for g, c in grams.items()]
+    return out
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (lang, text) to rows (lang, kind, entry, n): kind 0 are words, kind n n-grams."""
+    """Rows (lang, text) to rows (lang, kind, entry, n): kind 0 are words, kind n n-grams.
+
+    Counts are held over batches and sent when ``HELD_WORDS`` words are held.
+    """
+    columns = ["lang", "kind", "entry", "n"]
+    held: dict[str, Counter] = {}
     for rows in batches:
-        for lang, own in rows.groupby("lang"):
-            words: Counter = Counter()
-            for text in own["text"]:
-                if text:
-                    words.update(LETTERS.findall(text.lower()))
-            out = [(lang, 0, w, c) for w, c in words.items()]
-            for n in range(1, MAX_GRAM + 1):
-                grams: Counter = Counter()
-                for w, c in words.items():
-                    for g in grams_of(w, n):
-                        grams[g] += c
-                out += [(lang, n, g, c) for g, c in grams.items()]
-            yield pd.DataFrame(out, columns=["lang", "kind", "entry", "n"])
+        for lang, text in zip(rows["lang"], rows["text"]):
+            if text:
+                held.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+        if sum(map(len, held.values())) >= HELD_WORDS:
+            for lang, words in held.items():
+                yield pd.DataFrame(_entries(lang, words), columns=columns)
+            held = {}
+    for lang, words in held.items():
+        yield pd.DataFrame(_entries(lang, words), columns=columns)
 
 
 class Model:
