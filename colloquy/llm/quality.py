@@ -6,9 +6,13 @@ tokens.  Good text of a language
 stays within narrow bands of these; gibberish, mark-up, repeated or shouted
 text does not.  The bands come from rows labelled good: for each language and
 octave of text length (entropy grows with length) the range that all but a
-thousandth of them on either side keep, widened by a margin.  Where a language
-has too few labelled rows its script's band serves, and where that has too few
-as well nothing is rejected by it.
+thousandth of them on either side keep, widened by a margin.  A cell with too few
+labelled rows borrows: the nearest octaves that together have enough serve, of
+the language if it has them as near as its script, else of the script.  A script
+with too few in all its octaves is held against all good rows together with its
+own, text without letters against all good rows.  A script without one good
+label is not judged: fertility differs between scripts, so other scripts' bands
+would reject all of its text.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ MAX_REPEAT_PERCENT = 20
 MIN_LABELLED = 100
 TAIL = 0.001
 MARGIN = 0.3
+OCTAVES = 32
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "n_tokens bigint, chars_per_token double, byte_share double, entropy double, script string")
@@ -148,25 +153,73 @@ def octave() -> Column:
     return F.floor(F.log2(F.greatest(F.col("m.n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
 
-def bands(labelled: DataFrame, group: str) -> DataFrame:
-    """Rows (group, octave, <measure>_lo, <measure>_hi) from labelled good rows (m, octave, group).
+def grid(labelled: DataFrame) -> DataFrame:
+    """Rows (lang, script, octave, measure, value, n): labelled good rows (m, octave, lang, script) on a grid of 0.01.
 
-    Values are counted on a grid of 0.01, so the tails are exact counts over
-    all labelled rows and the work after the counting has a bounded size.
+    Tails read off it are exact counts over all labelled rows, and the work
+    after the counting has a bounded size.
     """
-    long = labelled.select(group, "octave", F.explode(F.array(*[F.struct(
+    long = labelled.select("lang", "script", "octave", F.explode(F.array(*[F.struct(
         F.lit(name).alias("measure"), F.round(F.col("m")[name], 2).alias("value")) for name in MEASURES])).alias("x"))
-    counts = long.groupBy(group, "octave", "x.measure", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("lang", "script", "octave", "x.measure", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bands(counts: DataFrame, group: str) -> DataFrame:
+    """Rows (group, octave, radius, all_rows, <measure>_lo, <measure>_hi) from the ``grid``, for every octave.
+
+    A band comes from the octaves within ``radius``, the least one that gathers
+    ``MIN_LABELLED`` rows; a group with fewer rows in all uses all of them.
+    Characters per token and byte share are means over tokens, so what longer
+    texts stray from the mean of the group counts more for shorter ones, by the
+    root of the length.  Entropy moves by at most one bit an octave (that of a
+    text is at most one bit above the mean of its halves, and not below it), so
+    a cell outside its rows' octaves has its edge one bit further an octave.
+    """
+    counts = counts.groupBy(group, "octave", "measure", "value").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(group, "octave")
     cell = Window.partitionBy(group, "octave", "measure")
-    ranked = counts.select("*", F.sum("n").over(cell).alias("all"),
+    near = (counts.filter(F.col("measure") == MEASURES[0]).groupBy(group, F.col("octave").alias("of"))
+            .agg(F.sum("n").alias("rows"))
+            .withColumn("octave", F.explode(F.sequence(F.lit(0), F.lit(OCTAVES - 1))))
+            .withColumn("far", F.abs(F.col("of") - F.col("octave")))
+            .withColumns({"all_rows": F.sum("rows").over(own), "upto": F.sum("rows").over(own.orderBy("far"))})
+            .withColumn("radius", F.min(F.when(F.col("upto") >= F.least("all_rows", F.lit(MIN_LABELLED)), F.col("far")))
+                        .over(own))
+            .filter(F.col("far") <= F.col("radius"))
+            .withColumns({"under": F.greatest(F.min("of").over(own) - F.col("octave"), F.lit(0)),
+                          "over": F.greatest(F.col("octave") - F.max("of").over(own), F.lit(0))})
+            .drop("rows", "far", "upto"))
+    every = Window.partitionBy(group, "measure")
+    centred = counts.withColumn("centre", F.sum(F.col("value") * F.col("n")).over(every) / F.sum("n").over(every))
+    strayed = F.col("centre") + (F.col("value") - F.col("centre")) * F.pow(F.lit(2.0), (F.col("of") - F.col("octave")) / 2)
+    entropy = F.col("measure") == "entropy"
+    pooled = centred.withColumnRenamed("octave", "of").join(near, [group, "of"]).withColumn(
+        "value", F.when(~entropy & (F.col("of") > F.col("octave")), strayed).otherwise(F.col("value")))
+    ranked = pooled.select("*", F.sum("n").over(cell).alias("all"),
                            F.sum("n").over(cell.orderBy("value")).alias("upto"))
-    edges = (ranked.filter(F.col("all") >= MIN_LABELLED).groupBy(group, "octave", "measure")
+    edges = (ranked.groupBy(group, "octave", "radius", "all_rows", "under", "over", "measure")
              .agg(F.min(F.when(F.col("upto") > F.col("all") * TAIL, F.col("value"))).alias("lo"),
                   F.min(F.when(F.col("upto") >= F.col("all") * (1 - TAIL), F.col("value"))).alias("hi")))
     wide = F.greatest((F.col("hi") - F.col("lo")) * MARGIN, F.lit(0.02))
-    edges = edges.select(group, "octave", "measure", (F.col("lo") - wide).alias("lo"), (F.col("hi") + wide).alias("hi"))
+    bits = lambda side: F.when(entropy, F.col(side)).otherwise(0)
+    edges = edges.select(group, "octave", "radius", "all_rows", "measure", (F.col("lo") - wide - bits("under")).alias("lo"),
+                         (F.col("hi") + wide + bits("over")).alias("hi"))
     pick = lambda name, side: F.max(F.when(F.col("measure") == name, F.col(side))).alias(f"{name}_{side}")
-    return edges.groupBy(group, "octave").agg(*[pick(n, s) for n in MEASURES for s in ("lo", "hi")])
+    return edges.groupBy(group, "octave", "radius", "all_rows").agg(*[pick(n, s) for n in MEASURES for s in ("lo", "hi")])
+
+
+def script_bands(counts: DataFrame) -> DataFrame:
+    """``bands`` of the scripts; those of thin scripts reach over all good rows, as do those of text without letters."""
+    own = bands(counts, "script")
+    every = bands(counts.withColumn("every", F.lit("")), "every").filter(F.col("all_rows") >= MIN_LABELLED).drop("every")
+    sides = [f"{n}_{s}" for n in MEASURES for s in ("lo", "hi")]
+    thin = own.filter(F.col("all_rows") < MIN_LABELLED).select("script", "octave", *[F.col(c).alias(f"own_{c}") for c in sides])
+    bare = every.select(F.lit("none").alias("script"), "octave").withColumns(
+        {f"own_{c}": F.lit(None).cast("double") for c in sides})
+    thin = thin.unionByName(bare.join(own.select("script", "octave"), ["script", "octave"], "left_anti"))
+    hull = thin.join(every, "octave").select("script", "octave", "radius", "all_rows", *[
+        (F.least if c.endswith("_lo") else F.greatest)(F.col(c), F.col(f"own_{c}")).alias(c) for c in sides])
+    return own.filter(F.col("all_rows") >= MIN_LABELLED).unionByName(hull)
 
 
 def verdicts(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -180,14 +233,17 @@ def verdicts(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", lan
     m = measured.withColumns({"octave": octave(), "lang": F.col("rec")[lang_col], "script": F.col("m.script")})
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id"))
     labelled = m.join(good, F.col("rec")[id_col] == F.col("good_id")).select("m", "octave", "lang", "script")
-    by_lang = materialize(bands(labelled.filter("lang is not null"), "lang"), "bands-lang")
-    by_script = materialize(bands(labelled, "script"), "bands-script")
+    counts = materialize(grid(labelled), "bands-grid")
+    by_lang = bands(counts.filter("lang is not null"), "lang").filter(F.col("all_rows") >= MIN_LABELLED).drop("all_rows")
+    by_lang = materialize(by_lang, "bands-lang")
+    by_script = materialize(script_bands(counts).drop("all_rows"), "bands-script")
     by_script = by_script.select("script", "octave", *[F.col(c).alias(f"s_{c}") for c in by_script.columns[2:]])
     out = (m.join(broadcast_if_small(by_lang), ["lang", "octave"], "left")
            .join(broadcast_if_small(by_script), ["script", "octave"], "left"))
-    inside = F.lit(True)
+    inside, nearer = F.lit(True), F.col("s_radius") < F.col("radius")
     for name in MEASURES:
-        lo, hi = (F.coalesce(F.col(f"{name}_{s}"), F.col(f"s_{name}_{s}")) for s in ("lo", "hi"))
+        lo, hi = (F.when(nearer, F.col(f"s_{name}_{s}")).otherwise(F.coalesce(F.col(f"{name}_{s}"), F.col(f"s_{name}_{s}")))
+                  for s in ("lo", "hi"))
         inside = inside & F.coalesce(F.col("m")[name].between(lo, hi), F.lit(True))
     words, repeat = F.col("m.n_words"), F.col("m.n_repeat_words")
     failed = (words < MIN_WORDS) | (repeat * 100 > words * MAX_REPEAT_PERCENT)

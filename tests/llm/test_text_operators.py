@@ -223,6 +223,33 @@ def test_quality_verdicts(spark):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def test_quality_thin_cells_borrow(spark):
+    rng = random.Random(8)
+    stems, ends = "tree stone river light wind rain sun moon".split(), ["", "s", "ed", "ing", "er"]
+
+    def prose(n):
+        return " ".join(rng.choice(stems) + rng.choice(ends) for _ in range(n))
+
+    def junk(n):
+        return " ".join("".join(rng.choice("bcdfghjkqvwxz#$|") for _ in range(4)) for _ in range(n))
+    good = [(i, prose(n), "en", "a", 0) for i, n in enumerate([40] * 30 + [80] * 60 + [160] * 60)]  # no octave has 100 rows
+    new = {200: (prose(20), "en"), 201: (prose(1500), "en"), 202: (prose(100), "de"), 203: (prose(100), None),
+           204: ("слово дерево камень река свет ветер дождь солнце луна поле", "ru"), 205: ("река поле " * 4 + "дом лес", "uk")}
+    bad = {300: (junk(20), "en"), 301: (junk(60), "en"), 302: (junk(6000), "en"), 303: (junk(60), "de"), 304: (junk(60), None),
+           305: (" ".join(str(rng.randint(10**6, 10**7)) + "#$|" for _ in range(400)).replace("1", "&"), "en")}
+    rows = good + [(i, t, g, "a", 0) for i, (t, g) in {**new, **bad}.items()]
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id bigint, quality int")
+    got = {r.rec.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    base = {i for i, r in got.items() if r.base_failed}
+    assert quality.script_of(bad[305][0]) == "none" and not base & (set(bad) | {*range(150)})
+    assert {i for i in bad if got[i].kept} == set()
+    assert {i for i in (*range(150), *new) if not got[i].kept} == base
+    # a script with a few good labels is held against them and all others
+    cyrillic = spark.createDataFrame([(204, 1)], "doc_id bigint, quality int")
+    few = {r.rec.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), labels.union(cyrillic)).collect()}
+    assert few[204].kept and not any(few[i].kept for i in bad)
+
+
 # --------------------------------------------------------------- LM scoring
 def brute_scores(rows, order, lam):
     texts = [(i, WORD.findall(lowered(t)) + ["\n"]) for i, t in rows]
