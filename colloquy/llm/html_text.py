@@ -5,8 +5,9 @@ role or class (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments of readers) are left out.  Every paragraph then passes
 points for its length and its commas to its ancestors, less with distance;
 points are discounted by the share of link text.  The best container is kept,
-or the article element around it, and with it those of its siblings that score
-or read like text.
+or the article element around it.  Without an article element all its siblings
+(headings, paragraphs, blocks of any length and text between them) stay with it,
+but for those that are mostly links and score low.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 ANCESTORS = 5
 SIBLING_SHARE = 0.2
 SIBLING_POINTS = 10.0
+SIBLING_LINKS = 0.5
 MENU_LINKS = 3
 MENU_SHARE = 0.66
 
@@ -94,7 +96,9 @@ def is_boilerplate(tag: str, attributes: str, by_name: bool) -> bool:
             unwanted = COMMENT_NAMES if tag == "article" else DROPPED_NAMES
             for one in value.split():
                 words = [w.lower() for w in NAME_WORDS.findall(one)]
-                if words and words[0] not in ABOUT and not unwanted.isdisjoint(words):
+                # "sideBar" and "side-bar" are one word as well
+                joined = map("".join, zip(words, words[1:]))
+                if words and words[0] not in ABOUT and not (unwanted.isdisjoint(words) and unwanted.isdisjoint(joined)):
                     return True
     return False
 
@@ -252,21 +256,18 @@ def _select(page: Page) -> list[str]:
     while around is not None and around.tag != "article":
         around = around.parent
     best = around or best
-    tops = {id(best)}
+    tops, between = {id(best)}, None
     if best.tag != "article" and best.parent is not None:
         least = max(SIBLING_POINTS, best.score() * SIBLING_SHARE)
-        reads = {}
-        for node, text, linked in blocks:
-            if node.parent is best.parent and node.tag in LEAF:
-                dense = linked / len(text)
-                long_text = len(text) > 80 and dense < 0.25
-                reads[id(node)] = long_text or dense == 0 and re.search(r"[.!?。！？]$", text) is not None
         for key, node in seen.items():
-            if node.parent is best.parent and (node.score() >= least or reads.get(key)):
+            if node.parent is best.parent and (node.density() <= SIBLING_LINKS or node.score() >= least):
                 tops.add(key)
+        between = best.parent
     out = []
-    for node, text, _ in blocks:
-        if _within(node, tops):
+    for node, text, linked in blocks:
+        if node is between and linked <= SIBLING_LINKS * len(text):
+            out.append(text)
+        elif _within(node, tops):
             holder, menu = node, False
             while holder is not None and id(holder) not in tops:
                 menu = menu or _is_menu(holder)

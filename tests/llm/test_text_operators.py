@@ -376,6 +376,21 @@ def test_html_keeps_the_article(before, after, inside, wrap):
     assert html_text.main_text(page(before, after, inside, wrap)) == "\n".join(ARTICLE)
 
 
+@pytest.mark.parametrize("wrap, part", [("div", "div"), ("main", "section"), ("section", "div"), ("div class=content", "section")])
+def test_html_keeps_articles_spread_over_siblings(wrap, part):
+    long = "Water, stone, and wind shape the valley below the town. " * 60
+    texts = ["A short heading", long.strip(), "Text between", "In short, it changes, slowly", "Part two", ARTICLE[0], "The end"]
+    links = "".join(f"<a href='/{i}'>Read about number {i}</a> " for i in range(2))
+    body = (f"<h2>{texts[0]}</h2><{part}><p>{texts[1]}</p></{part}>{texts[2]}<{part}><p>{texts[3]}</p></{part}><h3>{texts[4]}</h3>"
+            f"<{part}><div><p>{texts[5].replace('&', '&amp;')}</p></div></{part}><{part}>{links}</{part}><p>{texts[6]}</p>")
+    source = f"<html><body><nav>Home, sweet</nav><{wrap}>{body}</{wrap.split()[0]}><footer>Foot, er</footer></body></html>"
+    assert html_text.main_text(source).split("\n") == texts
+    # the page of the review: the second block scores below the bar of a fifth of the best one
+    five = "word, " * 50 + "w" * 4700
+    two = "text, of, " + "v" * 190
+    assert html_text.main_text(f"<div><div><p>{five}</p></div><div><p>{two}</p></div></div>").split("\n") == [five, two]
+
+
 def test_html_blocks_and_references(spark):
     cases = {None: "", "": "", "plain  text": "plain text", "<p>a<p>b": "a\nb", "<p>unclosed <b>x <i>y": "unclosed x y",
              "&lt;p&gt; &#x41;&amp;amp;\n z": "<p> A&amp; z", "<div><script>no": "", "<p>a<br>b</p>": "a b",
