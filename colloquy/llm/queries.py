@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, line_dedup, lm, mixing, quality, sharding, simhash, token_counts
-from .common import count_words
+from . import (cap_filters, decontam, html_text, langid, line_dedup, lm, mixing, periodic, quality, resampling, sharding,
+               simhash, token_counts)
+from .common import WORD_PATTERN, count_words
+from .oracles import CAP_SQL, PERIODIC_SQL, RESAMPLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +185,49 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     found = pages.select("page_id", "url", html_text.main_text_column(F.col("html")).alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# --------------------------------------------------------------- resampling
+@query("op11_resampling", RESAMPLE_SQL)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and draw of every document by importance towards the benchmark's distribution."""
+    ranked = resampling.importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return ranked.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+# --------------------------------------------------------- embedding dedup
+@query("op12_embedding_dedup", CAP_SQL)
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    groups = cap_filters.cap_groups(read(spark, sf_dir, "embeddings"))
+    return groups.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+# ------------------------------------------------------------ periodic runs
+def with_planted_period(text, doc_id):
+    """The text, or for every tenth id (by crc32) its words with a periodic tail whose start and period the id sets."""
+    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
+    n = F.size(words)
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    tail = (n - a).cast("int")
+    period = (F.floor(tail / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+    unit = F.slice(words, a + 1, period)
+    repeated = F.flatten(F.array_repeat(unit, F.ceil(tail / period).cast("int")))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(repeated, F.lit(1), tail)), " ")
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), planted).otherwise(text)
+
+
+@query("op13_periodic_runs", PERIODIC_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, the longest of them, and the text without their repeats."""
+    docs = read(spark, sf_dir, "documents")
+    text = with_planted_period(F.col("text"), F.col("doc_id"))
+    found = periodic.periodic_runs(docs, text, keep=["doc_id"])
+    found = found.withColumn("best", periodic.longest_run(F.col("runs")))
+    return found.select(
+        "rec.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
