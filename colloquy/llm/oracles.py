@@ -70,23 +70,23 @@ WITH d AS MATERIALIZED (
 g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
 p AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
 q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p),
-t AS (
+t AS MATERIALIZED (
   SELECT r, doc_id, n,
          CASE WHEN h % 10 = 0 AND n > 0
               THEN list_concat(w[:a], list_transform(range(0, n - a), lambda k: w[a + k % p + 1])) ELSE w END AS w
   FROM q),
-tok AS (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM t),
+tok AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM t),
 every AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM t),
-mult AS (SELECT r, q, k * q AS i FROM (SELECT r, n, q, unnest(range(0, (n - 1) // q - 2)) AS k FROM every)),
-cand AS (
-  SELECT DISTINCT m.r, m.q FROM mult m
-  JOIN tok a ON a.r = m.r AND a.i = m.i
-  JOIN tok b ON b.r = m.r AND b.i = m.i + m.q AND b.word = a.word
-  JOIN tok c ON c.r = m.r AND c.i = m.i + 2 * m.q AND c.word = a.word
-  JOIN tok d ON d.r = m.r AND d.i = m.i + 3 * m.q AND d.word = a.word),
-eq AS (
-  SELECT c.r, c.q, a.i, a.i - row_number() OVER (PARTITION BY c.r, c.q ORDER BY a.i) AS isle
-  FROM cand c JOIN tok a ON a.r = c.r JOIN tok b ON b.r = a.r AND b.i = a.i + c.q AND b.word = a.word),
+mult AS (SELECT r, q, k * q AS i FROM (SELECT r, n, q, unnest(range(0, (n - 1) // q + 1)) AS k FROM every)),
+met AS MATERIALIZED (SELECT m.r, m.q, m.i, tok.word FROM mult m JOIN tok ON tok.r = m.r AND tok.i = m.i),
+ahead AS (
+  SELECT r, q, word, lead(word, 1) OVER d AS w1, lead(word, 2) OVER d AS w2, lead(word, 3) OVER d AS w3
+  FROM met WINDOW d AS (PARTITION BY r, q ORDER BY i)),
+cand AS MATERIALIZED (SELECT DISTINCT r, q FROM ahead WHERE word = w1 AND word = w2 AND word = w3),
+same AS (
+  SELECT c.r, c.q, unnest(list_filter(range(0, n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i
+  FROM cand c JOIN t ON t.r = c.r),
+eq AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same),
 stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM eq GROUP BY r, q, isle),
 run AS (SELECT r, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
 listed AS (
