@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import text as TX
@@ -17,6 +18,8 @@ from . import fixtures as FX
 from . import sqlx
 from .registry import register, table
 
+RANGE_BYTES = 1 << 18  # of the files that queries write and read back in ranges
+
 DP_SQL = (
     "lastt AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), "
     f"ctx AS (SELECT c.conv_id, string_agg({sqlx.marker('c.role')} || c.text || '{C.EOS}', '' ORDER BY c.turn) AS ctx "
@@ -41,6 +44,17 @@ def q_read_dialogues(spark, sf):
     return io.read_dialogues(spark, path)
 
 
+@register("read_dialogues_document", "SELECT conv_id, turn, role, text FROM conversations")
+def q_read_dialogues_document(spark, sf):
+    """Conversations written as few large JSON lists, each read back in many byte ranges, with a key of their own."""
+    path = scratch_path(spark, "dialogue-documents")
+    io.write_dialogue_documents(FX.conversations(spark, sf).withColumnRenamed("conv_id", "id").selectExpr(
+        "id AS conv_id", "id", "turn", "role", "text"), path, files=2, extra=["id"])
+    fields = T.StructType([*io.TURN.fields, T.StructField("id", T.LongType())])
+    turns = io.read_dialogues(spark, path, whole_document=True, fields=fields, range_bytes=RANGE_BYTES)
+    return turns.select(F.col("id").alias("conv_id"), "turn", "role", "text")
+
+
 @register("read_split", "SELECT conv_id, turn, role, text FROM conversations "
                         f"WHERE {sqlx.keyed(C.SEED, 'split', 'conv_id')} < 0.2")
 def q_read_split(spark, sf):
@@ -58,10 +72,10 @@ def q_assign_split(spark, sf):
 
 @register("read_exam_csv", "WITH " + FX.EXAM_SQL + " SELECT question, A, B, C, D, answer FROM exam")
 def q_read_exam_csv(spark, sf):
-    """Exam rows (questions with newlines) written as CSV and read back."""
+    """Exam rows (questions with newlines) written as CSV and read back in byte ranges."""
     path = scratch_path(spark, "exam-csv")
     io.write_scored_csv(FX.exam(spark, sf).drop("p_partkey"), path)
-    return io.read_exam_csv(spark, path, "choice")
+    return io.read_exam_csv(spark, path, "choice", range_bytes=RANGE_BYTES)
 
 
 @register("read_template",
