@@ -2,7 +2,7 @@
 
 Neither format says in the middle of a file what state a reader is in there:
 inside a string or a quoted cell, how deep in brackets, in which dialogue.  So
-a file is read twice, in byte ranges (Spark's input splits).
+a file is read in two passes, in byte ranges (Spark's input splits).
 
 1. Every range is scanned on its own for each state it may begin in, and
    yields a state map: the state it ends in, and what it adds to the counts of
@@ -10,7 +10,9 @@ a file is read twice, in byte ranges (Spark's input splits).
    with window functions gives each range the state it really begins in.
 2. Every range is scanned again from that state and cut into records.  Only
    records that cross the end of a range leave as pieces, which are joined by
-   the range that the record began in; all others never move.
+   the range that the record began in; all others never move.  (This pass runs
+   for the whole records and for the pieces, which costs a scan and saves
+   writing or moving all of them.)
 
 The text source does the cutting into ranges: with ``}`` (JSON) or line feed
 (CSV) as line separator, a range is extended to the next such byte, wherever
