@@ -10,6 +10,7 @@ from ..functions.text import system_prefix, tokenize
 from ..operators import batches as B
 from ..operators import render as R
 from ..operators import sequences as S
+from ..operators import subwords as SW
 from ..operators import tokens as TK
 from . import fixtures as FX
 from . import sqlx
@@ -67,6 +68,25 @@ def q_build_vocab(spark, sf):
     return _vocab(spark, sf)
 
 
+def _turn_tokens(spark, sf):
+    return FX.conversations(spark, sf).select("conv_id", "turn", tokenize(F.col("text")).alias("toks"))
+
+
+@register("learn_merges")
+def q_learn_merges(spark, sf):
+    """Byte-pair merges learned from the words of all turns (the greedy choice has no SQL form)."""
+    return SW.learn_merges(SW.word_counts(_turn_tokens(spark, sf), "toks"), 96)
+
+
+@register("encode_merges", f"SELECT conv_id, turn, md5(array_to_string({sqlx.tok('text')}, ' ')) AS tokens_md5 FROM conversations")
+def q_encode_merges(spark, sf):
+    """Every turn cut into learned sub-words and spelled again."""
+    turns = materialize(_turn_tokens(spark, sf), "merge-turns")
+    merges = SW.learn_merges(SW.word_counts(turns, "toks"), 48)
+    pieces = SW.encode_merges(turns, "toks", merges).select("conv_id", "turn", SW.decode_merges(F.col("pieces")).alias("t"))
+    return pieces.select("conv_id", "turn", F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
 NEW_SPECIALS = ("<|context|>", C.PATIENT, "<|tool|>")
 
 
