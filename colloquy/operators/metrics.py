@@ -9,7 +9,6 @@ while the pairs stay distributed.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from ..functions.porter import porter_stem
 from ..plans.numbering import dense_row_number
 from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
+from .lcs import common_words, lcs_tiled
 
 
 # ---------------------------------------------------------------- filters
@@ -363,28 +363,10 @@ def _sentences(tokens) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def _common_words(x: list[str], y: list[str]) -> set[str]:
-    """Words of one longest common subsequence; equal choices leave out ``y``'s last word first."""
-    size = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, w in enumerate(x, 1):
-        step = np.where(np.array([w == v for v in y], bool), size[i - 1, :-1] + 1, size[i - 1, 1:])
-        size[i, 1:] = np.maximum.accumulate(step)
-    words, i, j = set(), len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            words.add(x[i - 1])
-            i, j = i - 1, j - 1
-        elif size[i - 1, j] > size[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return words
-
-
 def _summary_overlap(hyp, ref) -> tuple[int, int, int]:
     """Distinct words of the union of the sentences' common subsequences, of the hypothesis, of the reference."""
     hs, rs = _sentences(hyp), _sentences(ref)
-    union = set().union(*[_common_words(r, h) for r in rs for h in hs])
+    union = set().union(*[common_words(r, h) for r in rs for h in hs])
     return len(union), len({w for s in hs for w in s}), len({w for s in rs for w in s})
 
 
@@ -395,15 +377,26 @@ def summary_overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str = "ref_tokens",
-            mode: str = "sentence") -> DataFrame:
+            mode: str = "sentence", tile: int | None = None) -> DataFrame:
     """Per-pair ROUGE-L F = 2PR / (P + R + 1e-8) (empty sides give 0).
 
-    ``sentence``: LCS of the token lists.  ``summary``: tokens are split into
-    sentences at full stops; the words of the LCS of every reference and
-    hypothesis sentence are united and counted against the distinct words of
-    each side.
+    ``sentence``: LCS of the token lists; a pair is one row's work.  With
+    ``tile`` pairs of which a side is longer are cut into tiles of that many
+    tokens, which spread over tasks (``lcs.lcs_tiled``; ``keys`` are unique
+    then).  ``summary``: tokens are split into sentences at full stops; the
+    words of the LCS of every reference and hypothesis sentence, found in
+    memory linear in their lengths, are united and counted against the distinct
+    words of each side.
     """
-    if mode == "sentence":
+    if mode == "sentence" and tile is not None:
+        sides = [F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)) for c in (hyp, ref)]
+        sized = materialize(pairs.select(F.struct(*keys).alias("pair"), F.col(hyp).alias("_x"), F.col(ref).alias("_y"),
+                                         sides[0].alias("_h"), sides[1].alias("_r")), "rouge-pairs")
+        long = F.greatest("_h", "_r") > tile
+        done = lcs_tiled(sized.filter(long).select("pair", "_x", "_y"), "_x", "_y", tile).unionByName(
+            sized.filter(~long).select("pair", lcs_length(F.col("_x"), F.col("_y")).alias("lcs")))
+        d = sized.select("pair", "_h", "_r").join(done, "pair").select("pair.*", "_h", "_r", "lcs")
+    elif mode == "sentence":
         d = pairs.select(*keys, F.size(hyp).alias("_h"), F.size(ref).alias("_r"),
                          lcs_length(F.col(hyp), F.col(ref)).alias("lcs"))
     elif mode == "summary":

@@ -12,7 +12,7 @@ from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
 from . import fixtures as FX
 from . import metric_sql, sqlx
-from .registry import register
+from .registry import register, table
 
 NS_SQL = "ns AS (SELECT * FROM (VALUES (1), (2), (3), (4)) v(n))"
 MT_SQL = (FX.METRIC_PAIRS_SQL + f", mt AS (SELECT conv_id, turn, {sqlx.tok(sqlx.strip_markers('response'))} AS h, "
@@ -96,6 +96,22 @@ def q_rouge_l(spark, sf):
     return r.select("conv_id", "turn", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+# a document against its words without every fifth: the shorter side is the longest common subsequence
+LONG_PAIRS_SQL = ("SELECT doc_id, n, n - n // 5 AS lcs FROM (SELECT doc_id, "
+                  "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n FROM documents)")
+
+
+@register("rouge_l_tiled", f"SELECT doc_id, CAST(lcs AS BIGINT) AS lcs, CASE WHEN n = 0 THEN 0.0 ELSE "
+          f"round(2.0 * lcs / n / (CAST(lcs AS DOUBLE) / n + 1 + {C.F_EPS}), 6) END AS rouge_l FROM ({LONG_PAIRS_SQL})")
+def q_rouge_l_tiled(spark, sf):
+    """ROUGE-L of whole documents against shortened copies; pairs of more than 2,048 words run in tiles."""
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    d = table(spark, sf, "documents").select("doc_id", words.alias("h"))
+    pairs = d.select("doc_id", "h", F.filter("h", lambda x, i: F.pmod(i, F.lit(5)) != 4).alias("r"))
+    r = M.rouge_l(pairs, ["doc_id"], "h", "r", tile=2048)
+    return r.select("doc_id", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
+
+
 @register("rouge_l_summary")
 def q_rouge_l_summary(spark, sf):
     """Per-pair summary-level ROUGE-L: united subsequence words over sentences (ties have no SQL form)."""
