@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions.arrays import argmax_index
 from ..operators import losses as L
 from ..operators import metrics as M
+from ..operators import slices as SL
 from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
 from . import fixtures as FX
@@ -189,6 +190,31 @@ def q_poly_loss(spark, sf):
     return L.poly_loss(FX.logits(spark, sf))
 
 
+def _sliced(spark, sf):
+    """Logits in slices of 16 entries of the vocabulary."""
+    d = FX.logits(spark, sf)
+    cut = F.transform(F.sequence(F.lit(0), F.size("logits") - 1, F.lit(16)),
+                      lambda i: F.struct(i.alias("start"), F.slice("logits", i + 1, F.lit(16)).alias("logits")))
+    return d.select("vec_id", "target", "mask", F.inline(cut))
+
+
+@register("losses_sliced", "WITH " + CE_SQL + f" SELECT 'cross_entropy' AS loss, count(*) AS n, {CE_VALUE} AS value FROM ce "
+          f"WHERE mask UNION ALL SELECT 'poly', count(*), {POLY_VALUE} FROM ce WHERE mask AND target <> -100")
+def q_losses_sliced(spark, sf):
+    """Cross-entropy and poly loss over logits in slices."""
+    d = _sliced(spark, sf)
+    ce, poly = SL.masked_cross_entropy(d, ["vec_id"]), SL.poly_loss(d, ["vec_id"])
+    return ce.select(F.lit("cross_entropy").alias("loss"), "n", F.col("loss").alias("value")).unionByName(
+        poly.select(F.lit("poly").alias("loss"), "n", F.col("loss").alias("value")))
+
+
+@register("preds_sliced", "WITH " + FX.LOGITS_SQL + " SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) "
+          "AS pred FROM lg")
+def q_preds_sliced(spark, sf):
+    """First largest logit of every position over slices."""
+    return SL.predictions(_sliced(spark, sf), ["vec_id"])
+
+
 _SP = FX.softplus_sql("neg - pos")
 RANK_VALUE = f"(SELECT round(avg(l), 6) FROM (SELECT avg({_SP} + 0.001 * 0.5 * (pos * pos + neg * neg)) AS l FROM rp GROUP BY conv_id))"
 RANK_N = "(SELECT count(DISTINCT conv_id) FROM rp)"
