@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions.arrays import argmax_index
 from ..operators import losses as L
 from ..operators import metrics as M
+from ..operators import partial as P
 from ..operators import slices as SL
 from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
@@ -71,6 +72,19 @@ def q_distinct_n(spark, sf):
     return M.distinct_n(M.ngram_counts(_tokens(spark, sf), "hyp_tokens"))
 
 
+@register("distinct_n_sketch", "WITH " + STATS_SQL + " SELECT n, CAST(s AS BIGINT) AS total, CAST(d AS BIGINT) AS distinct_exact, "
+          "true AS within_error FROM st")
+def q_distinct_n_sketch(spark, sf):
+    """Distinct n-grams from merged sketches of two halves, held against the exact counts."""
+    t = materialize(_tokens(spark, sf), "sketch-tokens")
+    half = F.pmod("conv_id", F.lit(2))
+    states = [P.distinct_state(t.filter(half == k), "hyp_tokens") for k in (0, 1)]
+    found = P.distinct_estimates(P.merge_distinct(states))
+    exact = M.ngram_stats(M.ngram_counts(t, "hyp_tokens")).select("n", F.col("distinct").alias("distinct_exact"))
+    near = F.abs(F.col("distinct") - F.col("distinct_exact")) <= F.col("error") * F.col("distinct_exact")
+    return found.join(exact, "n").select("n", "total", "distinct_exact", near.alias("within_error"))
+
+
 @register("clipped_ngram_join", "WITH " + CLIP_SQL + " SELECT conv_id, turn, n, matches, total FROM mm")
 def q_clipped_ngram_join(spark, sf):
     return M.clipped_ngram_matches(_tokens(spark, sf), ["conv_id", "turn"], "hyp_tokens", "ref_tokens", 4)
@@ -140,6 +154,15 @@ def q_generation_report(spark, sf):
     return M.generation_report(FX.metric_pairs(spark, sf), ["conv_id", "turn"])
 
 
+@register("generation_report_resumed", PAIR_SQL + metric_sql.REPORT)
+def q_generation_report_resumed(spark, sf):
+    """The report of a run in two parts: the second scores only what the first has not."""
+    pairs = FX.metric_pairs(spark, sf)
+    keys, path = ["conv_id", "turn"], scratch_path(spark, "report-state")
+    first, _ = P.resumed_report(pairs.filter(F.pmod("conv_id", F.lit(2)) == 0), None, keys, lambda df: df, path, "first")
+    return P.resumed_report(pairs, first, keys, lambda df: df, path, "second")[1]
+
+
 _CORRECT = (f"CASE WHEN length({sqlx.trim_all('model_output')}) > 0 AND len(ch) > 0 AND ch[-1] = answer "
             "THEN 1 ELSE 0 END")
 SC_SQL = (FX.EXAM_REPLIES_SQL + f", sc AS (SELECT *, {sqlx.extract_choices(sqlx.trim_all('model_output'))} AS ch "
