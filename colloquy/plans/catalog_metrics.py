@@ -12,6 +12,7 @@ from ..operators import partial as P
 from ..operators import slices as SL
 from ..session import materialize, scratch_path
 from ..streaming.accuracy import run_running_accuracy, running_accuracy_by_batch
+from ..streaming.keyed import run_keyed_accuracy
 from . import fixtures as FX
 from . import metric_sql, sqlx
 from .registry import register, table
@@ -308,6 +309,22 @@ def q_running_accuracy(spark, sf):
     return run_running_accuracy(spark, src)
 
 
+@register("running_accuracy_keyed", "WITH " + TA_SQL + " SELECT vec_id % 3 AS model, CAST(sum(CASE WHEN pred = label AND label "
+          "<> -100 THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) FILTER (label <> -100) AS total, "
+          "round(CAST(sum(CASE WHEN pred = label AND label <> -100 THEN 1 ELSE 0 END) AS DOUBLE) / "
+          "count(*) FILTER (label <> -100), 6) AS accuracy FROM ta GROUP BY 1")
+def q_running_accuracy_keyed(spark, sf):
+    """Predictions of three models in four files, all delivered twice, counted by a keyed stream."""
+    src = scratch_path(spark, "keyed-stream")
+    k = F.col("vec_id")
+    p = materialize(_preds(spark, sf).select(
+        F.pmod(k, F.lit(3)).cast("bigint").alias("model"), F.pmod(F.expr("vec_id div 3"), F.lit(4)).cast("bigint").alias("batch"),
+        F.col("pred").cast("int").alias("pred"), F.col("label").cast("int").alias("label")), "keyed-predictions")
+    for _ in range(2):
+        p.repartition(4, "batch").write.mode("append").parquet(src)
+    return run_keyed_accuracy(spark, src, p.schema, ["model"], files_per_trigger=2)
+
+
 SEQ_SQL = (f"sp AS (SELECT conv_id, turn, array_to_string({sqlx.tok(sqlx.strip_markers('text'))}, ' ') AS h, "
            f"array_to_string({sqlx.tok(sqlx.strip_markers("CASE WHEN (conv_id + turn) % 3 = 0 THEN text ELSE text || '!' END"))}, ' ') AS r "
            "FROM conversations WHERE role = 'assistant'), sq AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, "
