@@ -60,14 +60,14 @@ P_SCOPE = frozenset("td th caption table html button object".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)
 |<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S | re.X)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""",
-                       re.I)
+# one attribute after another, so that what stands in a value is never taken for a name
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "points", "chars", "link_chars", "links", "dropped", "children_of")
+    __slots__ = ("tag", "parent", "points", "chars", "link_chars", "links", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -256,16 +256,27 @@ def _select(page: Page) -> list[str]:
     while around is not None and around.tag != "article":
         around = around.parent
     best = around or best
-    tops, between = {id(best)}, None
+    tops, between = {id(best)}, set()
     if best.tag != "article" and best.parent is not None:
         least = max(SIBLING_POINTS, best.score() * SIBLING_SHARE)
-        for key, node in seen.items():
-            if node.parent is best.parent and (node.density() <= SIBLING_LINKS or node.score() >= least):
-                tops.add(key)
-        between = best.parent
+        children: dict[int, list[Node]] = {}
+        for node in seen.values():
+            if node.parent is not None:
+                children.setdefault(id(node.parent), []).append(node)
+        # up to the last ancestor of which another part scores like article text
+        path, last, node = [], 1, best
+        while node.parent is not None:
+            beside = [n for n in children[id(node.parent)] if n is not node]
+            path.append((node.parent, beside))
+            if any(n.density() <= SIBLING_LINKS and n.score() >= least for n in beside):
+                last = len(path)
+            node = node.parent
+        for parent, beside in path[:last]:
+            between.add(id(parent))
+            tops |= {id(n) for n in beside if n.density() <= SIBLING_LINKS or n.score() >= least}
     out = []
     for node, text, linked in blocks:
-        if node is between and linked <= SIBLING_LINKS * len(text):
+        if id(node) in between and linked <= SIBLING_LINKS * len(text):
             out.append(text)
         elif _within(node, tops):
             holder, menu = node, False
@@ -278,10 +289,16 @@ def _select(page: Page) -> list[str]:
 
 
 def main_text(source: str | None) -> str:
-    """Blocks of the article of a page, joined by one newline; empty without text.
-
-    If the names of classes rule out everything, a second reading goes by 
-    and roles only.
+    """Blocks of the article of a page, joined by one newline; empty without text (null, empty, markup only).
+
+    The best container is the article it stands in, if there is one; of several
+    articles side by side that is the one whose parts score best (ties: the
+    first), since the others of a page are teasers or comments.  Without an
+    article element, the container's siblings stay, and those of its ancestors
+    up to the last of which another part scores like article text; parts that
+    are mostly links go.  If the names of classes rule out everything, a second
+    reading goes by tags and roles only.  Equal pages give equal texts; a very
+    long page is read whole.
     """
     if not source:
         return ""

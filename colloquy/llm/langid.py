@@ -36,6 +36,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; numerals such as ½ or Ⅷ are no letters and part words."""
+    words = []
+    for run in LETTERS.findall(text.lower()):
+        words += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return words
+
+
 def grams_of(word: str, n: int) -> list[str]:
     """Character n-grams of a word with its ends marked."""
     marked = f"<{word}>"
@@ -64,7 +72,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for lang, text in zip(rows["lang"], rows["text"]):
             if text:
-                held.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                held.setdefault(lang, Counter()).update(words_of(text))
         if sum(map(len, held.values())) >= HELD_WORDS:
             for lang, words in held.items():
                 yield pd.DataFrame(_entries(lang, words), columns=columns)
@@ -115,7 +123,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language of a text and its share of the languages' normalised likelihood."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
         rows: list[int] = []
@@ -133,8 +141,14 @@ class Model:
 
 def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang",
         sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES) -> Model:
-    """The model of the rows of ``df`` where ``train`` holds and the language is not null."""
-    k1, k2 = row_key(sorted(df.columns), SEED)
+    """The model of the rows of ``df`` where ``train`` holds and the language is not null.
+
+    The sample is drawn by a hash of all columns but maps, which cannot be
+    hashed: equal rows are in it together or not at all.  Null and empty texts
+    add nothing, very long texts are read whole, and a table without a
+    labelled row gives a model that knows no language.
+    """
+    k1, k2 = row_key(sorted(name for name, kind in df.dtypes if "map<" not in kind), SEED)
     labelled = df.select(F.col(f"`{lang_col}`").alias("lang"), F.coalesce(train, F.lit(False)).alias("train"),
                          F.col(f"`{text_col}`").alias("text"), unit_hash(F.lit(SEED), k1, k2).alias("u"))
     labelled = labelled.filter("train and lang is not null")

@@ -406,3 +406,44 @@ def test_html_blocks_and_references(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("attributes", ['title="a hidden gem"', 'data-note="see id=ad here"', "title='class=sidebar hidden'",
+                                        'alt="role=navigation" data-x', "data-hidden", 'data-role="banner"', 'title="it\'s hidden"'])
+def test_html_reads_names_of_attributes_only(attributes):
+    body = "".join(f"<p {attributes}>{p.replace('&', '&amp;')}</p>" for p in ARTICLE)
+    assert html_text.main_text(f"<div>{body}</div>") == "\n".join(ARTICLE)
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'class="x" hidden', "id=sidebar", 'title="x" CLASS = "advert"', 'x="1"hidden=""',
+                                        "aria-hidden='true'", "role=navigation"])
+def test_html_still_drops_by_attributes(attributes):
+    body = "".join(f"<p>{p.replace('&', '&amp;')}</p>" for p in ARTICLE)
+    assert html_text.main_text(f"<div>{body}<div {attributes}>Gone, of course.</div></div>") == "\n".join(ARTICLE)
+
+
+def test_html_climbs_above_the_best_container():
+    a, b, c = ("The valley, in short, is wide. " * 20).strip(), ("Rain, wind, and snow shape it. " * 20).strip(), "A line"
+    rows = f"<div><div class=row><div>{a}</div></div><div class=row><div>{b}</div></div></div>"
+    assert html_text.main_text(rows) == f"{a}\n{b}"
+    deep = f"<div><div><div><p>{a}</p></div></div>{c}<section><div><div><p>{b}</p></div></div></section></div>"
+    assert html_text.main_text(f"<body>{deep}</body>") == f"{a}\n{c}\n{b}"
+
+
+def test_html_scores_decide_beside_a_deeper_container(monkeypatch):
+    """Parts beside an ancestor stay if one scores like article text, and go if none does."""
+    a, b = ("The valley, in short, is wide. " * 40).strip(), ("Rain, wind, and snow shape it. " * 30).strip()
+    strong = f"<div><div><div><div>{a}</div></div></div><div><div>{b}</div></div></div>"
+    weak = f"<div><div><div><div>{a}</div></div></div><div><div>Read on</div></div></div>"
+    assert html_text.main_text(strong) == f"{a}\n{b}" and html_text.main_text(weak) == a
+    monkeypatch.setattr(html_text.Node, "score", lambda self: 0.0)
+    assert html_text.main_text(strong) != f"{a}\n{b}"
+
+
+def test_langid_letters_are_letters(spark):
+    assert langid.words_of("½ ²³ Ⅷ ١٢ 12_x") == ["x"] and langid.words_of("Ab½cd Éa 漢字") == ["ab", "cd", "éa", "漢字"]
+    df = spark.createDataFrame([(i, "the river and the stone", "en", {"a": 1}) for i in range(20)] + [(99, "½ Ⅷ", "en", None)],
+                               "doc_id long, text string, lang string, extra map<string,int>")
+    model = langid.fit(df, F.lit(True))
+    got = {r.doc_id: r.p for r in df.select("doc_id", langid.predict(df, model).alias("p")).collect()}
+    assert got[99] == ("und", 0.0) and got[3].lang_pred == "en"
