@@ -147,43 +147,39 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(zeros, pa.int64())], names=["pair", "r", "c", "last", "below", "right", "grown"])
 
 
-def _blocks(pairs: DataFrame, tokens: str, index: str, out: str, tile: int) -> DataFrame:
-    """Rows (pair, index, out, of): the blocks of ``tile`` words of a token array and how many there are."""
-    of = F.ceil(F.size(tokens) / tile).cast("int")
-    cut = pairs.filter(F.size(tokens) > 0).select("pair", tokens, of.alias("of"), F.explode(F.sequence(F.lit(0), of - 1)).alias(index))
-    return cut.select("pair", index, F.slice(tokens, F.col(index) * tile + 1, tile).alias(out), "of")
-
-
 def lcs_tiled(pairs: DataFrame, hyp: str, ref: str, tile: int = TILE) -> DataFrame:
     """Rows (pair, lcs) for rows (pair, hyp, ref) of token arrays, ``pair`` unique; a null or empty side gives 0.
 
     All pairs advance together, one anti-diagonal of tiles a step; a step is a
-    written table, so a lost task repeats its tiles only.  There are as many
-    steps as the largest pair has blocks on both sides, less one.
+    written table, so a lost task repeats its tiles only, and moves the blocks
+    of its own tiles only.  There are as many steps as the largest pair has
+    blocks on both sides, less one.
     """
     if tile < 1:
         raise ValueError("tile: 1 or more")
-    xs = materialize(_blocks(pairs, hyp, "r", "x", tile).withColumnRenamed("of", "rows"), "lcs-x")
-    ys = materialize(_blocks(pairs, ref, "c", "y", tile).withColumnRenamed("of", "columns"), "lcs-y")
-    shape = xs.filter("r = 0").select("pair", "rows").join(ys.filter("c = 0").select("pair", "columns"), "pair")
-    shape = materialize(shape, "lcs-shape")
-    steps = shape.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0] or 0
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.select("pair").schema.fields)
+    sized = pairs.filter((F.size(hyp) > 0) & (F.size(ref) > 0)).withColumns(
+        {"rows": F.ceil(F.size(hyp) / tile).cast("int"), "columns": F.ceil(F.size(ref) / tile).cast("int")})
+
+    def blocks(tokens: str, index: str, of: str, out: str) -> DataFrame:
+        each = sized.select("pair", "rows", "columns", tokens, F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(index))
+        cut = F.slice(tokens, F.col(index) * tile + 1, tile).alias(out)
+        return materialize(each.select("pair", "rows", "columns", index, cut), f"lcs-{out}")
+
+    xs, ys = blocks(hyp, "r", "rows", "x"), blocks(ref, "c", "columns", "y")
+    steps = xs.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0] or 0
+    kinds = f"pair {xs.schema['pair'].dataType.simpleString()}"
     borders, grown = None, []
     for step in range(steps):
-        first = F.greatest(F.lit(0), F.lit(step) - F.col("columns") + 1)
-        tiles = shape.filter(F.col("rows") + F.col("columns") - 1 > step).select(
-            "pair", "rows", F.explode(F.sequence(first, F.least(F.lit(step), F.col("rows") - 1))).alias("r"))
-        tiles = tiles.select("pair", "r", (F.lit(step) - F.col("r")).alias("c"), (F.col("r") == F.col("rows") - 1).alias("last"))
-        tiles = tiles.join(xs.select("pair", "r", "x"), ["pair", "r"]).join(ys.select("pair", "c", "y"), ["pair", "c"])
+        mine = xs.filter((F.col("r") <= step) & (step - F.col("r") < F.col("columns"))).select(
+            "pair", "r", (F.lit(step) - F.col("r")).alias("c"), (F.col("r") == F.col("rows") - 1).alias("last"), "x")
+        theirs = ys.filter((F.col("c") <= step) & (step - F.col("c") < F.col("rows"))).select("pair", "c", "y")
         if borders is None:
-            tiles = tiles.withColumns({"above": F.lit(None).cast("binary"), "left": F.lit(None).cast("binary")})
+            mine = mine.withColumns({"above": F.lit(None).cast("binary"), "left": F.lit(None).cast("binary")})
         else:
-            tiles = tiles.join(borders.select("pair", (F.col("r") + 1).alias("r"), "c", F.col("below").alias("above")),
-                               ["pair", "r", "c"], "left")
-            tiles = tiles.join(borders.select("pair", "r", (F.col("c") + 1).alias("c"), F.col("right").alias("left")),
-                               ["pair", "r", "c"], "left")
-        borders = materialize(tiles.mapInArrow(
+            key = ["pair", "r", "c"]
+            mine = mine.join(borders.select("pair", (F.col("r") + 1).alias("r"), "c", F.col("below").alias("above")), key, "left")
+            mine = mine.join(borders.select("pair", "r", (F.col("c") + 1).alias("c"), F.col("right").alias("left")), key, "left")
+        borders = materialize(mine.join(theirs, ["pair", "c"]).mapInArrow(
             _tiles, f"{kinds}, r int, c int, last boolean, below binary, right binary, grown bigint"), "lcs-borders")
         grown.append(borders.filter("last").select("pair", "grown"))
     every = pairs.select("pair", F.lit(0).cast("bigint").alias("grown"))

@@ -389,13 +389,13 @@ def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str
     words of each side.
     """
     if mode == "sentence" and tile is not None:
-        sides = [F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)) for c in (hyp, ref)]
-        sized = materialize(pairs.select(F.struct(*keys).alias("pair"), F.col(hyp).alias("_x"), F.col(ref).alias("_y"),
-                                         sides[0].alias("_h"), sides[1].alias("_r")), "rouge-pairs")
+        x, y = F.coalesce(hyp, F.array().cast("array<string>")), F.coalesce(ref, F.array().cast("array<string>"))
+        sized = pairs.select(F.struct(*keys).alias("pair"), x.alias("_x"), y.alias("_y"), F.size(x).alias("_h"), F.size(y).alias("_r"))
         long = F.greatest("_h", "_r") > tile
-        done = lcs_tiled(sized.filter(long).select("pair", "_x", "_y"), "_x", "_y", tile).unionByName(
-            sized.filter(~long).select("pair", lcs_length(F.col("_x"), F.col("_y")).alias("lcs")))
-        d = sized.select("pair", "_h", "_r").join(done, "pair").select("pair.*", "_h", "_r", "lcs")
+        whole = sized.filter(~long).select("pair", "_h", "_r", lcs_length(F.col("_x"), F.col("_y")).alias("lcs"))
+        tiled = sized.filter(long)
+        counted = lcs_tiled(tiled.select("pair", "_x", "_y"), "_x", "_y", tile)
+        d = whole.unionByName(tiled.select("pair", "_h", "_r").join(counted, "pair")).select("pair.*", "_h", "_r", "lcs")
     elif mode == "sentence":
         d = pairs.select(*keys, F.size(hyp).alias("_h"), F.size(ref).alias("_r"),
                          lcs_length(F.col(hyp), F.col(ref)).alias("lcs"))

@@ -120,11 +120,11 @@ LONG_PAIRS_SQL = ("SELECT doc_id, n, n - n // 5 AS lcs FROM (SELECT doc_id, "
 @register("rouge_l_tiled", f"SELECT doc_id, CAST(lcs AS BIGINT) AS lcs, CASE WHEN n = 0 THEN 0.0 ELSE "
           f"round(2.0 * lcs / n / (CAST(lcs AS DOUBLE) / n + 1 + {C.F_EPS}), 6) END AS rouge_l FROM ({LONG_PAIRS_SQL})")
 def q_rouge_l_tiled(spark, sf):
-    """ROUGE-L of whole documents against shortened copies; pairs of more than 2,048 words run in tiles."""
+    """ROUGE-L of whole documents against shortened copies; pairs of more than 4,096 words run in tiles."""
     words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     d = table(spark, sf, "documents").select("doc_id", words.alias("h"))
     pairs = d.select("doc_id", "h", F.filter("h", lambda x, i: F.pmod(i, F.lit(5)) != 4).alias("r"))
-    r = M.rouge_l(pairs, ["doc_id"], "h", "r", tile=2048)
+    r = M.rouge_l(pairs, ["doc_id"], "h", "r", tile=4096)
     return r.select("doc_id", "lcs", F.round("rouge_l", 6).alias("rouge_l"))
 
 
