@@ -127,7 +127,7 @@ def learn_merges(words: DataFrame, size: int, least: int = 2, top_pairs: int = T
     if not 0 < size <= MAX_MERGES or top_pairs < 2:
         raise ValueError(f"size: 1 to {MAX_MERGES}; top_pairs: 2 or more")
     spark = words.sparkSession
-    table = spread(materialize(words.select("symbols", F.col("n").cast("bigint").alias("n")), "merge-words"))
+    table = materialize(spread(words.select("symbols", F.col("n").cast("bigint").alias("n"))), "merge-words")
     merges: list[tuple[str, str, int]] = []
     since, rounds = [], 0
     while len(merges) < size:
