@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import global_row_number
 from ..session import materialize, spread
-from .common import row_key, total
+from .common import packed, row_key, total, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LONGEST = 3        # words of a window at most
@@ -170,19 +170,19 @@ def bucket_histogram(featured: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Rows (bucket, gain) of all buckets: floor(1000 ln) of the smoothed share in the target over that in the corpus.
+def histogram_array(histogram: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """A histogram as an array: at most one row a bucket comes to the driver."""
+    out = np.zeros(buckets, np.int64)
+    for row in histogram.collect():
+        out[row["bucket"]] = row["n"]
+    return out
 
-    Both arguments are histograms (bucket, n) of at most ``buckets`` rows.
-    """
-    sums = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all_s")).crossJoin(  # one row by one row
-        target.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all_t")))
-    every = corpus.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    s, t = corpus.withColumnRenamed("n", "s"), target.withColumnRenamed("n", "t")
-    rows = every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0, ["s", "t"]).join(F.broadcast(sums))
-    s, t = F.col("s").cast("double"), F.col("t").cast("double")
-    share = (t + 1) * (F.col("all_s") + buckets) / ((s + 1) * (F.col("all_t") + buckets))
-    return rows.select("bucket", F.floor(1000 * F.log(share)).cast("bigint").alias("gain"))
+
+def bucket_gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """floor(1000 ln) of each bucket's smoothed share in the target over that in the corpus, from two histograms."""
+    s, t, n = corpus.astype(np.float64), target.astype(np.float64), len(corpus)
+    share = (t + 1) * (float(corpus.sum()) + n) / ((s + 1) * (float(target.sum()) + n))
+    return np.floor(1000 * np.log(share)).astype(np.int64)
 
 
 def gain_sum(packed: Column, gains: np.ndarray) -> Column:
@@ -217,13 +217,11 @@ def importance_resample(df: DataFrame, target: DataFrame, id_col: str = "doc_id"
     featured = materialize(features(df, id_col, text_col, longest, buckets), "resample-features")
     wanted = features(target.select(F.lit(0).alias("id"), F.col(f"`{target_text_col}`").alias("text")), "id", "text",
                       longest, buckets)
-    gains = bucket_gains(bucket_histogram(featured, buckets), bucket_histogram(wanted, buckets), buckets)
-    table = np.zeros(buckets, np.int64)
-    for row in gains.collect():  # one row a bucket: bounded by the parameter
-        table[row["bucket"]] = row["gain"]
+    gains = bucket_gains(histogram_array(bucket_histogram(featured, buckets), buckets),
+                         histogram_array(bucket_histogram(wanted, buckets), buckets))
     scored = featured.select(
         "id", "k1", "k2", "n_words", (F.octet_length("features") / 2).cast("bigint").alias("n_features"),
-        gain_sum(F.col("features"), table).alias("weight"))
+        gain_sum(F.col("features"), gains).alias("weight"))
     scored = scored.withColumn("score", F.col("weight") + gumbel_noise(F.col("id"), seed))
     scored = materialize(scored, "resample-scores")
     able = F.col("n_words") >= least_words
@@ -239,8 +237,6 @@ def drawn_rows(df: DataFrame, ranked: DataFrame, id_col: str = "doc_id", text_co
 
     Equal rows share their digest; each drawn place takes one of them.
     """
-    from .common import packed, unpacked
-
     taken = ranked.filter("rank IS NOT NULL").select("k1", "k2", "rank")
     keyed = packed(df)
     k1, k2 = row_key([F.col("rec")[id_col], F.col("rec")[text_col]])
