@@ -143,15 +143,15 @@ def _decode(rows: int, caps: int, least: int, per_cap: int, seed: int, kind: str
     return run
 
 
-def _first_shared(caps: np.ndarray, rows: np.ndarray, cap: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a x b matrix: True where two members share no cap smaller than ``cap`` (caps, rows: all caps of the members)."""
-    below = caps < cap
+def _first_shared(caps: np.ndarray, rows: np.ndarray, cap: int, members: np.ndarray, n: int) -> np.ndarray:
+    """Matrix over ``members``: True where two share no cap smaller than ``cap`` (caps, rows: all caps of the n rows)."""
+    place = np.full(n, -1)
+    place[members] = np.arange(len(members))
+    below = (caps < cap) & (place[rows] >= 0)
     _, column = np.unique(caps[below], return_inverse=True)
-    wide = int(column.max()) + 1 if len(column) else 0
-    has = np.zeros((int(max(a.max(), b.max())) + 1, wide), np.float32)
-    known = rows[below] < len(has)
-    has[rows[below][known], column[known]] = 1
-    return has[a] @ has[b].T == 0
+    has = np.zeros((len(members), int(column.max()) + 1 if len(column) else 0), np.float32)
+    has[place[rows[below]], column] = 1
+    return has @ has.T == 0
 
 
 def _reach(near: np.ndarray) -> list[tuple[int, int]]:
@@ -185,7 +185,7 @@ def compare_group(cap: int, own: bool, ids: np.ndarray, copies: np.ndarray, side
     if not len(hit):
         return add, []
     within = near[np.ix_(hit, hit)]
-    counted = within & _first_shared(caps, rows, cap, hit, hit)
+    counted = within & _first_shared(caps, rows, cap, hit, len(ids))
     add[hit] = counted @ copies[hit]
     return add, [(int(ids[hit[u]]), int(ids[hit[v]])) for u, v in _reach(within)]
 
