@@ -393,7 +393,7 @@ def rouge_l(pairs: DataFrame, keys: list[str], hyp: str = "hyp_tokens", ref: str
         sized = pairs.select(F.struct(*keys).alias("pair"), x.alias("_x"), y.alias("_y"), F.size(x).alias("_h"), F.size(y).alias("_r"))
         long = F.greatest("_h", "_r") > tile
         whole = sized.filter(~long).select("pair", "_h", "_r", lcs_length(F.col("_x"), F.col("_y")).alias("lcs"))
-        tiled = sized.filter(long)
+        tiled = materialize(sized.filter(long), "rouge-long")  # read by each side, and the tokens of all pairs are costly to find
         counted = lcs_tiled(tiled.select("pair", "_x", "_y"), "_x", "_y", tile)
         d = whole.unionByName(tiled.select("pair", "_h", "_r").join(counted, "pair")).select("pair.*", "_h", "_r", "lcs")
     elif mode == "sentence":
