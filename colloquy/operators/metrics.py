@@ -2,9 +2,9 @@
 
 Corpus statistics (n-gram counts, distinct-n, entropy, accuracies) are
 partial+final hash aggregates.  Pairwise text metrics (BLEU, ROUGE-L,
-METEOR) are computed per pair; BLEU's clipped n-gram matching is an
-exploded join, LCS and METEOR alignment run in Arrow-batched pandas UDFs
-while the pairs stay distributed.
+METEOR) are computed per pair; BLEU's clipped n-gram matching walks both
+sides' sorted n-grams inside the pair's row, LCS and METEOR alignment run in
+Arrow-batched pandas UDFs while the pairs stay distributed.
 """
 
 from __future__ import annotations
@@ -166,32 +166,46 @@ def distinct_n(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- BLEU
 
+def _clipped_matches(h: Column, r: Column) -> Column:
+    """Sum of ``least(count in h, count in r)`` over the distinct strings of two arrays.
+
+    The strings of both sides are sorted together, those of ``r`` first among
+    equals, and walked once: every string of ``h`` takes one of ``r`` that is free.
+    """
+    def side(c, hyp):
+        return F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(hyp).alias("h")))
+
+    def step(acc, x):
+        free = F.when(acc["g"].eqNullSafe(x["g"]), acc["free"]).otherwise(F.lit(0))
+        hit = x["h"] & (free > 0)
+        return F.struct(x["g"].alias("g"), F.when(hit, free - 1).when(x["h"], free).otherwise(free + 1).alias("free"),
+                        F.when(hit, acc["m"] + 1).otherwise(acc["m"]).alias("m"))
+
+    init = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("free"), F.lit(0).cast("bigint").alias("m"))
+    return F.aggregate(F.sort_array(F.concat(side(h, True), side(r, False))), init, step, lambda acc: acc["m"])
+
+
 def ngram_match_counts(pairs: DataFrame, keys: list[str], hyp: str, ref: str, max_n: int) -> DataFrame:
     """Per pair and order present in the hypothesis: clipped matches and n-gram count.
 
-    Hypothesis and reference n-grams are exploded together with a side flag
-    and counted in one aggregation keyed by ``(pair, n, ngram)``; clipping is
-    ``least(hyp count, ref count)``; a second aggregation sums per order.
-    Only the pair rows are shuffled (by pair key); the n-gram aggregations run
-    inside those partitions.
+    Only the pair rows are shuffled (by pair key); rows of one key count
+    together.  A pair's n-grams are counted inside its row (clipping is ``least(hyp
+    count, ref count)``), so a task holds those of one pair at a time and
+    never a table of all n-grams of its partition.
     """
-    ns = list(range(1, max_n + 1))
-    sides = F.array(F.struct(F.lit(True).alias("h"), F.col(hyp).alias("t")),
-                    F.struct(F.lit(False).alias("h"), F.col(ref).alias("t")))
-    # Pairs are hash-partitioned by key once (one row per pair); every later
-    # aggregation is keyed by the pair first, so the n-grams are counted
-    # inside their partition and never shuffled.
-    per_side = pairs.repartition(*keys).select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.h").alias("_h"),
-                                                                         F.col("_s.t").alias("_t"))
-    per_n = per_side.select(*keys, "_h", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("_t"), n)
-                                                                      .alias("g")) for n in ns])).alias("_x"))
-    grams = per_n.select(*keys, "_h", F.col("_x.n").alias("n"), F.explode_outer("_x.g").alias("ngram")) \
-                 .filter(F.col("ngram").isNotNull())
-    c = grams.groupBy(*keys, "n", "ngram").agg(F.count_if(F.col("_h")).alias("_ch"),
-                                               F.count_if(~F.col("_h")).alias("_cr"))
-    return c.groupBy(*keys, "n").agg(F.sum(F.least("_ch", "_cr")).cast("bigint").alias("matches"),
-                                     F.sum("_ch").cast("bigint").alias("total")) \
-            .filter(F.col("total") > 0)
+    sides = pairs.repartition(*keys).select(*keys, F.struct(F.col(hyp).alias("h"), F.col(ref).alias("r")).alias("_p")) \
+                 .groupBy(*keys).agg(F.collect_list("_p").alias("_p"))
+
+    def grams(side, n):
+        none = F.array().cast("array<string>")
+        return F.flatten(F.transform("_p", lambda p: F.coalesce(ngrams(p[side], n), none)))
+
+    per_n = sides.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("n"), _clipped_matches(grams("h", n), grams("r", n)).alias("matches"),
+                 F.aggregate("_p", F.lit(0).cast("bigint"), lambda acc, p: acc + F.greatest(
+                     F.coalesce(F.size(p["h"]), F.lit(0)) - (n - 1), F.lit(0))).alias("total"))
+        for n in range(1, max_n + 1)])))
+    return per_n.filter(F.col("total") > 0)
 
 
 def clipped_ngram_matches(pairs: DataFrame, keys: list[str], hyp: str, ref: str, max_n: int) -> DataFrame:
@@ -238,8 +252,8 @@ def bleu_scores(pairs: DataFrame, keys: list[str], orders=(2, 4), hyp: str = "hy
     hypothesis is shorter than N); the brevity penalty is ``exp(1 - r/c)``.
     ``kernel='pair'`` (default) clips n-gram counts per pair in an Arrow-batched
     kernel: a map-only stage, nothing is shuffled.  ``kernel='join'`` uses the
-    relational form (``ngram_match_counts``: explode, aggregate per pair
-    partition); both give the same numbers.
+    relational form (``ngram_match_counts``: pairs grouped by key, n-grams
+    clipped inside the row); both give the same numbers.
     """
     max_n = max(orders)
     if kernel == "pair":

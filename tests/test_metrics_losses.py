@@ -37,6 +37,15 @@ def test_bleu_goldens(spark):
     assert b2[3] == 0.0
 
 
+def test_clipped_matches_with_repeated_and_null_keys(spark):
+    rows = [(1, ["a", "b", "a", "b"], ["a", "b", "b"]), (1, ["a"], None), (2, [], ["x"]), (3, None, ["x"]),
+            (None, ["x", "x", ""], ["x", ""]), (4, ["a b", "c"], ["a", "b c"])]
+    df = spark.createDataFrame(rows, "k long, h array<string>, r array<string>")
+    got = {(r.k, r.n): (r.matches, r.total) for r in M.ngram_match_counts(df, ["k"], "h", "r", 4).collect()}
+    assert got == {(1, 1): (3, 5), (1, 2): (1, 3), (1, 3): (0, 2), (1, 4): (0, 1),
+                   (None, 1): (2, 3), (None, 2): (1, 2), (None, 3): (0, 1), (4, 1): (0, 2), (4, 2): (1, 1)}
+
+
 def test_identical_pair_scores_one(spark):
     p = pairs_df(spark, [(1, "a b c d e", "a b c d e")])
     assert M.bleu_n(p, ["id"], 1).collect()[0].bleu_1 == pytest.approx(1.0)

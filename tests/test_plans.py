@@ -39,6 +39,13 @@ def test_bleu_counts_shuffle_pairs_once(spark):
     assert exchanges(m) == 1
 
 
+def test_bleu_counts_hold_no_table_of_a_partitions_ngrams(spark):
+    pairs = spark.read.parquet(CONV).select("conv_id", "turn", F.split("text", " ").alias("h"),
+                                            F.split("text", ",").alias("r"))
+    p = plan(M.ngram_match_counts(pairs, ["conv_id", "turn"], "h", "r", 4)).replace("ObjectHashAggregate", "")
+    assert "HashAggregate" not in p and "ngram" not in p
+
+
 def test_encoding_is_relational(spark):
     toks = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "k long, toks array<string>")
     vocab = spark.createDataFrame([("a", 9), ("b", 10)], "token string, token_id bigint")
