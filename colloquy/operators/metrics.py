@@ -22,6 +22,8 @@ from ..session import materialize
 from ..functions.text import extract_choices, parse_judge_score, strip_markers, tokenize, trim_all, whitespace_tokens
 from .lcs import common_words, lcs_tiled
 
+NGRAMS_A_TASK = 4_000_000  # n-grams that a task combines before the shuffle
+
 
 # ---------------------------------------------------------------- filters
 
@@ -130,11 +132,20 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def ngram_counts(df: DataFrame, tokens: str = "tokens", ns=(1, 2, 3, 4), by: list[str] | None = None) -> DataFrame:
-    """``(by.., n, ngram, count)`` over the whole corpus (map-side combined)."""
+    """``(by.., n, ngram, count)`` over the whole corpus (map-side combined).
+
+    The token arrays are written once and dealt out in as many parts as the
+    number of their n-grams asks for, so the table in which a task combines
+    stays the same size however large the input is.
+    """
     by = by or []
-    t = F.col(tokens)
-    per_n = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(t, n).alias("g"))
-                                               for n in ns])).alias("_x"))
+    toks = materialize(df.select(*by, F.col(tokens).alias("_t")), "ngram-tokens")
+    size = toks.agg(F.sum(F.size("_t").cast("bigint"))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size * len(ns) // NGRAMS_A_TASK))
+    # dealt by row number: no sort as in a round-robin, and equal rows stay apart
+    t = F.col("_t")
+    per_n = toks.repartition(parts, F.monotonically_increasing_id()) \
+                .select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(t, n).alias("g")) for n in ns])).alias("_x"))
     # outer explode + null filter: no inferred filter re-evaluating the n-gram expression
     exploded = per_n.select(*by, F.col("_x.n").alias("n"), F.explode_outer("_x.g").alias("ngram")) \
                     .filter(F.col("ngram").isNotNull())

@@ -46,6 +46,18 @@ def test_bleu_counts_hold_no_table_of_a_partitions_ngrams(spark):
     assert "HashAggregate" not in p and "ngram" not in p
 
 
+def test_ngram_counts_combine_parts_of_bounded_size(spark, monkeypatch):
+    rows = [(i % 2, [str(i % k) for k in range(1, 12)]) for i in range(300)] + [(0, None), (1, [])]
+    df = spark.createDataFrame(rows, "b int, tokens array<string>")
+    few = M.ngram_counts(df, "tokens", (1, 2), ["b"])
+    monkeypatch.setattr(M, "NGRAMS_A_TASK", 150)
+    many = M.ngram_counts(df, "tokens", (1, 2), ["b"])
+    parts = 300 * 11 * 2 // 150
+    assert f", {parts}), REPARTITION_BY_NUM" in plan(many) and f", {parts}), REPARTITION_BY_NUM" not in plan(few)
+    got = sorted(tuple(r) for r in many.collect())
+    assert got == sorted(tuple(r) for r in few.collect()) and sum(r[3] for r in got) == 300 * (11 + 10)
+
+
 def test_encoding_is_relational(spark):
     toks = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "k long, toks array<string>")
     vocab = spark.createDataFrame([("a", 9), ("b", 10)], "token string, token_id bigint")
