@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,38 @@ def test_nothing_to_learn(spark):
     assert S.learn_merges(S.word_counts(single, "t"), 5).collect() == []
     with pytest.raises(ValueError):
         S.learn_merges(S.word_counts(single, "t"), 0)
+
+
+def test_blocks_of_words_merge_and_count_as_plain_python():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = {"".join(rng.choice("abc"[:rng.choice([1, 2, 3])]) for _ in range(rng.randint(1, 25))): rng.randint(1, 2**40)
+                 for _ in range(rng.randint(1, 12))}
+        start = pa.array([[*w[:-1], w[-1] + " "] for w in words], pa.list_(pa.string()))
+        n, got, top = np.array(list(words.values())), [], rng.choice([3, 8, 50])
+        while len(got) < 40:
+            rows = S.pair_counts(*S.merge_block(start, [p[:2] for p in got]), n).to_pylist()
+            ranked = sorted(((r["left"], r["right"], r["n"]) for r in rows if r["n"] >= 2), key=lambda x: (-x[2], x[:2]))[:top]
+            if not ranked:
+                break
+            got += S.independent(ranked, len(ranked) < top, {p[0] + p[1] for p in got})[:40 - len(got)]
+        assert got == plain_merges(words, 40)
+
+
+def test_a_pair_that_spells_a_made_symbol_has_a_round_of_its_own():
+    top = [("a", "b", 9), ("p", "q", 8), ("x", "y", 7)]
+    assert S.independent(top, True) == top
+    assert S.independent(top, True, {"pq"}) == top[:1]
+    assert S.independent(top, True, {"ab"}) == top[:1]
+
+
+def test_words_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.createDataFrame([(["ab", "abc"],)] * 40, "t array<string>").mapInArrow(look, "t array<string>")
+    assert len(S.learn_merges(S.word_counts(df, "t"), 3).collect()) == 3
+    assert seen.value == 40
